@@ -13,16 +13,22 @@ def exportable(packs: DataFrame, text: str = "output_text") -> DataFrame:
     return packs.where(strip(text) != "")
 
 
+def _line(text: str):
+    """The text without the final line feed that the sink adds itself."""
+    return F.regexp_replace(text, r"\n\z", "").alias("value")
+
+
 def export_packs(packs: DataFrame, path: str, stamp, text: str = "output_text") -> None:
     """Write packs as UTF-8 text below session_id=…/stamp=…/part=….
 
-    ``stamp`` is a timestamp column; the folder carries it as yyyyMMdd_HHmmss.
+    ``stamp`` is a timestamp column; the folder carries it as yyyyMMdd_HHmmss.  The text sink
+    ends every record with a line feed, so a file ends in one even where its pack does not.
     """
     stamp = F.col(stamp) if isinstance(stamp, str) else stamp
     named = exportable(packs, text).select(
-        "session_id", F.date_format(stamp, "yyyyMMdd_HHmmss").alias("stamp"), "part", F.col(text).alias("value")
+        "session_id", F.date_format(stamp, "yyyyMMdd_HHmmss").alias("stamp"), "part", _line(text)
     )
-    named.write.mode("append").option("lineSep", "").partitionBy("session_id", "stamp", "part").text(path)
+    named.write.mode("append").partitionBy("session_id", "stamp", "part").text(path)
 
 
 def export_blocks(blocks: DataFrame, path: str, order: list[str], text: str = "block") -> None:
@@ -32,6 +38,6 @@ def export_blocks(blocks: DataFrame, path: str, order: list[str], text: str = "b
     gathered in one task.
     """
     ranged = blocks.where(F.col(text).isNotNull()).repartitionByRange("session_id", *order)
-    ranged.sortWithinPartitions("session_id", *order).select("session_id", F.col(text).alias("value")).write.mode(
+    ranged.sortWithinPartitions("session_id", *order).select("session_id", _line(text)).write.mode(
         "append"
-    ).option("lineSep", "").partitionBy("session_id").text(path)
+    ).partitionBy("session_id").text(path)
