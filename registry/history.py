@@ -28,33 +28,40 @@ def _news(spark, sf):
     return V.fx_history(spark, sf).where("op = 'new'").select("session_id", "seq", "st")
 
 
+def _hot_news(spark, sf):
+    return V.hot_history(spark, sf).where("op = 'new'").select("session_id", "seq", "st")
+
+
 @query("w1_drop_repeats", f"WITH {V.FX_HISTORY}, {_NEWS} {_KEPT}")
 def _(spark, sf):
     return drop_repeats(_news(spark, sf), "st")
 
 
-@query("w1_drop_repeats_sliced", f"WITH {V.FX_HISTORY}, {_NEWS} {_KEPT}")
+@query("w1_drop_repeats_sliced", f"WITH {V.HOT_HISTORY}, {_NEWS} {_KEPT}")
 def _(spark, sf):
-    return drop_repeats(_news(spark, sf), "st", rows_per_slice=25)
+    """One session holds a third of all rows and is cut into slices."""
+    news = _hot_news(spark, sf)
+    return drop_repeats(news, "st", rows_per_slice=V.some_slices(news))
 
 
-_POSITIONS = f"""WITH {V.FX_HISTORY}, {_NEWS}, p AS (SELECT session_id, seq,
+_POSITIONS = f"""WITH {{history}}, {_NEWS}, p AS (SELECT session_id, seq,
   row_number() OVER (PARTITION BY session_id ORDER BY seq) AS pos, count(*) OVER (PARTITION BY session_id) AS total
   FROM news) SELECT *, 'History: ' || pos || ' of ' || total AS label, pos > 1 AS can_go_back,
   pos < total AS can_go_forward FROM p"""
 
 
-@query("w2_positions", _POSITIONS)
+@query("w2_positions", _POSITIONS.format(history=V.FX_HISTORY))
 def _(spark, sf):
     return positions(_news(spark, sf)).drop("st")
 
 
-@query("w2_positions_sliced", _POSITIONS)
+@query("w2_positions_sliced", _POSITIONS.format(history=V.HOT_HISTORY))
 def _(spark, sf):
-    return positions(_news(spark, sf), rows_per_slice=25).drop("st")
+    news = _hot_news(spark, sf)
+    return positions(news, rows_per_slice=V.some_slices(news)).drop("st")
 
 
-_NEIGHBOURS = f"""WITH {V.FX_HISTORY}, {_NEWS} SELECT session_id, seq, st,
+_NEIGHBOURS = f"""WITH {{history}}, {_NEWS} SELECT session_id, seq, st,
   lag(st) OVER w AS previous_st, lag(seq) OVER w AS previous_seq, lead(st) OVER w AS next_st FROM news
   WINDOW w AS (PARTITION BY session_id ORDER BY seq)"""
 
@@ -70,14 +77,15 @@ def _neighbour_columns(df):
     )
 
 
-@query("w3_neighbours", _NEIGHBOURS)
+@query("w3_neighbours", _NEIGHBOURS.format(history=V.FX_HISTORY))
 def _(spark, sf):
     return _neighbour_columns(neighbours(_news(spark, sf), ["seq", "st"]))
 
 
-@query("w3_neighbours_sliced", _NEIGHBOURS)
+@query("w3_neighbours_sliced", _NEIGHBOURS.format(history=V.HOT_HISTORY))
 def _(spark, sf):
-    return _neighbour_columns(neighbours(_news(spark, sf), ["seq", "st"], rows_per_slice=25))
+    news = _hot_news(spark, sf)
+    return _neighbour_columns(neighbours(news, ["seq", "st"], rows_per_slice=V.some_slices(news)))
 
 
 @query("w3_stale_after_back", """
@@ -102,7 +110,8 @@ def _(spark, sf):
     return stale_files(stored, current_hashes(V.files_now(spark, sf)))
 
 
-_REPLAYED = f"WITH RECURSIVE {V.FX_HISTORY}, {V.REPLAYED} SELECT session_id, pos, st, is_cursor FROM replayed"
+_REPLAY = "WITH RECURSIVE {history}, " + V.REPLAYED + " SELECT session_id, pos, st, is_cursor FROM replayed"
+_REPLAYED = _REPLAY.format(history=V.FX_HISTORY)
 
 
 @query("t1_replay", _REPLAYED)
@@ -110,10 +119,11 @@ def _(spark, sf):
     return replay(V.fx_history(spark, sf))
 
 
-@query("t1_replay_split", _REPLAYED)
+@query("t1_replay_split", _REPLAY.format(history=V.HOT_HISTORY))
 def _(spark, sf):
-    """The plan for hot sessions, forced by a small slice: independent runs replayed in parallel."""
-    return replay(V.fx_history(spark, sf), rows_per_slice=25)
+    """One session holds a third of all events: its independent runs are replayed in parallel."""
+    events = V.hot_history(spark, sf)
+    return replay(events, rows_per_slice=V.some_slices(events))
 
 
 @query("t3_latest_selection", f"""

@@ -97,7 +97,8 @@ UNION ALL SELECT session_id, '' FROM fx_files WHERE doc_id % 8 = 6 GROUP BY sess
 HAVING bool_and(NOT ({V.NOT_IGNORED}))""")
 def _(spark, sf):
     files = V.fx_files(spark, sf).where(F.col("path").endswith(".bin"))
-    packs = process_files(files, V.roots(spark, sf), _no_state(spark), PackOptions(home=V.HOME))
+    roots = V.roots(spark, sf).join(files.select("session_id").distinct(), "session_id", "left_semi")
+    packs = process_files(files, roots, _no_state(spark), PackOptions(home=V.HOME))
     return packs.select("session_id", "output_text")
 
 

@@ -39,11 +39,13 @@ def _(spark, sf):
 
 
 @query("o1_path_order_sliced", f"""
-WITH {V.FX_FILES} SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY path) - 1 AS ord
-FROM fx_files""")
+WITH {V.FX_FILES}, h AS (SELECT CASE WHEN n % 3 = 0 THEN 'hot' ELSE session_id END AS session_id, path FROM fx_files)
+SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY path) - 1 AS ord FROM h""")
 def _(spark, sf):
-    """The plan for hot sessions, forced by a small slice."""
-    return with_order(V.fx_files(spark, sf).select("session_id", "path"), rows_per_slice=20)
+    """One session holds a third of all files and is cut into slices."""
+    hot = F.expr("CAST(substr(session_id, 4) AS INT) % 3 = 0")
+    files = V.fx_files(spark, sf).select(F.when(hot, F.lit("hot")).otherwise(F.col("session_id")).alias("session_id"), "path")
+    return with_order(files, rows_per_slice=V.some_slices(files))
 
 
 @query("u1_dedupe_paths", f"WITH {V.FX_FILES} SELECT DISTINCT session_id, path FROM fx_files")

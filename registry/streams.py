@@ -21,7 +21,7 @@ def _event_stream(spark, sf):
     return events.selectExpr(
         "user_id AS session_id",
         "event_id AS seq",
-        "CASE WHEN event_id % 97 = 0 THEN 'reset' WHEN event_type = 'signup' THEN 'back' "
+        "CASE WHEN event_id % 97 = 0 AND user_id % 15 = 1 THEN 'reset' WHEN event_type = 'signup' THEN 'back' "
         "WHEN event_type = 'error' THEN 'forward' ELSE 'new' END AS op",
         "CAST(CAST(floor(value / 10) AS INT) AS STRING) AS st",
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registry import views as V
 from registry.core import query
 from sheaf.functions.paths import display_path
+from sheaf.operators.ordered import key_sizes
 from sheaf.operators.tree import (
     prune_ignored,
     sibling_ranks,
@@ -17,6 +18,8 @@ from sheaf.operators.tree import (
     within_bases,
 )
 
+from sheaf.session import freeze
+
 
 def bases(spark, sf):
     return V.documents(spark, sf).select("source").distinct().selectExpr(
@@ -69,7 +72,9 @@ def _(spark, sf):
 
 @query("o2_sibling_rank_sliced", f"WITH {V.FX_FILES}, {NODES} SELECT base, node, rank FROM nodes")
 def _(spark, sf):
-    return sibling_ranks(_nodes(spark, sf), rows_per_slice=20).select("base", "node", "rank")
+    nodes = freeze(_nodes(spark, sf))
+    biggest, _ = key_sizes(nodes, ["base", "parent"])
+    return sibling_ranks(nodes, rows_per_slice=max(1, biggest // 3)).select("base", "node", "rank")
 
 
 @query("o3_depth_limit", f"WITH {V.FX_FILES}, {NODES} SELECT base, node, depth FROM nodes WHERE depth <= 2")

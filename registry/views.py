@@ -169,19 +169,32 @@ def fx_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "user_id AS session_id",
         "event_id AS seq",
-        "CASE WHEN event_id % 97 = 0 THEN 'reset' WHEN event_type = 'signup' THEN 'back' "
+        "CASE WHEN event_id % 97 = 0 AND user_id % 15 = 1 THEN 'reset' WHEN event_type = 'signup' THEN 'back' "
         "WHEN event_type = 'error' THEN 'forward' ELSE 'new' END AS op",
         "CAST(CAST(floor(value / 10) AS INT) AS STRING) AS st",
     )
 
 
-FX_HISTORY = """fx_history AS (
-  SELECT user_id AS session_id, event_id AS seq,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-    CASE WHEN event_id % 97 = 0 THEN 'reset' WHEN event_type = 'signup' THEN 'back'
+def hot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_history with a third of all events in one session."""
+    hot = F.when(F.col("session_id") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("session_id"))
+    return fx_history(spark, sf_dir).withColumn("session_id", hot)
+
+
+def some_slices(df: DataFrame, slices: int = 6) -> int:
+    """A slice size that cuts the table, and so its hot key, into a few slices."""
+    return max(1, df.count() // slices)
+
+
+_HISTORY = """fx_history AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn FROM (
+  SELECT {session} AS session_id, event_id AS seq, ts,
+    CASE WHEN event_id % 97 = 0 AND user_id % 15 = 1 THEN 'reset' WHEN event_type = 'signup' THEN 'back'
          WHEN event_type = 'error' THEN 'forward' ELSE 'new' END AS op,
     CAST(CAST(floor(value / 10) AS INT) AS VARCHAR) AS st
-  FROM events)"""
+  FROM events))"""
+FX_HISTORY = _HISTORY.format(session="user_id")
+HOT_HISTORY = _HISTORY.format(session="CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END")
 
 REPLAYED = """steps AS (
   SELECT session_id, rn, CASE WHEN op = 'new' THEN [st] ELSE CAST([] AS VARCHAR[]) END AS h,

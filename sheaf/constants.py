@@ -96,5 +96,7 @@ LINE_BREAK_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 ROWS_PER_SLICE = 1_000_000
 # Largest text one output row may hold; a longer pack continues in further numbered parts.
 PART_BYTES = 64 * 1024 * 1024
+# Largest table, as JSON text, that is sent whole to every executor.
+BROADCAST_BYTES = 32 * 1024 * 1024
 # Largest list or map one output row may hold; a bigger one continues in further shards.
 SHARD_ROWS = 100_000

@@ -71,33 +71,15 @@ def display_path(path, root, home, show_ellipsis: bool = False) -> Column:
     """
     path, root = _col(path), _col(root)
     home = F.lit(home) if isinstance(home, str) else home
-    rel = relative(path, home)
-    rel_parts = components(rel)
-    root_rel = relative(root, home)
-    root_parts = components(root_rel)
-
-    root_text, rel_text = root_rel, F.when(rel == "", F.lit(".")).otherwise(rel)
+    root_text, rel_text = relative(root, home), relative(path, home)
     if show_ellipsis:
-        root_text = F.when(
-            F.size(root_parts) > 2,
-            F.concat(F.get(root_parts, F.lit(0)), F.lit("/…/"), F.element_at(root_parts, -1)),
-        ).otherwise(root_rel)
-        rel_text = F.when(
-            F.size(rel_parts) > 5,
-            F.concat_ws(
-                "/",
-                F.get(rel_parts, F.lit(0)),
-                F.get(rel_parts, F.lit(1)),
-                F.lit("…"),
-                F.get(rel_parts, F.size(rel_parts) - 2),
-                F.element_at(rel_parts, -1),
-            ),
-        ).otherwise(rel_text)
-
+        root_text = F.regexp_replace(root_text, r"(?s)\A([^/]+)/.+/([^/]+)\z", "$1/…/$2")
+        rel_text = F.regexp_replace(rel_text, r"(?s)\A([^/]+/[^/]+)/[^/]+/.+/([^/]+/[^/]+)\z", "$1/…/$2")
     in_root = F.coalesce(under(path, root) & under(root, home), F.lit(False))
     return (
         F.when(~under(path, home), path)
         .when(in_root, F.concat(F.lit("~/"), root_text, F.lit("/"), relative(path, root)))
+        .when(path == home, F.lit("~/."))
         .otherwise(F.concat(F.lit("~/"), rel_text))
     )
 

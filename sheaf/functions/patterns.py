@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,15 @@ def effective_pattern(spark: SparkSession, raw: str | None) -> str | None:
     return joined if is_valid_pattern(spark, joined) else None
 
 
+def matches_any_extension(pattern: str) -> bool:
+    """True when a match in a text surely is one in every longer text that starts with it.
+
+    Patterns of plain characters, dots, alternatives and simple repeats qualify: they cannot
+    look at where the text ends.
+    """
+    return re.fullmatch(r"[\w\s|./+*\-@#%&=~,:;]*", pattern) is not None
+
+
 def is_valid_pattern(spark: SparkSession, pattern: str) -> bool:
     """Let Spark's own engine judge the pattern; constant folding makes this a driver-side check."""
     try:

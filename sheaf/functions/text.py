@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,13 @@ def _char_class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
-_NON_BLANK_LINE = f"[^{_char_class(SPACE_CHARS)}][^{_char_class(LINE_BREAK_CHARS)}]*"
+_NON_BLANK_LINE = f"[^{_char_class(SPACE_CHARS)}][^{_char_class(LINE_BREAK_CHARS)}]*+"
+_NON_BLANK_COMMON = r"\S.*+"
+# byte patterns without which a text has no white space but blank, tab, LF and CR
+_RARE_SPACE = (
+    b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f",
+    b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+)
 
 
 def _col(c) -> Column:
@@ -48,7 +57,7 @@ def decode_text(content) -> Column:
     """UTF-8, else Latin-1 for the whole file; CRLF and CR become LF; a BOM stays."""
     content = _col(content)
     text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def strip(text) -> Column:
@@ -64,9 +73,17 @@ def non_blank_lines(text) -> Column:
     """Number of lines with something other than white space.
 
     Every line break is white space, so one match begins at the first solid character of a
-    line and runs to its end: one match per non-blank line, with no array of lines.
+    line and runs to its end: one match per non-blank line, with no array of lines.  Texts
+    without rare white space, told by byte searches, take a pattern the regex engine runs
+    several times faster.
     """
-    return F.coalesce(F.regexp_count(_col(text), F.lit(_NON_BLANK_LINE)), F.lit(0)).cast("bigint")
+    text = _col(text)
+    raw = text.cast("binary")
+    rare = reduce(or_, [F.contains(raw, F.lit(bytearray(b))) for b in _RARE_SPACE])
+    lines = F.when(rare, F.regexp_count(text, F.lit(_NON_BLANK_LINE))).otherwise(
+        F.regexp_count(text, F.lit(_NON_BLANK_COMMON))
+    )
+    return F.coalesce(lines, F.lit(0)).cast("bigint")
 
 
 def content_hash(content, status=None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import ROWS_PER_SLICE
 from sheaf.operators.ordered import Ordered, key_sizes
+from sheaf.session import freeze
 
 SIX_KEYS = ("files", "selected_items", "selection_mode", "selected_file", "file_hashes", "tree")
 
@@ -180,7 +181,7 @@ def replay(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame
         folded = _fold(live.withColumn("run", F.lit(0).cast("bigint")))
         return folded.select("session_id", "pos", "st", (F.col("pos") == F.col("cursor")).alias("is_cursor"))
 
-    folded = _fold(independent_runs(live, rows_per_slice))
+    folded = freeze(_fold(independent_runs(live, rows_per_slice)))
     # the state at a run's cursor is its last one unless the run is the session's last
     runs = folded.groupBy("session_id", "run").agg((F.max("cursor") + 1).alias("kept"))
     offsets = Ordered(runs, ["session_id"], ["run"], rows_per_slice).prefix_sums(base=F.col("kept")).to_df()

@@ -16,14 +16,18 @@ def number_parts(
     weight: Column,
     part_bytes: int = PART_BYTES,
     rows_per_slice: int = ROWS_PER_SLICE,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add ``part`` (0-based) and ``parts`` (number of parts of the key).
 
     A part ends where the weight of the rows before reaches the next multiple of
     ``part_bytes``, so parts follow from the rows alone.  When no key outgrows one part,
-    which is checked on the weights only, nothing is ordered at all.
+    which is checked on the weights only, nothing is ordered at all.  ``at_most`` is an upper
+    bound of the biggest key, where the caller has one for less work.
     """
-    biggest, _ = key_sizes(rows, keys, weight)
+    biggest = at_most
+    if biggest is None or biggest > part_bytes:
+        biggest, _ = key_sizes(rows, keys, weight)
     if biggest <= part_bytes:
         return rows.withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
     narrow = rows.select(*keys, *order, weight.alias("__weight"))

@@ -67,10 +67,10 @@ def blocks(
         "*",
         display_path("path", "root", home, show_ellipsis).alias("display"),
         modified_line("mtime", machine_time).alias("modified"),
-        filter_decision().alias("decision"),
-    )
+        matched_symbols().alias("matched"),
+    ).withColumn("decision", filter_decision(F.col("matched")))
     full = full_block(F.col("display"), F.col("modified"), language("path"), F.col("text"))
-    part = filtered_block(F.col("display"), F.col("modified"), F.col("source.imports"), matched_symbols())
+    part = filtered_block(F.col("display"), F.col("modified"), F.col("source.imports"), F.col("matched"))
     failed = F.col("decision") == "error"
     return shown.select(
         "session_id",

@@ -97,9 +97,9 @@ def matched_symbols() -> Column:
     return F.filter("source.symbols", lambda s: F.array_contains("selected_items", s["name"]))
 
 
-def filter_decision() -> Column:
+def filter_decision(matched: Column | None = None) -> Column:
     """'full', 'filtered', 'none' or 'error' for a row with source, mode and selected_items."""
-    none_matched = F.coalesce(F.size(matched_symbols()) == 0, F.lit(True))
+    none_matched = F.coalesce(F.size(matched_symbols() if matched is None else matched) == 0, F.lit(True))
     return (
         F.when(F.col("source.error").isNotNull(), F.lit("error"))
         .when(F.col("source").isNull() | (F.size("selected_items") == 0), F.lit("full"))

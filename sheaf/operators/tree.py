@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, TREE_MAX_DEPTH
 from sheaf.functions.paths import ancestors, basename, components, parent, relative
-from sheaf.functions.patterns import effective_pattern
+from sheaf.functions.patterns import effective_pattern, matches_any_extension
 from sheaf.operators.ordered import Ordered
 from sheaf.operators.packing import concat_parts, number_parts
+from sheaf.session import freeze
 
 DENIED = "[permission denied]"
 
@@ -58,6 +59,9 @@ def prune_ignored(nodes: DataFrame, pattern: str | None) -> DataFrame:
     effective = effective_pattern(nodes.sparkSession, pattern)
     if effective is None:
         return nodes
+    if matches_any_extension(effective):
+        # a matching ancestor shows in the node's own path: one test, pushed down to the listing
+        return nodes.where(~F.col("node").rlike(effective))
     below = F.filter(ancestors("node"), lambda p: F.length(p) > F.length(F.col("base")))
     return nodes.where(~F.exists(below, lambda p: p.rlike(effective)))
 
@@ -116,9 +120,10 @@ def tree_lines(
     listing: DataFrame, bases: DataFrame, pattern: str | None = None, max_depth: int = TREE_MAX_DEPTH
 ) -> DataFrame:
     """base, node, depth, is_dir, is_last, key, line: the drawn tree without its root line."""
-    keyed = _keyed(listing, bases, pattern, max_depth)
+    # read four times below, and much narrower than the listing's source may be
+    keyed = freeze(_keyed(listing, bases, pattern, max_depth))
     last_keys = _last_keys(keyed)
-    dirs = (
+    dirs = freeze(
         keyed.where("is_dir")
         .join(last_keys, ["base", "parent"])
         .select("base", "node", "depth", (F.element_at("key", -1) == F.col("last_key")).alias("is_last"))

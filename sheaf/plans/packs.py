@@ -7,17 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.constants import NO_TEXT_FILES, PART_BYTES
+from sheaf.constants import MODE_ALL, MODE_SINGLE, NO_TEXT_FILES, PART_BYTES
 from sheaf.functions.paths import display_path
 from sheaf.functions.text import decode_text, is_text, non_blank_lines, rstrip
 from sheaf.operators.filters import drop_ignored, keep_python
 from sheaf.operators.history import file_list_digest
+from sheaf.operators.ordered import key_sizes
 from sheaf.operators.packing import concat_parts, number_parts
 from sheaf.operators.render import blocks
 from sheaf.operators.selection import apply_mode, selected_file_problem
+from sheaf.operators.sizes import small_side
 from sheaf.operators.stale import current_hashes, headlines, snapshot, stale_files
 from sheaf.operators.symbols import filter_decision, parse_errors, symbol_lists, with_source
 from sheaf.operators.tree import KEY_TYPE, tree_lines, tree_rows
+from sheaf.session import freeze
 
 TREE, FILES = 0, 1
 
@@ -37,12 +40,53 @@ class PackOptions:
     part_bytes: int = PART_BYTES
 
 
-def prepare(files: DataFrame, roots: DataFrame, options: PackOptions) -> DataFrame:
-    """Ignore filter first, then the text check and the session's root: adds is_text, root."""
-    kept = drop_ignored(files, options.ignore)
-    return kept.withColumn("is_text", is_text("content", options.lenient_tail)).join(
-        roots.select("session_id", "root"), "session_id", "left"
+def session_settings(
+    files: DataFrame, roots: DataFrame, state: DataFrame, options: PackOptions
+) -> DataFrame:
+    """One row per session: session_id, root, mode, selected_file, selected_items, message.
+
+    ``message`` is set where the selected single file cannot be shown.  The table is frozen
+    (it is read several times) and marked for broadcast if it is small.
+    """
+    slim = state.select("session_id", "mode", "selected_file", "selected_items")
+    joined = roots.select("session_id", "root").join(slim, "session_id", "full")
+    single = (F.col("mode") == MODE_SINGLE) & F.coalesce(F.col("selected_file") != "", F.lit(False))
+    settings = freeze(
+        joined.select(
+            "session_id",
+            "root",
+            F.coalesce("mode", F.lit(MODE_ALL)).alias("mode"),
+            F.when(single, F.col("selected_file")).alias("selected_file"),
+            F.coalesce("selected_items", F.array().cast("array<string>")).alias("selected_items"),
+        )
     )
+    chosen = settings.where(F.col("selected_file").isNotNull()).select("session_id", "mode", "selected_file")
+    if chosen.isEmpty():
+        return small_side(settings.withColumn("message", F.lit(None).cast("string")))
+    wanted = chosen.select("session_id", F.col("selected_file").alias("path"))
+    # the text check runs on the selected files only
+    found = _kept(files, options).join(small_side(wanted), ["session_id", "path"], "left_semi")
+    problems = selected_file_problem(found.withColumn("is_text", is_text("content", options.lenient_tail)), chosen)
+    return small_side(freeze(settings.join(problems, "session_id", "left")))
+
+
+def _kept(files, options):
+    return drop_ignored(files, options.ignore)
+
+
+def prepare(files: DataFrame, settings: DataFrame, options: PackOptions) -> DataFrame:
+    """Files of each session that pass the ignore filter and the selection mode, with is_text and text.
+
+    A file that is not text keeps its row, without text.
+    """
+    joined = _kept(files, options).join(settings, "session_id")
+    shown = joined.where(F.col("selected_file").isNull() | (F.col("path") == F.col("selected_file")))
+    checked = shown.where(F.col("message").isNull()).withColumn("is_text", is_text("content", options.lenient_tail))
+    return checked.withColumn("text", F.when(F.col("is_text"), decode_text("content")))
+
+
+def _file_bytes(files):
+    return F.col("length") if "length" in files.columns else F.octet_length("content").cast("bigint")
 
 
 def process_files(
@@ -55,69 +99,70 @@ def process_files(
 ) -> DataFrame:
     """The packs: session_id, part, parts, output_text, line_count (of the part).
 
-    ``files``: session_id, path, content, mtime.  ``roots``: session_id, root.  ``state``: one
-    selection row per session (may lack sessions).  For a tree section also ``listing`` and
-    ``bases`` (session_id, base).  Parts of a session in order make up its text; a session
-    below ``options.part_bytes`` has exactly one.
+    ``files``: session_id, path, content, mtime and perhaps length.  ``roots``: one row per
+    session (session_id, root).  ``state``: one selection row per session; sessions may lack
+    one.  For a tree section also ``listing`` and ``bases`` (session_id, base).  Parts of a
+    session in order make up its text; one below ``options.part_bytes`` has exactly one.
+
+    The contents are scanned once, joined with the (broadcast) session settings and shuffled
+    once, as rendered blocks, by session and part.
     """
-    prepared = prepare(files, roots, options)
-    sessions = files.select("session_id").distinct()
-    problems = selected_file_problem(prepared, state)
-
-    chosen = (
-        apply_mode(prepared, state)
-        .withColumn("weight", F.octet_length("content").cast("bigint"))
-        .withColumn("text", decode_text("content"))
-    )
-    rendered = blocks(
-        with_source(chosen, "selected_items"), options.home, options.machine_time, options.show_ellipsis, ["weight"]
-    )
-    rows = rendered.select(
+    settings = session_settings(files, roots, state, options)
+    prepared = prepare(files, settings, options)
+    parsed = with_source(prepared, "selected_items")
+    rendered = blocks(parsed.withColumn("bytes", _file_bytes(files)), options.home, options.machine_time,
+                      options.show_ellipsis, ["is_text", "bytes"])
+    file_rows = rendered.select(
         "session_id",
         F.lit(FILES).alias("section"),
         _path_key("path").alias("key"),
-        "weight",
-        F.coalesce("block", F.lit("")).alias("text"),
+        F.when(F.col("is_text"), F.col("bytes")).otherwise(F.lit(0)).alias("weight"),
+        F.coalesce(F.when(F.col("is_text"), F.col("block")), F.lit("")).alias("text"),
+        F.col("is_text"),
     )
-    texts = prepared.groupBy("session_id").agg(F.bool_or("is_text").alias("any_text"))
-    notes = texts.where(~F.col("any_text")).select(
+    # one row per session, before its files: sessions without files appear, errors replace them
+    marks = settings.select(
         "session_id",
         F.lit(FILES).alias("section"),
         _path_key(F.lit("")).alias("key"),
         F.lit(0).cast("bigint").alias("weight"),
-        F.lit(NO_TEXT_FILES).alias("text"),
+        F.coalesce("message", F.lit("")).alias("text"),
+        F.lit(None).cast("boolean").alias("is_text"),
     )
-    rows = rows.unionByName(notes)
+    rows = file_rows.unionByName(marks)
+    biggest, _ = key_sizes(files, ["session_id"], _file_bytes(files))
+    tree_bound = 0
     if options.include_tree:
-        rows = rows.unionByName(_tree_rows(listing, bases, roots, options))
-    rows = rows.join(problems.select("session_id"), "session_id", "left_anti")
-
+        healthy = bases.join(settings.where(F.col("message").isNull()), "session_id")
+        rows = rows.unionByName(_tree_rows(listing, healthy, options))
+        # a tree line is a name and at most max-depth guides and a few more characters
+        tree_bound = listing.agg(F.sum(F.octet_length("path") + 64)).first()[0] or 0
     order = ["section", "key"]
-    numbered = number_parts(rows, ["session_id"], order, F.col("weight"), options.part_bytes)
-    shown = F.max(F.when((F.col("section") == FILES) & (F.col("text") != ""), 1))
-    packed = concat_parts(numbered, ["session_id"], order, "text", extra={"shown": shown})
+    numbered = number_parts(
+        rows, ["session_id"], order, F.col("weight"), options.part_bytes, at_most=biggest + tree_bound
+    )
+    in_files = F.col("section") == FILES
+    flags = {
+        "shown": F.bool_or(in_files & (F.col("text") != "")),
+        "marked": F.bool_or(in_files & F.col("is_text").isNull()),
+        "any_file": F.bool_or(in_files & F.col("is_text").isNotNull()),
+        "any_text": F.bool_or(F.coalesce("is_text", F.lit(False))),
+    }
+    packed = concat_parts(numbered, ["session_id"], order, "text", extra=flags)
     # trailing parts of a long session may hold nothing but failed files
     ends = numbered.where((F.col("parts") > 1) & (F.col("text") != "")).groupBy("session_id")
     packed = packed.join(ends.agg(F.max("part").alias("last_part")), "session_id", "left")
     last = F.col("part") == F.coalesce("last_part", F.col("parts") - 1)
-    only_tree = F.col("shown").isNull() & (F.col("text") != "")
-    text = F.when(last, F.concat(rstrip("text"), F.when(only_tree, F.lit("\n")).otherwise(F.lit("")))).otherwise(
-        F.col("text")
+    # the first text file shares its part with the mark before it
+    only_binary = F.col("marked") & F.col("any_file") & ~F.col("any_text") & ~F.col("shown")
+    text = (
+        F.when(only_binary, F.concat("text", F.lit(NO_TEXT_FILES)))
+        .when(last & ~F.col("shown") & (F.col("text") != ""), F.concat(rstrip("text"), F.lit("\n")))
+        .when(last, rstrip("text"))
+        .otherwise(F.col("text"))
     )
     packs = packed.select("session_id", "part", "parts", text.alias("output_text"))
-    failed = problems.select(
-        "session_id",
-        F.lit(0).cast("bigint").alias("part"),
-        F.lit(1).cast("bigint").alias("parts"),
-        F.col("message").alias("output_text"),
-    )
-    whole = sessions.join(packs.unionByName(failed), "session_id", "left").select(
-        "session_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.coalesce("output_text", F.lit("")).alias("output_text"),
-    )
-    return whole.withColumn("line_count", non_blank_lines("output_text"))
+    return packs.withColumn("line_count", non_blank_lines("output_text"))
 
 
 def _path_key(path):
@@ -126,12 +171,11 @@ def _path_key(path):
     return F.array(entry).cast(KEY_TYPE)
 
 
-def _tree_rows(listing, bases, roots, options):
-    owners = bases.join(roots.select("session_id", "root"), "session_id", "left").select(
+def _tree_rows(listing, bases, options):
+    owners = bases.select(
         "session_id", "base", display_path("base", "root", options.home, show_ellipsis=True).alias("display")
     )
-    lines = tree_lines(listing, bases, options.tree_ignore)
-    drawn = tree_rows(lines, owners)
+    drawn = tree_rows(tree_lines(listing, bases, options.tree_ignore), owners)
     # the last row ends the section; the blank lines before the files belong to it
     is_tail = F.get("key", F.lit(0))["file"] == 9
     text = F.when(is_tail, F.concat("text", F.lit("\n\n"))).otherwise(F.col("text"))
@@ -141,14 +185,14 @@ def _tree_rows(listing, bases, roots, options):
         "key",
         F.octet_length("text").cast("bigint").alias("weight"),
         text.alias("text"),
+        F.lit(False).alias("is_text"),
     )
 
 
 def pack_errors(files: DataFrame, roots: DataFrame, state: DataFrame, options: PackOptions) -> DataFrame:
     """Files that failed: session_id, path, error.  They are left out of the pack; the rest goes on."""
-    prepared = prepare(files, roots, options)
-    chosen = apply_mode(prepared, state).withColumn("text", decode_text("content"))
-    parsed = with_source(chosen, F.array().cast("array<string>"))
+    prepared = prepare(files, session_settings(files, roots, state, options), options)
+    parsed = with_source(prepared, F.array().cast("array<string>"))
     shown = blocks(parsed, options.home, options.machine_time, options.show_ellipsis)
     return shown.where(F.col("error").isNotNull()).select("session_id", "path", "error")
 
