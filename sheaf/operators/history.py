@@ -108,21 +108,23 @@ def _fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replay rows sorted by (session, run, seq); holds one stack, whatever the run's length."""
     names = ["session_id", "run", "pos", "st", "cursor"]
     current, stack, cursor, key_type = None, [], -1, None
+    out = [[] for _ in names]
+
+    def flush():
+        types = [key_type, pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+        for column in out:
+            column.clear()
+        return batch
 
     def drain():
         for start in range(0, len(stack), _BATCH):
             part = stack[start : start + _BATCH]
             n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([current[0]] * n, key_type),
-                    pa.array([current[1]] * n, pa.int64()),
-                    pa.array(range(start, start + n), pa.int64()),
-                    pa.array(part, pa.string()),
-                    pa.array([cursor] * n, pa.int64()),
-                ],
-                names=names,
-            )
+            for column, values in zip(out, ([current[0]] * n, [current[1]] * n, range(start, start + n), part, [cursor] * n)):
+                column.extend(values)
+            if len(out[0]) >= _BATCH:
+                yield flush()
 
     for batch in batches:
         key_type = batch.schema.field("session_id").type
@@ -135,6 +137,8 @@ def _fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cursor = step(stack, cursor, op, state)
     if current is not None:
         yield from drain()
+    if out[0]:
+        yield flush()
 
 
 def independent_runs(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

@@ -38,28 +38,36 @@ class Ordered:
             n = 2 * math.ceil(total / rows_per_slice)
             ranged = df.repartitionByRange(n, *self.keys, *self.order)
             df = freeze(ranged.withColumn(_SLICE, F.spark_partition_id()))
-        self._df = df
+        self._df, self._joined = df, False
 
     # -- helpers -------------------------------------------------------------------------
 
-    def _window(self):
-        return Window.partitionBy(*self.keys, *([_SLICE] if self.sliced else [])).orderBy(*self.order)
+    def _window(self, backwards=False):
+        order = [F.desc(c) if backwards else F.asc(c) for c in self.order]
+        return Window.partitionBy(*self.keys, *([_SLICE] if self.sliced else [])).orderBy(*order)
 
     def _slice_window(self):
         return Window.partitionBy(*self.keys).orderBy(_SLICE)
 
+    def _settle(self) -> None:
+        """Freeze the result of an earlier operation before it is read twice by the next one."""
+        if self._joined:
+            self._df, self._joined = freeze(self._df), False
+
     def _per_slice(self, *aggregates: Column) -> DataFrame:
         return self._df.groupBy(*self.keys, _SLICE).agg(*aggregates)
 
-    def _with(self, df: DataFrame) -> Ordered:
+    def _with(self, df: DataFrame, joined: bool = False) -> Ordered:
         out = object.__new__(Ordered)
         out.keys, out.order, out.sliced, out._df = self.keys, self.order, self.sliced, df
+        out._joined = joined
         return out
 
     # -- operations ----------------------------------------------------------------------
 
     def prefix_sums(self, **weights: Column) -> Ordered:
         """Add the sum of each weight over the rows before this one."""
+        self._settle()
         before = self._window().rowsBetween(Window.unboundedPreceding, -1)
         local = {n: F.coalesce(F.sum(w).over(before), F.lit(0)) for n, w in weights.items()}
         if not self.sliced:
@@ -72,7 +80,7 @@ class Ordered:
         )
         joined = self._df.withColumns(local).join(offsets, [*self.keys, _SLICE])
         total = {n: F.col(n) + F.col(f"__{n}") for n in weights}
-        return self._with(joined.withColumns(total).drop(*[f"__{n}" for n in weights]))
+        return self._with(joined.withColumns(total).drop(*[f"__{n}" for n in weights]), True)
 
     def position(self, name: str) -> Ordered:
         """Add the 0-based position within the key."""
@@ -80,6 +88,7 @@ class Ordered:
 
     def neighbour(self, name: str, columns: list[str], offset: int) -> Ordered:
         """Add the struct of ``columns`` of the previous (-1) or next (1) row; null at the ends."""
+        self._settle()
         packed = F.struct(*columns)
         step = F.lag if offset < 0 else F.lead
         local = step(packed, 1).over(self._window())
@@ -90,23 +99,24 @@ class Ordered:
         edges = self._per_slice(edge.alias("__edge"))
         edges = edges.withColumn("__edge", step("__edge", 1).over(self._slice_window()))
         joined = self._df.withColumn(name, local).join(edges, [*self.keys, _SLICE])
-        return self._with(joined.withColumn(name, F.coalesce(name, "__edge")).drop("__edge"))
+        return self._with(joined.withColumn(name, F.coalesce(name, "__edge")).drop("__edge"), True)
 
     def suffix_min(self, name: str, value: Column) -> Ordered:
         """Add the smallest value over the rows after this one; null on the last row."""
-        after = self._window().rowsBetween(1, Window.unboundedFollowing)
-        local = F.min(value).over(after)
+        self._settle()
+        # backwards, because a frame that only shrinks is recomputed for every row
+        local = F.min(value).over(self._window(backwards=True).rowsBetween(Window.unboundedPreceding, -1))
         if not self.sliced:
             return self._with(self._df.withColumn(name, local))
-        later = self._slice_window().rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(*self.keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
         mins = self._per_slice(F.min(value).alias("__min"))
         mins = mins.withColumn("__min", F.min("__min").over(later))
         joined = self._df.withColumn(name, local).join(mins, [*self.keys, _SLICE])
-        return self._with(joined.withColumn(name, F.least(name, "__min")).drop("__min"))
+        return self._with(joined.withColumn(name, F.least(name, "__min")).drop("__min"), True)
 
     def with_columns(self, **columns: Column) -> Ordered:
         """Add row-local columns."""
-        return self._with(self._df.withColumns(columns))
+        return self._with(self._df.withColumns(columns), self._joined)
 
     def to_df(self) -> DataFrame:
         return self._df.drop(_SLICE)
