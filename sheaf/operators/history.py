@@ -31,7 +31,7 @@ def file_list_digest(rows: DataFrame, keys: list[str], columns: list[str]) -> Da
     is reduced by partial aggregation.  Put a position among ``columns`` where order counts.
     """
     row_hash = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    limbs = [F.conv(F.substring(row_hash, 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    limbs = [F.conv(F.substring(row_hash, 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)") for i in range(5)]
     return rows.groupBy(*keys).agg(
         F.sha2(F.concat_ws(":", F.count(F.lit(1)), *[F.sum(limb) for limb in limbs]), 256).alias("digest")
     )

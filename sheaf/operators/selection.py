@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.constants import MODE_ALL, MODE_SINGLE, ROWS_PER_SLICE
 from sheaf.functions.paths import basename
 from sheaf.operators.ordered import Ordered
+from sheaf.operators.sizes import small_side
 
 
 def dedupe_paths(selection: DataFrame) -> DataFrame:
@@ -63,7 +64,8 @@ def apply_mode(files: DataFrame, state: DataFrame) -> DataFrame:
     without one is in all-files mode.
     """
     slim = state.select("session_id", "mode", "selected_file", "selected_items")
-    joined = files.where("is_text").join(slim, "session_id", "left")
+    # broadcast when small, so that contents are not shuffled by session
+    joined = files.where("is_text").join(small_side(slim), "session_id", "left")
     single = (F.col("mode") == MODE_SINGLE) & F.coalesce(F.col("selected_file") != "", F.lit(False))
     return (
         joined.where(~F.coalesce(single, F.lit(False)) | (F.col("path") == F.col("selected_file")))

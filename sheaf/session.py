@@ -19,6 +19,8 @@ def build_session(app_name: str = "sheaf", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints of tables no longer referenced are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # no call-site capture for every column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -28,7 +28,7 @@ def export_packs(packs: DataFrame, path: str, stamp, text: str = "output_text")
     named = exportable(packs, text).select(
         "session_id", F.date_format(stamp, "yyyyMMdd_HHmmss").alias("stamp"), "part", _line(text)
     )
-    named.write.mode("append").partitionBy("session_id", "stamp", "part").text(path)
+    named.hint("rebalance", "session_id", "part").write.mode("append").partitionBy("session_id", "stamp", "part").text(path)
 
 
 def export_blocks(blocks: DataFrame, path: str, order: list[str], text: str = "block") -> None:

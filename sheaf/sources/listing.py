@@ -19,16 +19,19 @@ from sheaf import schema
 from sheaf.functions.patterns import effective_pattern
 
 _PLAN_DIRS = 512
+_MAX_PARTITIONS = 4096
 
 
 def local_path(path: str) -> str:
     return path[len("file:") :] if path.startswith("file:") else path
 
 
-class _Subtree(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        super().__init__(path)
-        self.path, self.deep = path, deep
+class _Directories(InputPartition):
+    """Directories listed by one task: with everything below them (deep) or their own entries only."""
+
+    def __init__(self, paths: list[str], deep: bool):
+        super().__init__(paths)
+        self.paths, self.deep = paths, deep
 
 
 class _Walk:
@@ -49,7 +52,7 @@ class _Walk:
         """(listing row, is a directory to enter) for each entry; an unreadable one yields its error row."""
         ignore = re.compile(self.ignore) if self.ignore else None
         try:
-            found = sorted(os.scandir(directory), key=lambda e: e.name)
+            found = os.scandir(directory)
         except OSError as e:
             yield self._row(directory, True, None, None, str(e)), False
             return
@@ -73,6 +76,20 @@ class _Walk:
             enter = is_dir and (self.max_depth is None or self.level(path) < self.max_depth)
             yield self._row(path, is_dir, None if is_dir else size, when, None), enter
 
+    def folders(self, directory):
+        """Directories to enter below this one, one at a time; used to plan the tasks."""
+        ignore = re.compile(self.ignore) if self.ignore and self.prune_dirs else None
+        try:
+            found = os.scandir(directory)
+        except OSError:
+            return
+        for entry in found:
+            path = directory.rstrip("/") + "/" + entry.name
+            wanted = self.hidden or not entry.name.startswith(".")
+            if wanted and entry.is_dir(follow_symlinks=False) and not (ignore and ignore.search(path)):
+                if self.max_depth is None or self.level(path) < self.max_depth:
+                    yield path
+
     @staticmethod
     def _row(path, is_dir, length, mtime, error):
         folder, _, name = path.rpartition("/")
@@ -84,20 +101,24 @@ class ListingReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        """Split level by level until there are enough subtrees; the driver lists only those levels."""
+        """Split level by level until there are enough directories; the driver visits only those levels."""
         walk = _Walk(self.options)
-        shallow, frontier = [], [walk.root]
-        while frontier and len(shallow) + len(frontier) < _PLAN_DIRS:
-            following = []
-            for directory in frontier:
-                shallow.append(_Subtree(directory, deep=False))
-                following += [row[0] for row, enter in walk.entries(directory) if enter]
-            frontier = following
-        return shallow + [_Subtree(directory, deep=True) for directory in frontier]
+        visited, frontier = [], [walk.root]
+        while frontier and len(frontier) < _PLAN_DIRS:
+            visited += frontier
+            frontier = [path for directory in frontier for path in walk.folders(directory)]
+            if len(visited) >= _PLAN_DIRS:
+                break
+        return self._spread(visited, deep=False) + self._spread(frontier, deep=True)
+
+    @staticmethod
+    def _spread(paths, deep):
+        n = min(len(paths), _MAX_PARTITIONS)
+        return [_Directories(paths[i::n], deep) for i in range(n)]
 
     def read(self, partition):
         walk = _Walk(self.options)
-        pending = [partition.path]
+        pending = list(partition.paths)
         while pending:
             for row, enter in walk.entries(pending.pop()):
                 yield row

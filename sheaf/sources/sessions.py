@@ -95,12 +95,11 @@ def read_sessions(spark: SparkSession, path: str, whole_file: bool = False) -> t
 def write_states(states: DataFrame, path: str, key: str = "session_id") -> None:
     """Append states as JSON, one folder per session.
 
-    Rows stay where they are unless the write would make many small files; a hot session is
-    written by many tasks.
+    The rows are rebalanced by session first: few files per session, and a hot session is
+    still split over many tasks.
     """
-    states.withColumn("timestamp", iso_timestamp("timestamp")).write.mode("append").option(
-        "ignoreNullFields", "false"
-    ).partitionBy(key).json(path)
+    rows = states.withColumn("timestamp", iso_timestamp("timestamp")).hint("rebalance", key)
+    rows.write.mode("append").option("ignoreNullFields", "false").partitionBy(key).json(path)
 
 
 def read_states(spark: SparkSession, path: str, key_type: str = "string") -> tuple[DataFrame, DataFrame]:
