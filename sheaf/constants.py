@@ -81,6 +81,20 @@ STALE_HEADLINES = {
     "modified": "Files Modified since this state. You may want to refresh.",
 }
 
+# headings of the pack format
+CODE_HEADING = "# Code from: "
+IMPORTS_HEADING = "# Imports (potentially includes more than needed):"
+SELECTED_HEADING = "# Selected Classes/Functions:"
+TREE_HEADING = "# Folder Tree of "
+
+# error texts
+SYNTAX_ERROR = "Syntax error in {name}: line {line} - {reason}"
+PARSE_ERROR = "Failed to parse Python file {name}: {reason}"
+BLOCK_ERROR = ": Error processing - "
+FILE_NOT_FOUND = ("FileNotFoundError", "One or more files could not be found")
+BAD_SESSION_ID = ("ValidationError", "Invalid session ID format", "Valid UUID string")
+BAD_PATH = "Invalid file path provided"
+
 ACTIONS = ("process_files", "get_python_symbols", "update_selection", "save_session", "load_session")
 
 # str.isspace() and str.splitlines() of Python, as characters

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.constants import PARSE_ERROR, SYNTAX_ERROR
+
 SOURCE_TYPE = (
     "struct<symbols:array<struct<kind:string,name:string,code:string>>,"
     "imports:array<string>,"
@@ -50,9 +52,9 @@ def scan_source(name: str, text: str, wanted) -> dict:
             for item in node.names:
                 found["names"][item.asname or item.name] = prefix + item.name
     except SyntaxError as e:
-        return {"error": f"Syntax error in {name}: line {e.lineno} - {e.msg}"}
+        return {"error": SYNTAX_ERROR.format(name=name, line=e.lineno, reason=e.msg)}
     except Exception as e:  # a hostile source must not fail the job
-        return {"error": f"Failed to parse Python file {name}: {e}"}
+        return {"error": PARSE_ERROR.format(name=name, reason=e)}
     return {
         "symbols": found["symbols"],
         "imports": sorted(found["imports"]),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.constants import BLOCK_ERROR, CODE_HEADING, IMPORTS_HEADING, SELECTED_HEADING
 from sheaf.functions.paths import display_path, language
 from sheaf.functions.text import content_hash, is_text, strip
 from sheaf.functions.times import modified_line
@@ -36,16 +37,16 @@ def full_block(display, modified, lang, text) -> Column:
 def filtered_block(display, modified, imports, matched) -> Column:
     """Selected definitions of a file after all of its imports, unfenced."""
     import_lines = F.concat(
-        F.lit("\n\n# Imports (potentially includes more than needed):\n"), F.array_join(imports, "\n"), F.lit("\n")
+        F.lit(f"\n\n{IMPORTS_HEADING}\n"), F.array_join(imports, "\n"), F.lit("\n")
     )
     code = F.array_join(F.transform(matched, lambda s: s["code"]), "\n\n")
     return F.concat(
-        F.lit("# Code from: "),
+        F.lit(CODE_HEADING),
         display,
         F.lit("\n"),
         modified,
         F.when(F.size(imports) > 0, import_lines).otherwise(F.lit("")),
-        F.lit("\n# Selected Classes/Functions:\n"),
+        F.lit(f"\n{SELECTED_HEADING}\n"),
         strip(code),
         F.lit("\n\n\n"),
     )
@@ -78,7 +79,7 @@ def blocks(
         *(keep or []),
         "decision",
         F.when(F.col("decision") == "full", full).when(F.col("decision") == "filtered", part).alias("block"),
-        F.when(failed, F.concat("display", F.lit(": Error processing - "), "source.error")).alias("error"),
+        F.when(failed, F.concat("display", F.lit(BLOCK_ERROR), "source.error")).alias("error"),
     )
 
 

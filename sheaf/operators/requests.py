@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.constants import ACTIONS
+from sheaf.constants import ACTIONS, BAD_PATH, BAD_SESSION_ID, FILE_NOT_FOUND
 from sheaf.functions.paths import under
 
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
@@ -69,16 +69,16 @@ def shape_error(allowed_dirs: list[str] | None = None, max_bytes: int | None = N
         )
         .when(
             session.isNull() | ~session.rlike(_UUID),
-            _error(kind, "Invalid session ID format", "session_id", "Valid UUID string", session),
+            _error(BAD_SESSION_ID[0], BAD_SESSION_ID[1], "session_id", BAD_SESSION_ID[2], session),
         )
         .when(missing, _error(kind, F.concat(F.lit("Missing payload field "), required), "payload", "Required fields", required))
         .when(
             F.size(first_bad["absolute"]) > 0,
-            _error(kind, "Invalid file path provided", "path", "Absolute path", F.get(first_bad["absolute"], F.lit(0))),
+            _error(kind, BAD_PATH, "path", "Absolute path", F.get(first_bad["absolute"], F.lit(0))),
         )
         .when(
             F.size(first_bad["traversal"]) > 0,
-            _error(kind, "Invalid file path provided", "path", "No parent references", F.get(first_bad["traversal"], F.lit(0))),
+            _error(kind, BAD_PATH, "path", "No parent references", F.get(first_bad["traversal"], F.lit(0))),
         )
     )
     if allowed_dirs:
@@ -125,8 +125,8 @@ def missing_files(requests: DataFrame, key: str, listing: DataFrame) -> DataFram
     return listed.where(F.size("missing_files") > 0).select(
         key,
         F.struct(
-            F.lit("FileNotFoundError").alias("type"),
-            F.lit("One or more files could not be found").alias("message"),
+            F.lit(FILE_NOT_FOUND[0]).alias("type"),
+            F.lit(FILE_NOT_FOUND[1]).alias("message"),
             F.to_json(F.struct("missing_files", "accessible_files")).alias("details"),
         ).alias("error"),
     )

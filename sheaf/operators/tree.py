@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, TREE_MAX_DEPTH
+from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, TREE_HEADING, TREE_MAX_DEPTH
 from sheaf.functions.paths import ancestors, basename, components, parent, relative
 from sheaf.functions.patterns import effective_pattern, matches_any_extension
 from sheaf.operators.ordered import Ordered
@@ -168,7 +168,7 @@ def tree_rows(lines: DataFrame, owners: DataFrame) -> DataFrame:
         "base",
         F.array().cast(KEY_TYPE).alias("key"),
         F.concat(
-            F.lit("# Folder Tree of "), "display", F.lit("\n\n```text\n"), basename("base"), F.lit("/\n")
+            F.lit(TREE_HEADING), "display", F.lit("\n\n```text\n"), basename("base"), F.lit("/\n")
         ).alias("text"),
     )
     body = lines.join(owners, "base").select(

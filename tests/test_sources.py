@@ -151,20 +151,20 @@ def test_basename_takes_the_first(spark):
 
 FULL_SESSION = {
     "id": "7d1c6a5e-0000-4000-8000-000000000001",
-    "timestamp": "2025-07-05T14:30:00.000120+00:00",
-    "files": ["/path/to/file1.py", "/path/to/file2.js"],
+    "timestamp": "2031-03-04T05:06:07.000120+00:00",
+    "files": ["/work/shop/cart.py", "/work/shop/notes.md"],
     "file_metadata": [
-        {"path": "/path/to/file1.py", "display_path": "file1.py", "is_text_file": True, "language": "python",
-         "last_modified": "2025-07-05T14:25:00+00:00", "file_hash": "abc123", "size_bytes": 1024},
-        {"path": "/path/to/file2.js", "display_path": "file2.js", "is_text_file": True, "language": None,
-         "last_modified": None, "file_hash": "def456", "size_bytes": 512},
+        {"path": "/work/shop/cart.py", "display_path": "~/shop/cart.py", "is_text_file": True, "language": "python",
+         "last_modified": "2031-03-01T00:00:00+00:00", "file_hash": "00ff", "size_bytes": 77},
+        {"path": "/work/shop/notes.md", "display_path": "~/shop/notes.md", "is_text_file": False, "language": None,
+         "last_modified": None, "file_hash": None, "size_bytes": None},
     ],
-    "selection_state": {"mode": "Single File", "selected_file": "/path/to/file1.py", "selected_items": ["MyClass", "f"]},
-    "project_root": "/path/to",
-    "tree_snapshot": {"base_path": "/path/to", "base_path_display": "project/", "ignore_regex": r"\.git|\.pyc",
-                      "rendered": "# Tree\n```\nproject/\n├── file1.py\n└── file2.js\n```"},
-    "output_text": "# Generated output...",
-    "settings": {"auto_copy": False, "include_tree": True},
+    "selection_state": {"mode": "Single File", "selected_file": "/work/shop/cart.py", "selected_items": ["Cart", "add"]},
+    "project_root": "/work/shop",
+    "tree_snapshot": {"base_path": "/work/shop", "base_path_display": "~/shop/", "ignore_regex": r"tmp|\.lock",
+                      "rendered": "shop/\n├── cart.py\n└── notes.md"},
+    "output_text": "Überschrift\n\"quoted\"",
+    "settings": {"auto_copy": False, "depth": 5, "include_tree": True},
 }
 
 
