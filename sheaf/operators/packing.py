@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, SHARD_ROWS
 from sheaf.operators.ordered import Ordered, key_sizes
+from sheaf.session import freeze
 
 
 def number_parts(
@@ -14,6 +15,7 @@ def number_parts(
     keys: list[str],
     order: list[str],
     weight: Column,
+    text: str,
     part_bytes: int = PART_BYTES,
     rows_per_slice: int = ROWS_PER_SLICE,
     at_most: int | None = None,
@@ -21,20 +23,29 @@ def number_parts(
     """Add ``part`` (0-based) and ``parts`` (number of parts of the key).
 
     A part ends where the weight of the rows before reaches the next multiple of
-    ``part_bytes``, so parts follow from the rows alone.  When no key outgrows one part,
-    which is checked on the weights only, nothing is ordered at all.  ``at_most`` is an upper
-    bound of the biggest key, where the caller has one for less work.
+    ``part_bytes``, so parts follow from the rows alone; empty texts at the end of a key stay
+    in its last part that has any text.  When no key outgrows one part, which is checked on
+    the weights only, nothing is ordered at all.  ``at_most`` is an upper bound of the biggest
+    key, where the caller has one for less work.
+
+    Otherwise only keys, order, weights and "is empty" are shuffled to number the parts; the
+    numbers are frozen and joined to the texts.
     """
     biggest = at_most
     if biggest is None or biggest > part_bytes:
         biggest, _ = key_sizes(rows, keys, weight)
     if biggest <= part_bytes:
         return rows.withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
-    narrow = rows.select(*keys, *order, weight.alias("__weight"))
-    numbered = Ordered(narrow, keys, order, rows_per_slice).prefix_sums(__before=F.col("__weight")).to_df()
-    numbered = numbered.select(*keys, *order, F.floor(F.col("__before") / part_bytes).alias("part"))
-    parts = numbered.groupBy(*keys).agg((F.max("part") + 1).alias("parts"))
-    return rows.join(numbered.join(parts, keys), [*keys, *order])
+    narrow = rows.select(*keys, *order, weight.alias("__weight"), (F.col(text) != "").alias("__solid"))
+    placed = Ordered(narrow, keys, order, rows_per_slice).prefix_sums(__before=F.col("__weight")).to_df()
+    part = F.floor(F.col("__before") / part_bytes)
+    numbered = freeze(placed.select(*keys, *order, "__solid", part.alias("part")))
+    last = numbered.groupBy(*keys).agg(F.max(F.when(F.col("__solid"), F.col("part"))).alias("__last"))
+    last_part = F.coalesce("__last", F.lit(0))
+    parts = numbered.join(last, keys).select(
+        *keys, *order, F.least("part", last_part).alias("part"), (last_part + 1).alias("parts")
+    )
+    return rows.join(parts, [*keys, *order])
 
 
 def concat_parts(

@@ -81,5 +81,5 @@ def reports(stale: DataFrame, keys: list[str], display: str = "path", part_bytes
         *keys, F.lit("").alias("path"), F.lit(STALE_TOOLTIP_HEAD).alias("report")
     )
     rows = lines.unionByName(heads)
-    numbered = number_parts(rows, keys, ["path"], F.octet_length("report"), part_bytes)
+    numbered = number_parts(rows, keys, ["path"], F.octet_length("report"), "report", part_bytes)
     return concat_parts(numbered, keys, ["path"], "report")

@@ -182,7 +182,7 @@ def tree_rows(lines: DataFrame, owners: DataFrame) -> DataFrame:
 def tree_text(lines: DataFrame, owners: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The tree section per base, in parts: base, part, parts, rendered."""
     rows = tree_rows(lines, owners.select("base", "display")).withColumnRenamed("text", "rendered")
-    numbered = number_parts(rows, ["base"], ["key"], F.octet_length("rendered"), part_bytes)
+    numbered = number_parts(rows, ["base"], ["key"], F.octet_length("rendered"), "rendered", part_bytes)
     return concat_parts(numbered, ["base"], ["key"], "rendered")
 
 

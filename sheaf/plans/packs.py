@@ -139,7 +139,7 @@ def process_files(
         tree_bound = listing.agg(F.sum(F.octet_length("path") + 64)).first()[0] or 0
     order = ["section", "key"]
     numbered = number_parts(
-        rows, ["session_id"], order, F.col("weight"), options.part_bytes, at_most=biggest + tree_bound
+        rows, ["session_id"], order, F.col("weight"), "text", options.part_bytes, at_most=biggest + tree_bound
     )
     in_files = F.col("section") == FILES
     flags = {
@@ -149,10 +149,7 @@ def process_files(
         "any_text": F.bool_or(F.coalesce("is_text", F.lit(False))),
     }
     packed = concat_parts(numbered, ["session_id"], order, "text", extra=flags)
-    # trailing parts of a long session may hold nothing but failed files
-    ends = numbered.where((F.col("parts") > 1) & (F.col("text") != "")).groupBy("session_id")
-    packed = packed.join(ends.agg(F.max("part").alias("last_part")), "session_id", "left")
-    last = F.col("part") == F.coalesce("last_part", F.col("parts") - 1)
+    last = F.col("part") == F.col("parts") - 1
     # the first text file shares its part with the mark before it
     only_binary = F.col("marked") & F.col("any_file") & ~F.col("any_text") & ~F.col("shown")
     text = (
