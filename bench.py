@@ -26,6 +26,7 @@ HEADLINE = [
     "j4_project_root",
     "a2_pack",
     "a2_pack_parts",
+    "a2_pack_hot_session",
     "a9_tree_lines",
     "w1_drop_repeats",
     "t1_replay",

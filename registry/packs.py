@@ -51,6 +51,25 @@ def _(spark, sf):
     return packs.select("session_id", "part", "parts", "output_text")
 
 
+@query("a2_pack_hot_session", f"""
+WITH {V.FX_FILES}, {_KEPT}, b AS (SELECT CASE WHEN n % 3 = 0 THEN 'hot' ELSE session_id END AS session_id, path,
+    octet_length(content) AS size, {V.block("'~/' || substr(path, 9)")} AS block FROM kept WHERE is_text),
+o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY session_id ORDER BY path
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS BIGINT) AS part FROM b),
+g AS (SELECT session_id, part, string_agg(block, '' ORDER BY path) AS t FROM o GROUP BY ALL)
+SELECT session_id, part, max(part) OVER (PARTITION BY session_id) + 1 AS parts,
+  CASE WHEN part = max(part) OVER (PARTITION BY session_id) THEN rtrim(t, chr(10)) ELSE t END AS output_text FROM g""")
+def _(spark, sf):
+    """One session holds a third of all files: sliced numbering, many parts."""
+    hot = F.expr("CAST(substr(session_id, 4) AS INT) % 3 = 0")
+    session = F.when(hot, F.lit("hot")).otherwise(F.col("session_id"))
+    files = V.fx_files(spark, sf).withColumn("session_id", session)
+    roots = files.select("session_id", F.lit(None).cast("string").alias("root")).distinct()
+    options = PackOptions(home=V.HOME, part_bytes=50_000, rows_per_slice=V.some_slices(files))
+    packs = process_files(files, roots, _no_state(spark), options)
+    return packs.select("session_id", "part", "parts", "output_text")
+
+
 _C1 = f"""WITH {V.FX_FILES}, {_KEPT}, {V.FILE_STATE}, {_BLOCKS},
 state AS (SELECT s.*, k.is_text AS found FROM file_state s LEFT JOIN kept k ON k.session_id = s.session_id
   AND k.path = s.selected_file),

@@ -103,10 +103,10 @@ def _(spark, sf):
 @query("j6_membership", f"""
 WITH {V.FX_FILES} SELECT session_id, path, doc_id % 3 = 0 AS selected FROM fx_files""")
 def _(spark, sf):
-    docs = V.fx_files(spark, sf).select("session_id", "path", F.expr("minute(mtime) + 60 * hour(mtime)").alias("m"))
+    docs = V.fx_files(spark, sf).select("session_id", "path")
     number = F.regexp_extract("path", r"doc_([0-9]+)", 1).cast("bigint")
     chosen = docs.where(number % 3 == 0).select("session_id", "path")
-    return membership(docs.select("session_id", "path"), chosen)
+    return membership(docs, chosen)
 
 
 @query("u3_selection_changed", """

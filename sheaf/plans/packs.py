@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.constants import MODE_ALL, MODE_SINGLE, NO_TEXT_FILES, PART_BYTES
+from sheaf.constants import MODE_ALL, MODE_SINGLE, NO_TEXT_FILES, PART_BYTES, ROWS_PER_SLICE
 from sheaf.functions.paths import display_path
 from sheaf.functions.text import decode_text, is_text, non_blank_lines, rstrip
 from sheaf.operators.filters import drop_ignored, keep_python
@@ -38,6 +38,7 @@ class PackOptions:
     include_date_modified: bool = True  # kept for callers; the line is always written
     lenient_tail: bool = False
     part_bytes: int = PART_BYTES
+    rows_per_slice: int = ROWS_PER_SLICE
 
 
 def session_settings(
@@ -135,11 +136,18 @@ def process_files(
     if options.include_tree:
         healthy = bases.join(settings.where(F.col("message").isNull()), "session_id")
         rows = rows.unionByName(_tree_rows(listing, healthy, options))
-        # a tree line is a name and at most max-depth guides and a few more characters
-        tree_bound = listing.agg(F.sum(F.octet_length("path") + 64)).first()[0] or 0
+        # a tree line is a name, a few guides and at most one note; head and tail are short
+        tree_bound = 16_384 + (listing.agg(F.sum(F.octet_length("path") + 128)).first()[0] or 0)
     order = ["section", "key"]
     numbered = number_parts(
-        rows, ["session_id"], order, F.col("weight"), "text", options.part_bytes, at_most=biggest + tree_bound
+        rows,
+        ["session_id"],
+        order,
+        F.col("weight"),
+        "text",
+        options.part_bytes,
+        options.rows_per_slice,
+        at_most=biggest + tree_bound,
     )
     in_files = F.col("section") == FILES
     flags = {

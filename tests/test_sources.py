@@ -15,7 +15,7 @@ from sheaf.schema import SESSION
 from sheaf.sources.contents import read_contents
 from sheaf.sources.export import export_blocks, exportable
 from sheaf.sources.listing import list_directory
-from sheaf.sources.ndjson import error_response, parse_requests, success_response
+from sheaf.sources.ndjson import error_response, parse_requests, stream_requests, success_response
 from sheaf.sources.sessions import parse_sessions, read_sessions, session_json
 
 
@@ -251,6 +251,25 @@ def test_missing_files_and_responses(spark):
     assert json.loads(good) == {"action": "refresh", "session_id": UUID, "success": True, "payload": {"n": 1}}
 
 
+def test_request_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(request() + "\n" + request("dance") + "\n")
+    stream = stream_requests(spark, str(tmp_path / "in"))
+    valid, rejects = validate(stream, "value")
+    lines = rejects.select(F.col("request.action").alias("action"), F.col("request.session_id").alias("session_id"), "error")
+    query = (
+        lines.select(error_response("action", "session_id", "error").alias("value"))
+        .writeStream.format("text")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "marks"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    answers = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [(a["action"], a["error"]["message"]) for a in answers] == [("dance", "Unknown action")]
+
+
 def test_exports(spark, tmp_path):
     packs = spark.createDataFrame([("a", " \n\t"), ("b", "x")], "session_id string, output_text string")
     assert [r.session_id for r in exportable(packs).collect()] == ["b"]
