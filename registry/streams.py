@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import functions as F
-
 from registry import views as V
 from registry.core import query, table
 from registry.history import _REPLAYED

@@ -284,7 +284,7 @@ WITH {_KIND} SELECT key, CASE kind WHEN 6 THEN 'PermissionError' ELSE 'Validatio
     WHEN 5 THEN '/home/u/code/../x' WHEN 6 THEN '/etc/passwd' ELSE '{{not json' END AS received
 FROM requests WHERE kind BETWEEN 1 AND 7""")
 def _(spark, sf):
-    _, rejects = validate(parse_requests(_request_lines(spark, sf)), "key", [V.CODE], max_bytes=10_000)
+    _, rejects = validate(parse_requests(_request_lines(spark, sf)), [V.CODE], max_bytes=10_000)
     return rejects.select(
         "key", "error.type", "error.message", F.get_json_object("error.details", "$.received").alias("received")
     )
@@ -292,7 +292,7 @@ def _(spark, sf):
 
 @query("f9_valid", f"WITH {_KIND} SELECT key, kind FROM requests WHERE kind IN (0, 8, 9)")
 def _(spark, sf):
-    valid, _ = validate(parse_requests(_request_lines(spark, sf)), "key", [V.CODE], max_bytes=10_000)
+    valid, _ = validate(parse_requests(_request_lines(spark, sf)), [V.CODE], max_bytes=10_000)
     return valid.select("key", "kind")
 
 
@@ -304,7 +304,7 @@ def _present(spark, sf):
 
 
 def _valid(spark, sf):
-    valid, _ = validate(parse_requests(_request_lines(spark, sf)), "key", [V.CODE])
+    valid, _ = validate(parse_requests(_request_lines(spark, sf)), [V.CODE])
     return valid
 
 
@@ -336,7 +336,7 @@ def _(spark, sf):
     """Requests written as lines, read, validated, answered, written and read again."""
     incoming, outgoing = scratch_path(spark, "requests"), scratch_path(spark, "responses")
     write_lines(_request_lines(spark, sf).where("kind IN (0, 2, 8, 9)"), incoming)
-    valid, rejects = validate(read_requests(spark, incoming), "value", [V.CODE])
+    valid, rejects = validate(read_requests(spark, incoming), [V.CODE])
     action, session = F.col("request.action"), F.col("request.session_id").alias("session_id")
     accepted = F.struct(F.get_json_object("value", "$.key").cast("bigint").alias("accepted"))
     good = valid.select("*", action.alias("action"), session).select(

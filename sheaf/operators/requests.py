@@ -97,7 +97,9 @@ def _any(conditions):
     return out
 
 
-def validate(requests: DataFrame, key: str, allowed_dirs=None, max_bytes=None) -> tuple[DataFrame, DataFrame]:
+def validate(
+    requests: DataFrame, allowed_dirs: list[str] | None = None, max_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) by shape; rejects carry ``error``."""
     checked = requests.withColumn("error", shape_error(allowed_dirs, max_bytes))
     return checked.where(F.col("error").isNull()).drop("error"), checked.where(F.col("error").isNotNull())

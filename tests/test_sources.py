@@ -223,7 +223,7 @@ def request(action="process_files", session=UUID, payload=None):
 )
 def test_request_validation(spark, line, kind, message):
     parsed = parse_requests(spark.createDataFrame([(1, line)], "key int, value string"))
-    valid, rejects = validate(parsed, "key", ["/p"], max_bytes=400)
+    valid, rejects = validate(parsed, ["/p"], max_bytes=400)
     if kind is None:
         assert (valid.count(), rejects.count()) == (1, 0)
     else:
@@ -255,7 +255,7 @@ def test_request_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(request() + "\n" + request("dance") + "\n")
     stream = stream_requests(spark, str(tmp_path / "in"))
-    valid, rejects = validate(stream, "value")
+    valid, rejects = validate(stream)
     lines = rejects.select(F.col("request.action").alias("action"), F.col("request.session_id").alias("session_id"), "error")
     query = (
         lines.select(error_response("action", "session_id", "error").alias("value"))
