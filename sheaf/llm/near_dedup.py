@@ -9,7 +9,7 @@ from equal registers, corrected for chance collisions, and then confirmed on the
 Documents of equal sets form one class, so copies cost nothing more.  Within a key, each class is
 compared with the key's smallest class, in every input partition first and then over all, so a
 hot key never sends more than one class per partition.  Where that leaves a key's classes in several components,
-those outside the largest meet all others, in blocks, and pairs whose sketches agree enough are confirmed.
+the full sets of those outside the largest meet those of all others, in blocks; only links leave a block.
 
 Rules: a null or empty text has an empty set, linked with nothing.  A null ``doc_id`` counts as the largest, and as
 equal to itself.  Rows with the same ``doc_id`` keep their own sets.  Other columns are ignored.
@@ -33,7 +33,7 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 10
 VALUE_BITS = 40
 SLACK = 0.2  # six standard deviations of the estimate from BUCKETS registers
-BLOCK = 4096
+BLOCK = 512
 
 _PROBES = 48
 _PROBE = (mix(np.arange(1, BUCKETS * _PROBES + 1, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(_PROBES, BUCKETS)
@@ -217,34 +217,47 @@ def _estimate_pairs(threshold: float):
     return run
 
 
-def _cross(threshold: float):
-    """One block of a key: classes outside its largest component against all of another component."""
+def _cross(percent: int):
+    """One block of a group: full sets of classes outside its largest component against those of other components."""
 
     def run(table):
-        names = ["class", "label", "n_shingles", "outside", "as_row", "as_column"]
-        name, label, n, outside, row, column = (table.column(c).to_numpy() for c in names)
-        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        found = []
+        names = ["class", "label", "outside", "as_row", "as_column"]
+        name, label, outside, row, column = (table.column(c).to_numpy() for c in names)
+        sets = table.column("shingles").combine_chunks()
+        at = sets.offsets.to_numpy().astype(np.int64)
+        size = np.diff(at)
+        _, value = np.unique(sets.values.to_numpy(), return_inverse=True)
+        value = value[at[0] :] if at[0] else value
+        at = at - at[0]
         others = np.flatnonzero(column)
+        flat = np.concatenate([value[at[j] : at[j + 1]] for j in others]) if len(others) else value[:0]
+        edges = np.concatenate(([0], np.cumsum(size[others])))
+        mark = np.zeros(len(value) + 1, dtype=np.int64)
+        found = []
         for i in np.flatnonzero(row):
-            j = others[(label[others] != label[i]) & (~outside[others] | (name[others] > name[i]))]
-            near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
-            j = j[near]
-            if len(j):
-                same = (registers[j] == registers[i]).mean(axis=1) >= threshold - SLACK
-                found.append((np.full(same.sum(), name[i]), name[j[same]]))
+            own = value[at[i] : at[i + 1]]
+            mark[own] = 1
+            common = np.diff(np.concatenate(([0], np.cumsum(mark[flat])))[edges])
+            mark[own] = 0
+            linked = 100 * common >= percent * (size[i] + size[others] - common)
+            linked &= (label[others] != label[i]) & (~outside[others] | (name[others] > name[i]))
+            found.append((np.full(linked.sum(), name[i]), name[others[linked]]))
         a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def _full_sets(met: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The sets of all classes that met another one, once each."""
+    asked = met.select(F.col("a").alias("class")).union(met.select("b")).distinct()
     asked = classes.join(asked, "class").select("class", "doc_id", "key")
     texts = docs.join(asked, docs.doc_id.eqNullSafe(asked.doc_id) & (docs.key == asked.key)).select("class", "text")
-    sets = written(texts.dropDuplicates(["class"]).mapInArrow(_sets(k), "class long, shingles array<long>"), "sets")
+    return written(texts.dropDuplicates(["class"]).mapInArrow(_sets(k), "class long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     side = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -254,28 +267,32 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links).withColumnRenamed("node", "class")
-    return classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return classes.select("class", "doc_id").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def _stragglers(met: DataFrame, labelled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes that share a key and still stand in different components."""
+def _stragglers(met: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes that share a key and still stand in different components.
+
+    Keys with the same smallest class form one group, so that a class comes into few groups.
+    """
     name = labelled.select("class", "label")
     side = lambda c: name.select(F.col("class").alias(c), F.col("label").alias(f"label_{c}"))
-    split = met.join(side("a"), "a").join(side("b"), "b").filter("label_a != label_b").select("band").distinct()
-    split = written(split, "split")
-    own = met.join(split, "band")
-    own = own.select("band", F.col("a").alias("class")).union(own.select("band", "b")).distinct()
-    own = written(own.join(name, "class"), "members")
-    sizes = own.groupBy("band", "label").count()
-    largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"))
+    tops = met.groupBy("band").agg(F.min("b").alias("top"))
+    rows = met.join(side("a"), "a").join(side("b"), "b")
+    split = rows.filter("label_a != label_b").select("band").distinct()
+    rows = rows.join(split, "band").join(tops, "band")
+    own = rows.select("top", F.col("a").alias("class"), F.col("label_a").alias("label")).union(rows.select("top", "b", "label_b")).distinct()
+    own = written(own, "members")
+    sizes = own.groupBy("top", "label").count()
+    largest = sizes.groupBy("top").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = own.join(largest, "band").select("band", "class", (F.col("label") != F.col("main")).alias("outside"), blocks.alias("blocks"))
+    own = own.join(largest, "top").withColumn("outside", F.col("label") != F.col("main")).withColumn("blocks", blocks)
     own = own.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    rows = own.filter("outside").select("band", "class", "outside", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("as_row"), F.lit(False).alias("as_column"))
-    columns = own.select("band", "class", "outside", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("as_row"), F.lit(True).alias("as_column"))
-    spread = rows.unionByName(columns).join(labelled.select("class", "label", "n_shingles", "registers"), "class")
-    return spread.groupBy("band", "i", "j").applyInArrow(_cross(threshold), "a long, b long").distinct()
+    rows = own.filter("outside").select("top", "class", "label", "outside", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("as_row"), F.lit(False).alias("as_column"))
+    columns = own.select("top", "class", "label", "outside", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("as_row"), F.lit(True).alias("as_column"))
+    spread = rows.unionByName(columns).join(sets, "class")
+    return spread.groupBy("top", "i", "j").applyInArrow(_cross(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -297,14 +314,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"reg_{c}"))
     pairs = met.select("a", "b").distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_pairs(threshold), "a long, b long")
-    links = _confirmed(written(pairs, "pairs"), classes, docs, shingle, percent)
-    labelled = _labelled(classes, links)
-    more = written(_stragglers(met, labelled, threshold), "pairs")
+    sets = _full_sets(met, classes, docs, shingle)
+    links = _confirmed(pairs, sets, percent)
+    labelled = written(_labelled(classes, links), "labelled")
+    more = written(_stragglers(met, labelled, sets, percent), "links")
     if not more.isEmpty():
-        links = links.union(_confirmed(more, classes, docs, shingle, percent))
-        labelled = _labelled(classes, links)
+        # components of components: links between the labels found so far
+        side = lambda c: labelled.select(F.col("class").alias(c), F.col("label").alias(f"label_{c}"))
+        joined = more.join(side("a"), "a").join(side("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        top = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labelled = labelled.join(top, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    labelled = written(labelled.select("class", "label", "doc_id"), "labelled")
     heads = labelled.groupBy("label").agg(least.alias("head"))
     named = labelled.join(heads, "label").select("class", F.col("head").alias("head"))
     out = sketches.select("doc_id", "n_shingles", "class").join(named, "class", "left")
