@@ -23,7 +23,7 @@ from sheaf.llm.common import small_batches
 from sheaf.llm.words import slices
 
 BATCH_BYTES = 1 << 18
-MEMO_SEGMENTS = 400_000
+MEMO_SEGMENTS = 1_500_000  # about 200 MB
 
 _UNSAFE = re.compile(r" (?=\s|$)")
 _SAFE = re.compile(r" (?=\S)")
@@ -56,10 +56,10 @@ class _Lengths:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def learn(self, wanted: set[str]) -> None:
-        new = sorted(wanted - self.known.keys())
+        new = wanted - self.known.keys()
         if len(self.known) + len(new) > MEMO_SEGMENTS:
             self.known.clear()
-            new = sorted(wanted)
+            new = wanted
         for batch in by_bytes(new):
             for text, encoding in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
                 self.known[text] = len(encoding)
