@@ -135,3 +135,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def _digest(scored: DataFrame, n: int, out: int) -> DataFrame:
+    from sheaf.llm.learning import remainder
+
+    held = F.coalesce(remainder(F.col("doc_id"), n) == out, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", "predicted")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.learning import remainder
+    from sheaf.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
+    return _digest(score_toxicity(docs, model, threshold=0.3), 4, 2)
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.learning import remainder
+    from sheaf.llm.quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    return _digest(score_quality(docs, model, threshold=0.5), 3, 1)
