@@ -162,3 +162,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
     return _digest(score_quality(docs, model, threshold=0.5), 3, 1)
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.learning import remainder
+    from sheaf.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
