@@ -87,28 +87,36 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return one.groupBy("length", "print", "window").agg(F.collect_set("item").alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_words, n_hit, items (sorted), hits (at, length)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs`` (text and the columns ``carry``): n_words, n_hit, items (sorted), hits (at, length)."""
     tests = written(benchmark_windows(benchmark), "windows")
     lengths = sorted(r.length for r in tests.select("length").distinct().collect())  # at most WINDOW values
     small = tests.count() <= SMALL
     wanted = sorted({r["print"] for r in tests.select("print").distinct().collect()}) if small else None
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *carry, words_of(F.col("text")).alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     if lengths:
-        rows = _windows(rows, lengths, wanted).select("row", "doc_id", "n_words", F.inline_outer("found"))
+        rows = _windows(rows, lengths, wanted).select("_row", *carry, "n_words", F.inline_outer("found"))
     else:
         empty = tests.select("length", F.lit(0).alias("at"), "print", "window").schema
-        rows = rows.select("row", "doc_id", "n_words", *(F.lit(None).cast(f.dataType).alias(f.name) for f in empty))
+        rows = rows.select("_row", *carry, "n_words", *(F.lit(None).cast(f.dataType).alias(f.name) for f in empty))
     tests = tests.withColumnRenamed("window", "test")
     hits = rows.join(F.broadcast(tests) if small else tests, ["length", "print"], "left")
     same = F.col("window") == F.col("test")
-    out = hits.groupBy("row", "doc_id", "n_words").agg(
+    out = hits.groupBy("_row", *carry, "n_words").agg(
         F.collect_set(F.when(same, F.struct("at", "length"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(same, F.col("items")))))).alias("items"),
     )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))
-    return out.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), "items", F.array_sort("hits").alias("hits"))
+    return out.select(*carry, "n_words", F.size(covered).cast("long").alias("n_hit"), "items", F.array_sort("hits").alias("hits"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` (whole) that are not contaminated."""
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_key": F.xxhash64("text")})
+    found = contamination(keyed.select("_id", "_key", "text"), benchmark, ("_id", "_key"))
+    found = written(found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"), share)).select("_id", "_key").distinct(), "contaminated")
+    return keyed.join(found, ["_id", "_key"], "left_anti").drop("_id", "_key")
 
 
 def is_contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:

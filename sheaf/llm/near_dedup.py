@@ -35,6 +35,8 @@ VALUE_BITS = 40
 SLACK = 0.2  # six standard deviations of the estimate from BUCKETS registers
 BLOCK = 512
 
+_LAST = 2**63 - 1  # stands for a null doc_id
+
 _PROBES = 48
 _PROBE = (mix(np.arange(1, BUCKETS * _PROBES + 1, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(_PROBES, BUCKETS)
 
@@ -267,7 +269,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links).withColumnRenamed("node", "class")
-    return classes.select("class", "doc_id").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return classes.select("class", "doc_id", "key").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
 def _stragglers(met: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,11 +297,8 @@ def _stragglers(met: DataFrame, labelled: DataFrame, sets: DataFrame, percent: i
     return spread.groupBy("top", "i", "j").applyInArrow(_cross(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
-
-    ``percent``: documents are linked where 100 * intersection >= percent * union.
-    """
+def _groups(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches: one row per document, labelled: one row per class with its component)."""
     spark, threshold = docs.sparkSession, percent / 100
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
@@ -324,10 +323,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
         joined = more.join(side("a"), "a").join(side("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
         top = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
         labelled = labelled.join(top, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    heads = labelled.groupBy("label").agg(least.alias("head"))
+    return sketches, labelled
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+
+    ``percent``: documents are linked where 100 * intersection >= percent * union.
+    """
+    sketches, labelled = _groups(docs, shingle, percent)
+    heads = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("head"))
     named = labelled.join(heads, "label").select("class", F.col("head").alias("head"))
     out = sketches.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     linked = (F.col("n_shingles") > 0) & F.col("head").isNotNull()
     out = out.select("doc_id", "n_shingles", F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` (whole) of which one stays for each group: that of the smallest id, then text hash.
+
+    Of equal rows one stays, whatever their other columns; rows without words all stay.
+    """
+    _, labelled = _groups(docs.select("doc_id", "text"), shingle, percent)
+    none = F.col("doc_id").isNull()
+    heads = labelled.groupBy("label").agg(F.min(F.struct(none.alias("none"), "doc_id", "key")).alias("head"))
+    heads = heads.select(F.coalesce("head.doc_id", F.lit(_LAST)).alias("_id"), F.col("head.key").alias("_key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_key": F.xxhash64("text")})
+    stay = keyed.join(heads, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return stay.unionByName(docs.filter(~worded))

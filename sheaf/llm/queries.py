@@ -170,3 +170,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.lm_scoring import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.sentencepiece_codec import encode, with_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = with_counts(encode(docs, tokenizer_file("piece_bpe_32k.model"), verify=True))
+    return out.select("doc_id", "n_pieces", "ids", "round_trip")

@@ -143,6 +143,17 @@ def span_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with their secrets replaced; n_chars, where there is one, follows the new text."""
+    found = scan(docs)
+    touched = F.size("spans") > 0
+    changes = {"text": redacted(F.col("text"), "spans", mark)}
+    if "n_chars" in docs.columns:
+        length = F.length(changes["text"]).cast(docs.schema["n_chars"].dataType)
+        changes["n_chars"] = F.when(touched, length).otherwise(F.col("n_chars"))
+    return found.withColumns(changes).select(*docs.columns)
+
+
 def redacted(text: Column, spans: str, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by ``mark``."""
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
