@@ -28,7 +28,7 @@ from sheaf.llm.common import parts_for, small_batches, text_bytes
 from sheaf.llm.tables import written
 from sheaf.llm.words import cut, mix, slices
 
-SOURCE_BYTES = 8 << 20
+SOURCE_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 TRAIN_BYTES = 64 << 20
 WIDTH, SHAPES = 32, 8
@@ -107,16 +107,16 @@ class _Source:
     def training(self) -> np.ndarray:
         return np.repeat(self.out == 0, self.counts)
 
-    def contexts(self) -> list[np.ndarray]:
-        """For every token the words one, two and three before it in its text."""
-        word = self.distinct[self.inverse]
-        place = np.arange(len(word)) - np.repeat(self.first[:-1], self.counts)
+    def places(self) -> np.ndarray:
+        """Every token's place in its text."""
+        return (np.arange(len(self.inverse)) - np.repeat(self.first[:-1], self.counts)).astype(np.uint32)
+
+    def contexts(self, at: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        """For the tokens at ``at`` the words one, two and three before them in their texts."""
         found = []
         for back in (1, 2, 3):
-            before = np.full(len(word), _START, dtype=np.uint64)
-            before[back:] = word[:-back] if len(word) > back else before[back:]
-            before[place < back] = _START
-            found.append(before)
+            inside = places[at] >= back
+            found.append(np.where(inside, self.distinct[self.inverse[np.where(inside, at - back, 0)]], _START))
         return found
 
 
@@ -245,10 +245,10 @@ def _train(shared, turn: int):
                 kind, place = lexicon.classes(s.distinct)
                 mine = np.repeat((s.out == 0) & (np.arange(len(s.out)) % ROUNDS == turn), s.counts)
                 at = np.random.default_rng(abs(source) % 2**32).permutation(np.flatnonzero(mine))
-                before = s.contexts()
+                places = s.places()
                 for lo in range(0, len(at), BATCH):
                     i = at[lo : lo + BATCH]
-                    context, word = [c[i] for c in before], s.inverse[i]
+                    context, word = s.contexts(i, places), s.inverse[i]
                     own = kind[word]
                     _update(weights, uses, lexicon.bias[0], _rows(context, 0), own)
                     head = np.flatnonzero(own < CLASSES)
@@ -296,11 +296,11 @@ def _score(shared):
         kind, place = lexicon.classes(s.distinct)
         base = np.log10((count + 1) / (lexicon.total + lexicon.types + 1))
         tail = np.where(kind >= CLASSES, np.log(count + 1) - lexicon.tail_log[np.maximum(kind - CLASSES, 0)], 0.0)
-        before = s.contexts()
+        places = s.places()
         score = tail[s.inverse]
         for lo in range(0, len(score), BATCH):
             hi = min(lo + BATCH, len(score))
-            context, word = [c[lo:hi] for c in before], s.inverse[lo:hi]
+            context, word = s.contexts(np.arange(lo, hi), places), s.inverse[lo:hi]
             own = kind[word]
             score[lo:hi] += np.log(_softmax(weights, lexicon.bias[0], _rows(context, 0))[np.arange(hi - lo), own])
             head = np.flatnonzero(own < CLASSES)
@@ -348,6 +348,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
         for r in pieces.groupBy("piece").applyInArrow(_average, "piece long, blob binary").collect():
             at, w = unpack(r.blob)
             weights[at] = w.reshape(-1, WIDTH)
+        shared.unpersist()
     shared = spark.sparkContext.broadcast((lexicon, weights))
     empty = F.lit(None).cast("binary")
     own = sources.select("source", F.lit(None).cast("long").alias("bucket"), empty.alias("blob"), "docs", "words")
