@@ -8,9 +8,12 @@ from registry import views as V
 from registry.core import query
 from registry.symbols import _CHOSEN, PY_BLOCK
 from registry.trees import LINES, NODES, TREES, bases
+from sheaf.constants import NO_TEXT_FILES, PART_BYTES
 from sheaf.operators.selection import resolve_basenames, selection_changed, with_order
 from sheaf.plans.packs import PackOptions, pack_errors, process_files
 
+# the SQL of these packs holds for sessions below PART_BYTES, as in the tables it runs on
+ONE_PART = "CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts"
 NO_STATE = "session_id string, mode string, selected_file string, selected_items array<string>"
 
 
@@ -23,14 +26,25 @@ _BLOCKS = f"""blocks AS (SELECT session_id, path, {V.block(V.display(True))} AS
   octet_length(content) AS size FROM kept WHERE is_text)"""
 _LINE_COUNT = "CAST(len(list_filter(string_split(output_text, chr(10)), lambda l: regexp_matches(l, '[^\\s]'))) AS BIGINT)"
 
-A2 = f"""WITH {V.FX_FILES}, {_KEPT}, {_BLOCKS}, t AS (SELECT session_id,
-  {V.stripped("string_agg(block, '' ORDER BY path)")} AS output_text FROM blocks GROUP BY session_id)
-SELECT session_id, output_text, {_LINE_COUNT} AS line_count FROM t"""
+
+
+def packs_in_parts(rows: str, part_bytes: int) -> str:
+    """SQL of the packs of ``rows`` (session_id, path, size, block) in parts numbered without gaps."""
+    return f"""w AS (SELECT *, coalesce(sum(2 * size + octet_length(encode(path)) + 256) OVER (PARTITION BY session_id
+    ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {part_bytes} AS step FROM {rows}),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY step) - 1 AS part FROM w),
+g AS (SELECT session_id, part, string_agg(block, '' ORDER BY path) AS t FROM n GROUP BY ALL),
+packs AS (SELECT session_id, part, max(part) OVER (PARTITION BY session_id) + 1 AS parts,
+  CASE WHEN part = max(part) OVER (PARTITION BY session_id) THEN rtrim(t, chr(10)) ELSE t END AS output_text FROM g)"""
+
+
+A2 = f"""WITH {V.FX_FILES}, {_KEPT}, {_BLOCKS}, {packs_in_parts("blocks", PART_BYTES)}
+SELECT session_id, part, parts, output_text, {_LINE_COUNT} AS line_count FROM packs"""
 
 
 def all_files_pack(spark, sf):
     packs = process_files(V.fx_files(spark, sf), V.roots(spark, sf), _no_state(spark), PackOptions(home=V.HOME))
-    return packs.select("session_id", "output_text", "line_count")
+    return packs.select("session_id", "part", "parts", "output_text", "line_count")
 
 
 @query("a2_pack", A2)
@@ -39,11 +53,7 @@ def _(spark, sf):
 
 
 @query("a2_pack_parts", f"""
-WITH {V.FX_FILES}, {_KEPT}, {_BLOCKS}, b AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY session_id ORDER BY path
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 10000 AS BIGINT) AS part FROM blocks),
-g AS (SELECT session_id, part, string_agg(block, '' ORDER BY path) AS t FROM b GROUP BY ALL)
-SELECT session_id, part, max(part) OVER (PARTITION BY session_id) + 1 AS parts,
-  CASE WHEN part = max(part) OVER (PARTITION BY session_id) THEN rtrim(t, chr(10)) ELSE t END AS output_text FROM g""")
+WITH {V.FX_FILES}, {_KEPT}, {_BLOCKS}, {packs_in_parts("blocks", 10_000)} SELECT * FROM packs""")
 def _(spark, sf):
     """The same packs in parts of about 10 kB: the plan for sessions too big for one row."""
     options = PackOptions(home=V.HOME, part_bytes=10_000)
@@ -54,11 +64,7 @@ def _(spark, sf):
 @query("a2_pack_hot_session", f"""
 WITH {V.FX_FILES}, {_KEPT}, b AS (SELECT CASE WHEN n % 3 = 0 THEN 'hot' ELSE session_id END AS session_id, path,
     octet_length(content) AS size, {V.block("'~/' || substr(path, 9)")} AS block FROM kept WHERE is_text),
-o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY session_id ORDER BY path
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS BIGINT) AS part FROM b),
-g AS (SELECT session_id, part, string_agg(block, '' ORDER BY path) AS t FROM o GROUP BY ALL)
-SELECT session_id, part, max(part) OVER (PARTITION BY session_id) + 1 AS parts,
-  CASE WHEN part = max(part) OVER (PARTITION BY session_id) THEN rtrim(t, chr(10)) ELSE t END AS output_text FROM g""")
+{packs_in_parts("b", 50_000)} SELECT * FROM packs""")
 def _(spark, sf):
     """One session holds a third of all files: sliced numbering, many parts."""
     hot = F.expr("CAST(substr(session_id, 4) AS INT) % 3 = 0")
@@ -70,6 +76,30 @@ def _(spark, sf):
     return packs.select("session_id", "part", "parts", "output_text")
 
 
+_TINY = """CASE WHEN doc_id % 3 = 0 THEN encode('') ELSE content END"""
+
+
+@query("a2_pack_tiny_files", f"""
+WITH {V.FX_FILES}, {_KEPT}, b AS (SELECT session_id, path, octet_length(content) AS size, {V.block(V.display(True))} AS block
+  FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text, {_TINY} AS content) FROM kept) WHERE is_text OR doc_id % 3 = 0),
+{packs_in_parts("b", 5_000)} SELECT * FROM packs""")
+def _(spark, sf):
+    """A third of the files are empty: headings weigh too."""
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    files = V.fx_files(spark, sf).withColumn("content", F.when(number % 3 == 0, F.lit(bytearray())).otherwise(F.col("content")))
+    packs = process_files(files, V.roots(spark, sf), _no_state(spark), PackOptions(home=V.HOME, part_bytes=5_000))
+    return packs.select("session_id", "part", "parts", "output_text")
+
+
+@query("a2_pack_big_file", f"""
+WITH {V.FX_FILES}, {_KEPT}, {_BLOCKS}, {packs_in_parts("blocks", 1_000)} SELECT * FROM packs""")
+def _(spark, sf):
+    """Nearly every file outgrows a part: it stands alone, and no number is left out."""
+    options = PackOptions(home=V.HOME, part_bytes=1_000)
+    packs = process_files(V.fx_files(spark, sf), V.roots(spark, sf), _no_state(spark), options)
+    return packs.select("session_id", "part", "parts", "output_text")
+
+
 _C1 = f"""WITH {V.FX_FILES}, {_KEPT}, {V.FILE_STATE}, {_BLOCKS},
 state AS (SELECT s.*, k.is_text AS found FROM file_state s LEFT JOIN kept k ON k.session_id = s.session_id
   AND k.path = s.selected_file),
@@ -81,12 +111,12 @@ _C1_TEXT = """CASE WHEN s.selected_file IS NOT NULL AND NOT coalesce(s.found, fa
      ELSE 'not a text file' END || '.' ELSE {text} END"""
 
 
-@query("c1_pack", f"{_C1} SELECT s.session_id, {_C1_TEXT.format(text='b.body')} AS output_text "
+@query("c1_pack", f"{_C1} SELECT s.session_id, {ONE_PART}, {_C1_TEXT.format(text='b.body')} AS output_text "
                   "FROM state s LEFT JOIN body b USING (session_id)")
 def _(spark, sf):
     options = PackOptions(home=V.HOME)
     packs = process_files(V.fx_files(spark, sf), V.roots(spark, sf), V.file_state(spark, sf), options)
-    return packs.select("session_id", "output_text")
+    return packs.select("session_id", "part", "parts", "output_text")
 
 
 _TREE_TEXT = "t.rendered || CASE WHEN b.body IS NULL THEN '' ELSE chr(10) || chr(10) || b.body END"
@@ -95,7 +125,7 @@ _TREE_TEXT = "t.rendered || CASE WHEN b.body IS NULL THEN '' ELSE chr(10) || chr
 @query("c1_pack_with_tree", f"""{_C1}, {NODES}, {LINES}, {TREES}, o AS (
 SELECT s.session_id, {_C1_TEXT.format(text=_TREE_TEXT)} AS output_text FROM state s LEFT JOIN body b USING (session_id)
   LEFT JOIN trees t ON t.base = '/home/u/code/' || s.session_id)
-SELECT session_id, output_text, {_LINE_COUNT} AS line_count FROM o""")
+SELECT session_id, {ONE_PART}, output_text, {_LINE_COUNT} AS line_count FROM o""")
 def _(spark, sf):
     options = PackOptions(home=V.HOME, include_tree=True)
     packs = process_files(
@@ -106,30 +136,30 @@ def _(spark, sf):
         V.listing(spark, sf),
         bases(spark, sf),
     )
-    return packs.select("session_id", "output_text", "line_count")
+    return packs.select("session_id", "part", "parts", "output_text", "line_count")
 
 
 @query("c1_binary_only", f"""
-WITH {V.FX_FILES} SELECT session_id, '# No text files selected or available to display content.' AS output_text
+WITH {V.FX_FILES} SELECT session_id, {ONE_PART}, '{NO_TEXT_FILES}' AS output_text
 FROM fx_files WHERE doc_id % 8 = 6 AND {V.NOT_IGNORED} GROUP BY session_id
-UNION ALL SELECT session_id, '' FROM fx_files WHERE doc_id % 8 = 6 GROUP BY session_id
+UNION ALL SELECT session_id, 0, 1, '' FROM fx_files WHERE doc_id % 8 = 6 GROUP BY session_id
 HAVING bool_and(NOT ({V.NOT_IGNORED}))""")
 def _(spark, sf):
     files = V.fx_files(spark, sf).where(F.col("path").endswith(".bin"))
     roots = V.roots(spark, sf).join(files.select("session_id").distinct(), "session_id", "left_semi")
     packs = process_files(files, roots, _no_state(spark), PackOptions(home=V.HOME))
-    return packs.select("session_id", "output_text")
+    return packs.select("session_id", "part", "parts", "output_text")
 
 
 @query("c1_errors", f"""
 WITH {V.FX_PY} SELECT session_id, path, {V.display(True)} || ': Error processing - Syntax error in doc_'
   || CAST(doc_id AS VARCHAR) || '.py: line 1 - invalid syntax' AS error FROM fx_py WHERE NOT parses""")
 def _(spark, sf):
-    return pack_errors(V.fx_py(spark, sf), V.roots(spark, sf), _no_state(spark), PackOptions(home=V.HOME))
+    return pack_errors(process_files(V.fx_py(spark, sf), V.roots(spark, sf), _no_state(spark), PackOptions(home=V.HOME)))
 
 
 @query("c3_update_selection", f"""{_CHOSEN}, shown AS (SELECT session_id, path, {PY_BLOCK} AS block FROM decided)
-SELECT y.session_id, coalesce({V.stripped("string_agg(s.block, '' ORDER BY s.path)")}, '') AS output_text
+SELECT y.session_id, {ONE_PART}, coalesce({V.stripped("string_agg(s.block, '' ORDER BY s.path)")}, '') AS output_text
 FROM py_state y LEFT JOIN shown s USING (session_id) WHERE y.has_items GROUP BY y.session_id""")
 def _(spark, sf):
     """Sessions whose selection changed are packed anew; the single file comes in by its base name."""
@@ -151,4 +181,5 @@ def _(spark, sf):
     ).select("session_id", "mode", "selected_file", "selected_items")
     mine = files.join(changed.select("session_id"), "session_id", "left_semi")
     no_roots = changed.select("session_id", F.lit(None).cast("string").alias("root"))
-    return process_files(mine, no_roots, changed, PackOptions(home=V.HOME)).select("session_id", "output_text")
+    packs = process_files(mine, no_roots, changed, PackOptions(home=V.HOME))
+    return packs.select("session_id", "part", "parts", "output_text")

@@ -58,6 +58,12 @@ def _(spark, sf):
     return V.fx_files(spark, sf).select("path", is_text("content").alias("is_text"))
 
 
+@query("f4_text_check_strict", f"WITH {V.FX_FILES} SELECT path, is_text_strict AS is_text FROM fx_files")
+def _(spark, sf):
+    """The byte-exact rule: a character that the cut divides makes the file binary."""
+    return V.fx_files(spark, sf).select("path", is_text("content", reference_strict=True).alias("is_text"))
+
+
 @query("f5_extension_groups", f"""
 WITH {V.FX_FILES}, groups(name, exts) AS (VALUES ('All', NULL), ('Python', ['py']), ('JavaScript', ['js']),
   ('TypeScript', ['ts', 'tsx']), ('Text', ['txt', 'md']), ('Configuration', ['json', 'yaml', 'yml', 'toml', 'ini'])),

@@ -189,10 +189,20 @@ WITH cut AS (SELECT *, octet_length(encode(text)) <= 1024
 SELECT source AS session_id, 'p' || CAST(doc_id AS VARCHAR) AS path, 'modified' AS status
 FROM cut WHERE is_text AND doc_id % 9 <> 0 AND doc_id % 17 <> 0 AND doc_id % 7 = 0""")
 def _(spark, sf):
-    current = current_hashes(V.files_now(spark, sf))
+    current = current_hashes(V.files_now(spark, sf), reference_strict=True)
     return stale_files(V.snapshots(spark, sf), current, reference_strict=True)
 
 
+@query("j1_stale_shared_paths", """
+WITH p AS (SELECT DISTINCT source AS session_id, CASE WHEN doc_id % 3 = 0 THEN 'p0' ELSE 'p' || CAST(doc_id % 50 AS VARCHAR) END AS path,
+  doc_id % 9 <> 0 AND doc_id % 17 <> 0 AS there FROM documents),
+now AS (SELECT DISTINCT path FROM p WHERE there)
+SELECT DISTINCT session_id, path, CASE WHEN path IN (SELECT path FROM now) THEN 'modified' ELSE 'missing' END AS status FROM p""")
+def _(spark, sf):
+    """Sessions that list the same paths, one path in a third of all rows: one row per session and path."""
+    return stale_files(V.shared_paths(spark, sf, "snapshots"), current_hashes(V.shared_paths(spark, sf, "now")))
+
+
 _HEAD = """CASE max(CASE status WHEN 'missing' THEN 3 WHEN 'error' THEN 2 ELSE 1 END) WHEN 3 THEN 'Files Missing!'
   WHEN 2 THEN 'File Errors!' ELSE 'Files Modified since this state. You may want to refresh.' END"""
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from registry import views as V
 from registry.core import query, table
-from registry.packs import A2
-from sheaf.constants import MODE_ALL
+from registry.packs import A2, ONE_PART
+from sheaf.constants import ACTIONS, BAD_PATH, BAD_SESSION_ID, MODE_ALL
 from sheaf.functions.text import decode_text
 from sheaf.operators.requests import missing_files, split_by_existence, validate
 from sheaf.plans.packs import PackOptions, process_files
@@ -184,23 +184,25 @@ def _(spark, sf):
     return rejected.select("session_id", "value")
 
 
-@query("s8_export", f"SELECT session_id, rtrim(output_text, chr(10)) AS output_text FROM ({A2})")
+@query("s8_export", f"SELECT session_id, part, rtrim(output_text, chr(10)) AS output_text FROM ({A2})")
 def _(spark, sf):
     """Packs exported as Markdown files, read back whole."""
     from registry.packs import all_files_pack
 
-    packs = all_files_pack(spark, sf).withColumn("part", F.lit(0))
+    packs = all_files_pack(spark, sf)
     path = scratch_path(spark, "export")
     export_packs(packs, path, F.expr("TIMESTAMP '2024-05-06 07:08:09'"))
     back = spark.read.text(path, wholetext=True)
-    return back.where("stamp = '20240506_070809'").select("session_id", F.regexp_replace("value", r"\n\z", "").alias("output_text"))
+    return back.where("stamp = '20240506_070809'").select(
+        "session_id", F.col("part").cast("bigint").alias("part"), F.regexp_replace("value", r"\n\z", "").alias("output_text")
+    )
 
 
 @query("s8_export_parts", f"""
-WITH {V.FX_FILES} SELECT session_id, CAST(sum(octet_length(encode({V.block(V.display(True))}))) AS BIGINT) AS bytes
+WITH {V.FX_FILES} SELECT session_id, sha256(string_agg({V.block(V.display(True))}, '' ORDER BY path)) AS joined
 FROM fx_files WHERE is_text GROUP BY session_id""")
 def _(spark, sf):
-    """Blocks exported without building packs; the folders hold every byte."""
+    """Blocks exported without building packs; a folder's files in name order hold the blocks in order."""
     from sheaf.functions.paths import display_path, language
     from sheaf.functions.text import is_text
     from sheaf.functions.times import modified_line
@@ -211,8 +213,10 @@ def _(spark, sf):
     block = full_block(shown, modified_line("mtime"), language("path"), decode_text("content"))
     path = scratch_path(spark, "export-blocks")
     export_blocks(joined.select("session_id", "path", block.alias("block")), path, ["path"])
-    back = spark.read.text(path, wholetext=True)
-    return back.groupBy("session_id").agg(F.sum(F.octet_length("value")).cast("bigint").alias("bytes"))
+    back = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    files = F.array_sort(F.collect_list(F.struct("file", "value")))
+    joined = F.array_join(F.transform(files, lambda f: f["value"]), "")
+    return back.groupBy("session_id").agg(F.sha2(joined, 256).alias("joined"))
 
 
 @query("s1_s3_directory", """
@@ -286,7 +290,7 @@ FROM requests WHERE kind BETWEEN 1 AND 7""")
 def _(spark, sf):
     _, rejects = validate(parse_requests(_request_lines(spark, sf)), [V.CODE], max_bytes=10_000)
     return rejects.select(
-        "key", "error.type", "error.message", F.get_json_object("error.details", "$.received").alias("received")
+        "key", "error.type", "error.message", F.try_variant_get("error.details", "$.received", "string").alias("received")
     )
 
 
@@ -316,34 +320,54 @@ def _(spark, sf):
 
 
 @query("j7_missing_files", f"""
-WITH {_KIND} SELECT key, 'FileNotFoundError' AS type, '{{"missing_files":["/home/u/code/f' || CAST(key % 7 AS VARCHAR)
-  || '.py"],"accessible_files":[' || CASE kind WHEN 0 THEN '"/home/u/code/f1.py"' ELSE '' END || ']}}' AS details
+WITH {_KIND} SELECT key, 'FileNotFoundError' AS type, '{{"accessible_files":[' || CASE kind WHEN 0 THEN '"/home/u/code/f1.py"' ELSE '' END
+  || '],"missing_files":["/home/u/code/f' || CAST(key % 7 AS VARCHAR) || '.py"]}}' AS details
 FROM requests WHERE kind IN (0, 9) AND key % 7 >= 4""")
 def _(spark, sf):
     errors = missing_files(_valid(spark, sf), "key", _present(spark, sf))
-    return errors.select("key", "error.type", "error.details")
+    return errors.select("key", "error.type", F.to_json("error.details").alias("details"))
+
+
+_BAD = """CASE kind WHEN 1 THEN {unknown} WHEN 2 THEN {session} WHEN 3 THEN {field} WHEN 4 THEN {relative} WHEN 5 THEN {parent}
+  WHEN 6 THEN {outside} ELSE {malformed} END"""
+
+
+def _error_sql(kind: str, message: str, field: str, expected: str, received: str) -> str:
+    details = f'{{"expected":"{expected}","field":"{field}","received":"{received}"}}'
+    return f"""'{{"type":"{kind}","message":"{message}","details":{details}}}'"""
+
+
+_ERRORS = _BAD.format(
+    unknown=_error_sql("ValidationError", "Unknown action", "action", ", ".join(ACTIONS), "explode"),
+    session=_error_sql("ValidationError", BAD_SESSION_ID[1], "session_id", BAD_SESSION_ID[2], "invalid-session-id"),
+    field=_error_sql("ValidationError", "Missing payload field files", "payload", "Required fields", "files"),
+    relative=_error_sql("ValidationError", BAD_PATH, "path", "Absolute path", "rel/x.py"),
+    parent=_error_sql("ValidationError", BAD_PATH, "path", "No parent references", "/home/u/code/../x"),
+    outside=_error_sql("PermissionError", "Path outside allowed directories", "path", V.CODE, "/etc/passwd"),
+    malformed=_error_sql("ValidationError", "Malformed JSON request", "request", "One JSON object per line", "{not json"),
+)
+_ANSWERED = "2024-05-06T07:08:09Z"
 
 
 @query("s9_responses", f"""
-WITH {_KIND}, r AS (SELECT *, '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') AS uuid FROM requests)
-SELECT '{{"action":"' || CASE kind WHEN 0 THEN 'process_files' WHEN 8 THEN 'update_selection' ELSE 'load_session' END
-  || '","session_id":"' || uuid || '","success":true,"payload":{{"accepted":' || CAST(key AS VARCHAR) || '}}}}' AS line
-FROM r WHERE kind IN (0, 8, 9)
-UNION ALL SELECT '{{"action":"process_files","session_id":"invalid-session-id","success":false,"error":'
-  || '{{"type":"ValidationError","message":"Invalid session ID format","details":"{{\\"field\\":\\"session_id\\",'
-  || '\\"expected\\":\\"Valid UUID string\\",\\"received\\":\\"invalid-session-id\\"}}"}}}}' FROM r WHERE kind = 2""")
+WITH {_KIND}, r AS (SELECT *, '"00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') || '"' AS uuid FROM requests)
+SELECT '{{"action":' || CASE kind WHEN 7 THEN 'null' WHEN 1 THEN '"explode"' WHEN 8 THEN '"update_selection"' WHEN 9 THEN '"load_session"'
+    ELSE '"process_files"' END || ',"session_id":' || CASE kind WHEN 7 THEN 'null' WHEN 2 THEN '"invalid-session-id"' ELSE uuid END
+  || ',"timestamp":"{_ANSWERED}","success":' || CASE WHEN kind IN (0, 8, 9) THEN 'true,"payload":{{"accepted":' || CAST(key AS VARCHAR) || '}}'
+    ELSE 'false,"error":' || {_ERRORS} END || '}}' AS line FROM r""")
 def _(spark, sf):
-    """Requests written as lines, read, validated, answered, written and read again."""
+    """Requests of every kind written as lines, read, validated, answered, written and read again."""
     incoming, outgoing = scratch_path(spark, "requests"), scratch_path(spark, "responses")
-    write_lines(_request_lines(spark, sf).where("kind IN (0, 2, 8, 9)"), incoming)
+    write_lines(_request_lines(spark, sf), incoming)
     valid, rejects = validate(read_requests(spark, incoming), [V.CODE])
     action, session = F.col("request.action"), F.col("request.session_id").alias("session_id")
     accepted = F.struct(F.get_json_object("value", "$.key").cast("bigint").alias("accepted"))
+    at = F.lit(_ANSWERED).cast("timestamp")
     good = valid.select("*", action.alias("action"), session).select(
-        success_response(F.col("action"), "session_id", accepted).alias("value")
+        success_response(F.col("action"), "session_id", accepted, at).alias("value")
     )
     bad = rejects.select("*", action.alias("action"), session).select(
-        error_response("action", "session_id", "error").alias("value")
+        error_response("action", "session_id", "error", at=at).alias("value")
     )
     write_lines(good.unionByName(bad), outgoing)
     return spark.read.text(outgoing).select(F.col("value").alias("line"))
@@ -351,14 +375,9 @@ def _(spark, sf):
 
 @query("c1_from_requests", f"""
 WITH {_KIND}, f AS (SELECT key, doc_id % 3 AS g, text FROM requests JOIN documents ON doc_id = key % 50 WHERE kind = 0)
-SELECT '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') AS session_id,
+SELECT '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') AS session_id, {ONE_PART},
   '# /data/' || CAST(key % 50 AS VARCHAR) || '.md' || chr(10) || '**Last modified: ?**' || chr(10) || chr(10)
-  || '```markdown' || chr(10) || {V.stripped('text')} || chr(10) || '```' AS output_text
-FROM f WHERE octet_length(encode(text)) <= 1024 OR substr(hex(encode(text)), 2049, 1) NOT IN ('8', '9', 'A', 'B')
-UNION ALL
-SELECT '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0'),
-  '# No text files selected or available to display content.'
-FROM f WHERE NOT (octet_length(encode(text)) <= 1024 OR substr(hex(encode(text)), 2049, 1) NOT IN ('8', '9', 'A', 'B'))""")
+  || '```markdown' || chr(10) || {V.stripped('text')} || chr(10) || '```' AS output_text FROM f""")
 def _(spark, sf):
     """process_files requests joined with the files they name, packed per session."""
     requests = parse_requests(_request_lines(spark, sf).where("kind = 0")).selectExpr(
@@ -372,4 +391,5 @@ def _(spark, sf):
     files = requests.join(docs, "path")
     roots = files.select("session_id", F.lit(None).cast("string").alias("root")).distinct()
     none = spark.createDataFrame([], "session_id string, mode string, selected_file string, selected_items array<string>")
-    return process_files(files, roots, none, PackOptions(home=V.HOME)).select("session_id", "output_text")
+    packs = process_files(files, roots, none, PackOptions(home=V.HOME))
+    return packs.select("session_id", "part", "parts", "output_text")

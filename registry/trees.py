@@ -39,7 +39,7 @@ all_nodes AS (
     FROM levels),
 nodes AS (SELECT *, row_number() OVER (PARTITION BY base, parent ORDER BY key) AS rank,
     row_number() OVER (PARTITION BY base, parent ORDER BY key DESC) = 1 AS is_last
-  FROM all_nodes WHERE NOT regexp_matches(node, '{V.DEFAULT_PATTERN}'))"""
+  FROM all_nodes WHERE NOT regexp_matches(node, '{V.IGNORE_DEFAULT}'))"""
 
 LINES = """lines AS (SELECT n.base, n.node, n.key,
     CASE WHEN n.depth = 3 THEN CASE WHEN g.is_last THEN '    ' ELSE '│   ' END ELSE '' END

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.core import table
+from sheaf.constants import IGNORE_DEFAULT
 
 HOME = "/home/u"
 CODE = "/home/u/code"
@@ -55,8 +56,9 @@ def fx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FX_FILES = f"""fx_files AS (
   SELECT *, replace(raw, chr(13) || chr(10), chr(10)) AS text,
+         doc_id % 8 <> 6 AS is_text,
          doc_id % 8 <> 6 AND (octet_length(content) <= 1024
-           OR substr(hex(content), 2049, 1) NOT IN ('8', '9', 'A', 'B')) AS is_text,
+           OR substr(hex(content), 2049, 1) NOT IN ('8', '9', 'A', 'B')) AS is_text_strict,
          CASE doc_id % 8 WHEN 0 THEN 'markdown' WHEN 2 THEN 'json' WHEN 3 THEN 'python' WHEN 4 THEN 'html'
                          WHEN 5 THEN 'yaml' ELSE '' END AS language
   FROM (SELECT doc_id, source AS session_id, CAST(substr(source, 4) AS INT) AS n, lang,
@@ -65,11 +67,7 @@ FX_FILES = f"""fx_files AS (
           TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INT)) AS mtime
         FROM documents))"""
 
-DEFAULT_PATTERN = (
-    "__pycache__|.git|.DS_Store|.idea|.venv|.pytest_cache|tmp|run_history|artifacts|__init__.py|"
-    ".pre-commit-config.yaml|.env|.env.sample|.envrc|CLAUDE.md|.ruff_cache|build|dist"
-)
-NOT_IGNORED = f"NOT regexp_matches(path, '{DEFAULT_PATTERN}')"
+NOT_IGNORED = f"NOT regexp_matches(path, '{IGNORE_DEFAULT}')"
 LABEL = "'**Last modified: ' || strftime(mtime, '%b %d, %Y %I:%M %p') || ' UTC**'"
 
 
@@ -240,6 +238,15 @@ def files_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_paths(spark: SparkSession, sf_dir: str, sides: str) -> DataFrame:
+    """``snapshots`` or ``files_now`` with paths that several sessions share, one of them in a third of the rows."""
+    rows = snapshots(spark, sf_dir) if sides == "snapshots" else files_now(spark, sf_dir)
+    path = "CASE WHEN CAST(substr(path, 2) AS BIGINT) % 3 = 0 THEN 'p0' ELSE 'p' || CAST(CAST(substr(path, 2) AS BIGINT) % 50 AS STRING) END"
+    if sides == "snapshots":
+        return rows.selectExpr("session_id", f"{path} AS path", "'old' AS hash").distinct()
+    return rows.where("error IS NULL").selectExpr("session_id", f"{path} AS path", "encode('new', 'UTF-8') AS content")
+
+
 STALE = """stale AS (
   SELECT source AS session_id, 'p' || CAST(doc_id AS VARCHAR) AS path,
     CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'error' ELSE 'modified' END AS status

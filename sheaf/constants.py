@@ -104,13 +104,13 @@ SPACE_CHARS = (
 )
 LINE_BREAK_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
-# ---- the package's own limits: they choose a plan, never a result ----
+# ---- the package's own limits: how much one task, one row or one broadcast may hold ----
 
 # Largest key a single window task may order; a bigger key is cut into ordered slices.
 ROWS_PER_SLICE = 1_000_000
-# Largest text one output row may hold; a longer pack continues in further numbered parts.
+# Largest text one output row may hold; a longer pack continues in further numbered parts (columns part, parts).
 PART_BYTES = 64 * 1024 * 1024
 # Largest table, as JSON text, that is sent whole to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Largest list or map one output row may hold; a bigger one continues in further shards.
+# Largest list or map one output row may hold; a bigger one continues in further shards (column shard).
 SHARD_ROWS = 100_000

@@ -25,22 +25,91 @@ def display_pattern(stored) -> Column:
     return F.replace(stored, F.lit("|"), F.lit("\n"))
 
 
-def to_java_syntax(pattern: str) -> str:
-    """Named groups are the one common spelling that differs between the two regex dialects."""
-    return pattern.replace("(?P<", "(?<")
+_NAMED = {"(?P<": "group", "(?P=": "reference"}
 
 
-def effective_pattern(spark: SparkSession, raw: str | None) -> str | None:
-    """The pattern a filter should use; None means "ignore nothing".
+def to_java_syntax(pattern: str) -> str:
+    """A valid Python pattern in the spelling of Spark's engine, of the same meaning.
 
-    Unset or blank gives the default list (blank is documented as "restore defaults").  An
-    invalid pattern ignores nothing.
+    Raises ``ValueError`` for what has no such spelling: conditional groups and octal escapes.
     """
+    out, names, i, n, inside = [], {}, 0, len(pattern), False
+    java = lambda name: names.setdefault(name, f"g{len(names)}")  # noqa: E731  Java's names have no underscore
+    while i < n:
+        c = pattern[i]
+        if c == "\\":
+            follow = pattern[i + 1]
+            if follow == "0" or re.match(r"[0-7]{3}", pattern[i + 1 :]):
+                raise ValueError(f"octal escapes are not supported: {pattern!r}")
+            out.append("\\z" if follow == "Z" and not inside else c + follow)
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+            out.append("\\" + c if c in "[&" else c)  # no nested classes, no intersections
+        elif c == "[":
+            out.append(c)
+            i += 1
+            if pattern[i] == "^":
+                out.append("^")
+                i += 1
+            if pattern[i] == "]":  # first in a class it stands for itself
+                out.append("\\]")
+                i += 1
+            inside = True
+            continue
+        elif c == "{" and not re.match(r"\{(\d+(,\d*)?|,\d+)\}", pattern[i:]):
+            out.append("\\{")
+        elif c == "{" and re.match(r"\{,\d+\}", pattern[i:]):
+            out.append("{0")
+        elif c == "}" and not re.search(r"\{\d+(,\d*)?$", "".join(out)):
+            out.append("\\}")
+        elif pattern.startswith("(?(", i):
+            raise ValueError(f"conditional groups are not supported: {pattern!r}")
+        elif pattern[i : i + 4] in _NAMED:
+            end = pattern.index(">" if pattern[i + 3] == "<" else ")", i)
+            name = java(pattern[i + 4 : end])
+            out.append(f"(?<{name}>" if pattern[i + 3] == "<" else f"\\k<{name}>")
+            i = end
+        else:
+            out.append(c)
+        i += 1
+    # letters, digits and space of all scripts, as in Python; only the line feed ends a line
+    flags = ("U" if re.search(r"\\[wWdDsSbB]|\(\?[a-zA-Z]*i", pattern) else "") + ("d" if re.search("[.^$]", pattern) else "")
+    return (f"(?{flags})" if flags else "") + "".join(out)
+
+
+def joined_pattern(raw: str | None) -> str:
+    """The setting's lines as one pattern; unset or blank gives the default list."""
     text = IGNORE_DEFAULT if raw is None else raw
     lines = [line.strip() for line in text.splitlines()]
-    joined = "|".join(line for line in lines if line) or IGNORE_DEFAULT
-    joined = to_java_syntax(joined)
-    return joined if is_valid_pattern(spark, joined) else None
+    return "|".join(line for line in lines if line) or IGNORE_DEFAULT
+
+
+def python_pattern(raw: str | None) -> str | None:
+    """The pattern for Python's engine; None, "ignore nothing", for one that Python refuses."""
+    joined = joined_pattern(raw)
+    try:
+        re.compile(joined)
+    except re.error:
+        return None
+    return joined
+
+
+def effective_pattern(spark: SparkSession, raw: str | None) -> str | None:
+    """The pattern a filter in Spark should use; None means "ignore nothing".
+
+    Unset or blank gives the default list (blank is documented as "restore defaults").  Python decides
+    what is valid; an invalid pattern ignores nothing.  A valid one that Spark's engine cannot express is
+    an error.
+    """
+    joined = python_pattern(raw)
+    if joined is None:
+        return None
+    java = to_java_syntax(joined)
+    if not is_valid_pattern(spark, java):
+        raise ValueError(f"Spark's engine has no form of the pattern {joined!r}")
+    return java
 
 
 def matches_any_extension(pattern: str) -> bool:
@@ -49,7 +118,7 @@ def matches_any_extension(pattern: str) -> bool:
     Patterns of plain characters, dots, alternatives and simple repeats qualify: they cannot
     look at where the text ends.
     """
-    return re.fullmatch(r"[\w\s|./+*\-@#%&=~,:;]*", pattern) is not None
+    return re.fullmatch(r"(\(\?d\))?[\w\s|./+*\-@#%&=~,:;]*", pattern) is not None
 
 
 def is_valid_pattern(spark: SparkSession, pattern: str) -> bool:

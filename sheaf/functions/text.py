@@ -33,11 +33,11 @@ def head(content, size: int = TEXT_CHECK_BYTES) -> Column:
     return F.substring(_col(content), 1, size)
 
 
-def is_text(content, lenient_tail: bool = False) -> Column:
+def is_text(content, reference_strict: bool = False) -> Column:
     """True when the head holds no NUL and is strict UTF-8; null content is not text.
 
-    The head is cut at a fixed byte, so a multi-byte character crossing the cut makes the
-    file count as binary.  ``lenient_tail`` forgives up to three bytes of such a character.
+    The head is cut at a fixed byte.  A multi-byte character crossing the cut is completed by up to
+    three more bytes; ``reference_strict`` cuts it, so that the file counts as binary.
     """
     content = _col(content)
     first = head(content)
@@ -46,9 +46,9 @@ def is_text(content, lenient_tail: bool = False) -> Column:
         return F.is_valid_utf8(head(content, size).cast("string"))
 
     ok = valid(TEXT_CHECK_BYTES)
-    if lenient_tail:
+    if not reference_strict:
         cut = F.octet_length(content) > TEXT_CHECK_BYTES
-        ok = ok | (cut & (valid(TEXT_CHECK_BYTES - 1) | valid(TEXT_CHECK_BYTES - 2) | valid(TEXT_CHECK_BYTES - 3)))
+        ok = ok | (cut & (valid(TEXT_CHECK_BYTES + 1) | valid(TEXT_CHECK_BYTES + 2) | valid(TEXT_CHECK_BYTES + 3)))
     no_nul = ~F.contains(first, F.lit(bytearray(b"\x00")))
     return F.coalesce(no_nul & ok, F.lit(False))
 

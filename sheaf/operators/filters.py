@@ -37,10 +37,12 @@ def is_python(path: str = "path") -> Column:
     return F.col(path).endswith(".py")
 
 
-def keep_text(df: DataFrame, content: str = "content", lenient_tail: bool = False) -> DataFrame:
-    return df.where(is_text(content, lenient_tail))
+def keep_text(df: DataFrame, content: str = "content", reference_strict: bool = False) -> DataFrame:
+    return df.where(is_text(content, reference_strict))
 
 
-def keep_python(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def keep_python(
+    df: DataFrame, path: str = "path", content: str = "content", reference_strict: bool = False
+) -> DataFrame:
     """Python sources: the exact ending ``.py`` and text contents."""
-    return df.where(is_python(path) & is_text(content))
+    return df.where(is_python(path) & is_text(content, reference_strict))

@@ -7,45 +7,61 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, SHARD_ROWS
 from sheaf.operators.ordered import Ordered, key_sizes
+from sheaf.operators.sizes import small_side
 from sheaf.session import freeze
 
 
-def number_parts(
-    rows: DataFrame,
+def part_bounds(
+    narrow: DataFrame,
     keys: list[str],
     order: list[str],
-    weight: Column,
-    text: str,
+    weight: str,
     part_bytes: int = PART_BYTES,
     rows_per_slice: int = ROWS_PER_SLICE,
-    at_most: int | None = None,
-) -> DataFrame:
-    """Add ``part`` (0-based) and ``parts`` (number of parts of the key).
+) -> DataFrame | None:
+    """keys…, bounds: the order values at which the parts of a key begin; None if every key fits one part.
 
-    A part ends where the weight of the rows before reaches the next multiple of
-    ``part_bytes``, so parts follow from the rows alone; empty texts at the end of a key stay
-    in its last part that has any text.  When no key outgrows one part, which is checked on
-    the weights only, nothing is ordered at all.  ``at_most`` is an upper bound of the biggest
-    key, where the caller has one for less work.
-
-    Otherwise only keys, order, weights and "is empty" are shuffled to number the parts; the
-    numbers are frozen and joined to the texts.
+    ``narrow``: keys, order and weight of the rows that have text, read several times.  A part ends
+    where the weight of the rows before reaches the next multiple of ``part_bytes``; multiples at
+    which no row begins make no part, so parts are numbered without gaps.
     """
-    biggest = at_most
-    if biggest is None or biggest > part_bytes:
-        biggest, _ = key_sizes(rows, keys, weight)
+    biggest, _ = key_sizes(narrow, keys, F.col(weight))
     if biggest <= part_bytes:
+        return None
+    placed = Ordered(narrow, keys, order, rows_per_slice).prefix_sums(__before=F.col(weight)).to_df()
+    begins = placed.groupBy(*keys, F.floor(F.col("__before") / part_bytes).alias("__n")).agg(
+        F.min(F.struct(*order)).alias("__first")
+    )
+    return freeze(begins.groupBy(*keys).agg(F.array_sort(F.collect_list("__first")).alias("bounds")))
+
+
+def with_part(rows: DataFrame, keys: list[str], order: list[str], bounds: DataFrame | None) -> DataFrame:
+    """Add ``part`` (0-based) and ``parts``: a lookup of the key's bounds, by the key alone."""
+    if bounds is None:
         return rows.withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
-    narrow = rows.select(*keys, *order, weight.alias("__weight"), (F.col(text) != "").alias("__solid"))
-    placed = Ordered(narrow, keys, order, rows_per_slice).prefix_sums(__before=F.col("__weight")).to_df()
-    part = F.floor(F.col("__before") / part_bytes)
-    numbered = freeze(placed.select(*keys, *order, "__solid", part.alias("part")))
-    last = numbered.groupBy(*keys).agg(F.max(F.when(F.col("__solid"), F.col("part"))).alias("__last"))
-    last_part = F.coalesce("__last", F.lit(0))
-    parts = numbered.join(last, keys).select(
-        *keys, *order, F.least("part", last_part).alias("part"), (last_part + 1).alias("parts")
+    at = F.struct(*order)
+    begun = F.size(F.filter("bounds", lambda b: b <= at))
+    joined = rows.join(small_side(bounds), keys, "left").withColumns(
+        {
+            "part": F.coalesce(F.greatest(begun - 1, F.lit(0)), F.lit(0)).cast("bigint"),
+            "parts": F.coalesce(F.greatest(F.size("bounds"), F.lit(1)), F.lit(1)).cast("bigint"),
+        }
     )
-    return rows.join(parts, [*keys, *order])
+    return joined.drop("bounds")
+
+
+def number_parts(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    weight: Column,
+    text: str,
+    part_bytes: int = PART_BYTES,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Add ``part`` and ``parts``: only keys, order and weights of rows with text are frozen and ordered."""
+    narrow = freeze(rows.where(F.col(text) != "").select(*keys, *order, weight.alias("__weight")))
+    return with_part(rows, keys, order, part_bounds(narrow, keys, order, "__weight", part_bytes, rows_per_slice))
 
 
 def concat_parts(
@@ -67,9 +83,6 @@ def concat_parts(
 
 def number_shards(rows: DataFrame, keys: list[str], spread: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Add ``shard``: rows of a big key spread by a hash of ``spread``, for unordered collections."""
-    biggest, _ = key_sizes(rows, keys)
-    if biggest <= shard_rows:
-        return rows.withColumn("shard", F.lit(0).cast("bigint"))
     counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("__shards"))
     shard = F.pmod(F.xxhash64(spread), F.col("__shards"))
     return rows.join(counts, keys).withColumn("shard", shard).drop("__shards")

@@ -12,14 +12,14 @@ from sheaf.functions.times import modified_line
 from sheaf.operators.symbols import filter_decision, matched_symbols
 
 
-def metadata(files: DataFrame, home: str, root: str = "root") -> DataFrame:
+def metadata(files: DataFrame, home: str, root: str = "root", reference_strict: bool = False) -> DataFrame:
     """The seven metadata columns of a file, plus session_id where present."""
     keep = ["session_id"] if "session_id" in files.columns else []
     return files.select(
         *keep,
         "path",
         display_path("path", root, home).alias("display_path"),
-        is_text("content").alias("is_text_file"),
+        is_text("content", reference_strict).alias("is_text_file"),
         language("path").alias("language"),
         F.col("mtime").alias("last_modified"),
         content_hash("content").alias("file_hash"),

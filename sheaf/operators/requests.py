@@ -27,15 +27,17 @@ def request_paths(request: str = "request") -> Column:
 
 def _error(kind: str, message, field: str, expected: str, received) -> Column:
     message = F.lit(message) if isinstance(message, str) else message
-    details = F.to_json(
-        F.struct(F.lit(field).alias("field"), F.lit(expected).alias("expected"), received.alias("received")),
-        {"ignoreNullFields": "false"},
-    )
-    return F.struct(F.lit(kind).alias("type"), message.alias("message"), details.alias("details"))
+    details = F.struct(F.lit(field).alias("field"), F.lit(expected).alias("expected"), received.alias("received"))
+    return F.struct(F.lit(kind).alias("type"), message.alias("message"), _variant(details).alias("details"))
+
+
+def _variant(value: Column) -> Column:
+    """A struct as VARIANT, so that errors of different kinds are of one type and print as objects."""
+    return F.parse_json(F.to_json(value, {"ignoreNullFields": "false"}))
 
 
 def shape_error(allowed_dirs: list[str] | None = None, max_bytes: int | None = None, text: str = "value") -> Column:
-    """The first thing wrong with a request's own text, or null: struct(type, message, details)."""
+    """The first thing wrong with a request's own text, or null: struct(type, message, details as VARIANT)."""
     action, session = F.col("request.action"), F.col("request.session_id")
     paths = request_paths()
     first_bad = {
@@ -129,6 +131,6 @@ def missing_files(requests: DataFrame, key: str, listing: DataFrame) -> DataFram
         F.struct(
             F.lit(FILE_NOT_FOUND[0]).alias("type"),
             F.lit(FILE_NOT_FOUND[1]).alias("message"),
-            F.to_json(F.struct("missing_files", "accessible_files")).alias("details"),
+            _variant(F.struct("missing_files", "accessible_files")).alias("details"),
         ).alias("error"),
     )

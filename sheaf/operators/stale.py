@@ -10,9 +10,10 @@ from sheaf.functions.text import content_hash, is_text
 from sheaf.operators.packing import concat_parts, number_parts, number_shards
 
 
-def snapshot(files: DataFrame) -> DataFrame:
+def snapshot(files: DataFrame, reference_strict: bool = False) -> DataFrame:
     """(session_id, path, hash) of the text files of each session."""
-    return files.where(is_text("content")).select("session_id", "path", content_hash("content").alias("hash"))
+    texts = files.where(is_text("content", reference_strict))
+    return texts.select("session_id", "path", content_hash("content").alias("hash"))
 
 
 def hash_maps(snapshots: DataFrame, keys: list[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -30,15 +31,18 @@ def explode_hashes(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.select(*keys, F.explode("file_hashes").alias("path", "hash"))
 
 
-def current_hashes(files: DataFrame) -> DataFrame:
-    """(path, current_hash, readable, is_text) of the files as they are now."""
+def current_hashes(files: DataFrame, reference_strict: bool = False) -> DataFrame:
+    """(path, current_hash, readable, is_text) of the files as they are now, one row per path.
+
+    A path is one file, however many sessions list it; only hashes are shuffled to say so.
+    """
     readable = F.col("error").isNull() if "error" in files.columns else F.lit(True)
-    return files.select(
-        "path",
-        content_hash("content").alias("current_hash"),
+    now = F.struct(
         readable.alias("readable"),
-        is_text("content").alias("is_text"),
+        content_hash("content").alias("current_hash"),
+        is_text("content", reference_strict).alias("is_text"),
     )
+    return files.select("path", now.alias("now")).groupBy("path").agg(F.max("now").alias("now")).select("path", "now.*")
 
 
 def stale_files(snapshots: DataFrame, current: DataFrame, reference_strict: bool = False) -> DataFrame:

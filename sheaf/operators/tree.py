@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, TREE_HEADING, TREE_MAX_DEPTH
 from sheaf.functions.paths import ancestors, basename, components, parent, relative
-from sheaf.functions.patterns import effective_pattern, matches_any_extension
+from sheaf.functions.patterns import effective_pattern, matches_any_extension, python_pattern
 from sheaf.operators.ordered import Ordered
 from sheaf.operators.packing import concat_parts, number_parts
 from sheaf.session import freeze
@@ -54,6 +54,14 @@ def within_bases(listing: DataFrame, bases: DataFrame, max_depth: int = TREE_MAX
     return near.join(bases.select("base").distinct(), "base").select("base", "node", "is_dir", "error", depth)
 
 
+def drawable(listing: DataFrame, bases: DataFrame, pattern: str | None) -> DataFrame:
+    """The bases that get a tree: none where the pattern is invalid, and none that is a file."""
+    if python_pattern(pattern) is None:
+        return bases.where(F.lit(False))
+    files = listing.where(~F.col("is_dir")).select(F.col("path").alias("base")).distinct()
+    return bases.join(files, "base", "left_anti")
+
+
 def prune_ignored(nodes: DataFrame, pattern: str | None) -> DataFrame:
     """Drop nodes that match, or lie below a node that matches, on the absolute path."""
     effective = effective_pattern(nodes.sparkSession, pattern)

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import MODE_ALL, MODE_SINGLE, NO_TEXT_FILES, PART_BYTES, ROWS_PER_SLICE
 from sheaf.functions.paths import display_path
-from sheaf.functions.text import decode_text, is_text, non_blank_lines, rstrip
+from sheaf.functions.text import content_hash, decode_text, is_text, non_blank_lines, rstrip
 from sheaf.operators.filters import drop_ignored, keep_python
 from sheaf.operators.history import file_list_digest
-from sheaf.operators.ordered import key_sizes
-from sheaf.operators.packing import concat_parts, number_parts
+from sheaf.operators.packing import concat_parts, part_bounds, with_part
 from sheaf.operators.render import blocks
 from sheaf.operators.selection import apply_mode, selected_file_problem
 from sheaf.operators.sizes import small_side
-from sheaf.operators.stale import current_hashes, headlines, snapshot, stale_files
+from sheaf.operators.stale import current_hashes, headlines, stale_files
 from sheaf.operators.symbols import filter_decision, parse_errors, symbol_lists, with_source
-from sheaf.operators.tree import KEY_TYPE, tree_lines, tree_rows
+from sheaf.operators.tree import KEY_TYPE, drawable, tree_lines, tree_rows
 from sheaf.session import freeze
 
 TREE, FILES = 0, 1
@@ -36,7 +35,7 @@ class PackOptions:
     machine_time: bool = False
     show_ellipsis: bool = True
     include_date_modified: bool = True  # kept for callers; the line is always written
-    lenient_tail: bool = False
+    reference_strict: bool = False
     part_bytes: int = PART_BYTES
     rows_per_slice: int = ROWS_PER_SLICE
 
@@ -67,7 +66,7 @@ def session_settings(
     wanted = chosen.select("session_id", F.col("selected_file").alias("path"))
     # the text check runs on the selected files only
     found = _kept(files, options).join(small_side(wanted), ["session_id", "path"], "left_semi")
-    problems = selected_file_problem(found.withColumn("is_text", is_text("content", options.lenient_tail)), chosen)
+    problems = selected_file_problem(found.withColumn("is_text", is_text("content", options.reference_strict)), chosen)
     return small_side(freeze(settings.join(problems, "session_id", "left")))
 
 
@@ -82,7 +81,7 @@ def prepare(files: DataFrame, settings: DataFrame, options: PackOptions) -> Data
     """
     joined = _kept(files, options).join(settings, "session_id")
     shown = joined.where(F.col("selected_file").isNull() | (F.col("path") == F.col("selected_file")))
-    checked = shown.where(F.col("message").isNull()).withColumn("is_text", is_text("content", options.lenient_tail))
+    checked = shown.where(F.col("message").isNull()).withColumn("is_text", is_text("content", options.reference_strict))
     return checked.withColumn("text", F.when(F.col("is_text"), decode_text("content")))
 
 
@@ -90,6 +89,11 @@ def _file_bytes(files):
     return F.col("length") if "length" in files.columns else F.octet_length("content").cast("bigint")
 
 
+def _weight(size, path):
+    """Upper bound of a rendered block: a byte that is not UTF-8 becomes two; path, heading and fence around it."""
+    return 2 * size + F.octet_length(path) + 256
+
+
 def process_files(
     files: DataFrame,
     roots: DataFrame,
@@ -98,78 +102,101 @@ def process_files(
     listing: DataFrame | None = None,
     bases: DataFrame | None = None,
 ) -> DataFrame:
-    """The packs: session_id, part, parts, output_text, line_count (of the part).
+    """The packs: session_id, part, parts, output_text, line_count and errors of the part.
 
     ``files``: session_id, path, content, mtime and perhaps length.  ``roots``: one row per
     session (session_id, root).  ``state``: one selection row per session; sessions may lack
     one.  For a tree section also ``listing`` and ``bases`` (session_id, base).  Parts of a
     session in order make up its text; one below ``options.part_bytes`` has exactly one.
+    ``errors``: the files (path, error) left out because they failed.
 
-    The contents are scanned once, joined with the (broadcast) session settings and shuffled
-    once, as rendered blocks, by session and part.
+    Contents are read twice: once for a narrow table of sizes and text checks, which is frozen and numbers the
+    parts, and once to be rendered.  The rendered blocks are shuffled once, by session and part; binary
+    files take no part in that.
     """
     settings = session_settings(files, roots, state, options)
     prepared = prepare(files, settings, options)
-    parsed = with_source(prepared, "selected_items")
-    rendered = blocks(parsed.withColumn("bytes", _file_bytes(files)), options.home, options.machine_time,
-                      options.show_ellipsis, ["is_text", "bytes"])
+    sizes = prepared.select("session_id", "path", _file_bytes(files).alias("bytes"), "is_text")
+    narrow = freeze(
+        sizes.select(
+            "session_id",
+            F.lit(FILES).alias("section"),
+            _path_key("path").alias("key"),
+            _weight(F.col("bytes"), "path").alias("weight"),
+            "is_text",
+        )
+    )
+    parsed = with_source(prepared.where("is_text"), "selected_items")
+    rendered = blocks(parsed, options.home, options.machine_time, options.show_ellipsis)
+    failed = F.when(F.col("error").isNotNull(), F.struct("path", "error"))
     file_rows = rendered.select(
         "session_id",
         F.lit(FILES).alias("section"),
         _path_key("path").alias("key"),
-        F.when(F.col("is_text"), F.col("bytes")).otherwise(F.lit(0)).alias("weight"),
-        F.coalesce(F.when(F.col("is_text"), F.col("block")), F.lit("")).alias("text"),
-        F.col("is_text"),
+        F.coalesce("block", F.lit("")).alias("text"),
+        failed.alias("failed"),
     )
     # one row per session, before its files: sessions without files appear, errors replace them
-    marks = settings.select(
+    kinds = narrow.groupBy("session_id").agg(F.bool_or("is_text").alias("any_text"))
+    only_binary = F.coalesce(~F.col("any_text"), F.lit(False))
+    marks = settings.join(kinds, "session_id", "left").select(
         "session_id",
         F.lit(FILES).alias("section"),
         _path_key(F.lit("")).alias("key"),
-        F.lit(0).cast("bigint").alias("weight"),
-        F.coalesce("message", F.lit("")).alias("text"),
-        F.lit(None).cast("boolean").alias("is_text"),
+        F.coalesce("message", F.when(only_binary, F.lit(NO_TEXT_FILES)), F.lit("")).alias("text"),
+        F.lit(None).cast("struct<path:string,error:string>").alias("failed"),
     )
     rows = file_rows.unionByName(marks)
-    biggest, _ = key_sizes(files, ["session_id"], _file_bytes(files))
-    tree_bound = 0
+    order = ["section", "key"]
+    weighed = narrow.where("is_text").drop("is_text")
     if options.include_tree:
         healthy = bases.join(settings.where(F.col("message").isNull()), "session_id")
-        rows = rows.unionByName(_tree_rows(listing, healthy, options))
-        # a tree line is a name, a few guides and at most one note; head and tail are short
-        tree_bound = 16_384 + (listing.agg(F.sum(F.octet_length("path") + 128)).first()[0] or 0)
-    order = ["section", "key"]
-    numbered = number_parts(
-        rows,
-        ["session_id"],
-        order,
-        F.col("weight"),
-        "text",
-        options.part_bytes,
-        options.rows_per_slice,
-        at_most=biggest + tree_bound,
-    )
-    in_files = F.col("section") == FILES
-    flags = {
-        "shown": F.bool_or(in_files & (F.col("text") != "")),
-        "marked": F.bool_or(in_files & F.col("is_text").isNull()),
-        "any_file": F.bool_or(in_files & F.col("is_text").isNotNull()),
-        "any_text": F.bool_or(F.coalesce("is_text", F.lit(False))),
+        drawn = _tree_rows(listing, healthy, options)
+        rows = rows.unionByName(drawn, allowMissingColumns=True)
+        weighed = freeze(weighed.unionByName(drawn.select("session_id", *order, F.octet_length("text").cast("bigint").alias("weight"))))
+    bounds = part_bounds(weighed, ["session_id"], order, "weight", options.part_bytes, options.rows_per_slice)
+    if bounds is not None:
+        bounds = _without_empty_ends(bounds, weighed, order, prepared)
+    numbered = with_part(rows, ["session_id"], order, bounds)
+    extra = {
+        "shown": F.bool_or((F.col("section") == FILES) & (F.col("text") != "")),
+        "errors": F.array_sort(F.collect_list("failed")),
     }
-    packed = concat_parts(numbered, ["session_id"], order, "text", extra=flags)
+    packed = concat_parts(numbered, ["session_id"], order, "text", extra=extra)
     last = F.col("part") == F.col("parts") - 1
-    # the first text file shares its part with the mark before it
-    only_binary = F.col("marked") & F.col("any_file") & ~F.col("any_text") & ~F.col("shown")
     text = (
-        F.when(only_binary, F.concat("text", F.lit(NO_TEXT_FILES)))
-        .when(last & ~F.col("shown") & (F.col("text") != ""), F.concat(rstrip("text"), F.lit("\n")))
+        F.when(last & ~F.col("shown") & (F.col("text") != ""), F.concat(rstrip("text"), F.lit("\n")))
         .when(last, rstrip("text"))
         .otherwise(F.col("text"))
     )
-    packs = packed.select("session_id", "part", "parts", text.alias("output_text"))
+    packs = packed.select("session_id", "part", "parts", text.alias("output_text"), "errors")
     return packs.withColumn("line_count", non_blank_lines("output_text"))
 
 
+def _without_empty_ends(bounds, weighed, order, prepared):
+    """Merge a session's last part into the one before as long as none of its files shows anything.
+
+    Only ``.py`` files can show nothing, so no more is parsed here than last parts of such files alone.
+    """
+    path = F.element_at("key", 1)["name"]
+    while True:
+        placed = with_part(weighed, ["session_id"], order, bounds)
+        ends = placed.where((F.col("part") == F.col("parts") - 1) & (F.col("parts") > 1))
+        python_only = F.bool_and((F.col("section") == FILES) & path.endswith(".py"))
+        doubted = ends.groupBy("session_id").agg(python_only.alias("doubted")).where("doubted").select("session_id")
+        doubted = freeze(ends.join(doubted, "session_id").select("session_id", path.alias("path")))
+        if doubted.isEmpty():
+            return bounds
+        parsed = with_source(prepared.join(doubted, ["session_id", "path"], "left_semi"), F.array().cast("array<string>"))
+        solid = parsed.where(filter_decision().isin("full", "filtered")).select("session_id").distinct()
+        empty = freeze(doubted.select("session_id").distinct().join(solid, "session_id", "left_anti"))
+        if empty.isEmpty():
+            return bounds
+        shorter = F.when(F.col("cut"), F.slice("bounds", F.lit(1), F.size("bounds") - 1)).otherwise(F.col("bounds"))
+        marked = bounds.join(empty.withColumn("cut", F.lit(True)), "session_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+        bounds = freeze(marked.select("session_id", shorter.alias("bounds")))
+
+
 def _path_key(path):
     path = F.col(path) if isinstance(path, str) else path
     entry = F.struct(F.lit(0).alias("file"), F.lit("").alias("fold"), path.alias("name"))
@@ -177,6 +204,7 @@ def _path_key(path):
 
 
 def _tree_rows(listing, bases, options):
+    bases = drawable(listing, bases, options.tree_ignore)
     owners = bases.select(
         "session_id", "base", display_path("base", "root", options.home, show_ellipsis=True).alias("display")
     )
@@ -188,18 +216,13 @@ def _tree_rows(listing, bases, options):
         "session_id",
         F.lit(TREE).alias("section"),
         "key",
-        F.octet_length("text").cast("bigint").alias("weight"),
         text.alias("text"),
-        F.lit(False).alias("is_text"),
     )
 
 
-def pack_errors(files: DataFrame, roots: DataFrame, state: DataFrame, options: PackOptions) -> DataFrame:
-    """Files that failed: session_id, path, error.  They are left out of the pack; the rest goes on."""
-    prepared = prepare(files, session_settings(files, roots, state, options), options)
-    parsed = with_source(prepared, F.array().cast("array<string>"))
-    shown = blocks(parsed, options.home, options.machine_time, options.show_ellipsis)
-    return shown.where(F.col("error").isNotNull()).select("session_id", "path", "error")
+def pack_errors(packs: DataFrame) -> DataFrame:
+    """Files left out of the packs: session_id, path, error."""
+    return packs.select("session_id", F.inline("errors"))
 
 
 def python_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,21 +238,23 @@ def decisions(files: DataFrame, state: DataFrame) -> DataFrame:
     return parsed.select("session_id", "path", filter_decision().alias("decision"))
 
 
-def refresh_states(files: DataFrame, state: DataFrame) -> DataFrame:
+def refresh_states(files: DataFrame, state: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """A new snapshot of each session as a replay event state: session_id, st.
 
-    The digest covers the file list, the hashes of its text files and the selection, and is
-    built by partial aggregation.
+    The digest covers the file list, the hashes of its text files, the selection and, where ``tree`` (session_id, key,
+    text: the lines of its tree) is given, the tree.  It is built by partial aggregation.
     """
-    texts = snapshot(files)
-    hashed = files.select("session_id", "path").join(texts, ["session_id", "path"], "left")
+    hashed = files.select("session_id", "path", F.when(is_text("content"), content_hash("content")).alias("hash"))
     digests = file_list_digest(hashed, ["session_id"], ["path", "hash"])
+    fields = ["digest", "mode", "selected_file", "selected_items"]
+    if tree is not None:
+        lines = tree.select("session_id", F.to_json(F.struct("key")).alias("key"), "text")
+        trees = file_list_digest(lines, ["session_id"], ["key", "text"]).withColumnRenamed("digest", "tree")
+        digests, fields = digests.join(trees, "session_id", "full"), [*fields, "tree"]
     slim = state.select("session_id", "mode", "selected_file", "selected_items")
     joined = digests.join(slim, "session_id", "left")
-    fields = F.to_json(
-        F.struct("digest", "mode", "selected_file", "selected_items"), {"ignoreNullFields": "false"}
-    )
-    return joined.select("session_id", F.sha2(fields, 256).alias("st"))
+    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return joined.select("session_id", F.sha2(whole, 256).alias("st"))
 
 
 def check_stale(snapshots: DataFrame, files: DataFrame, keys: list[str], reference_strict: bool = False) -> DataFrame:

@@ -31,13 +31,15 @@ def build_session(app_name: str = "sheaf", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only on a local master without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="sheaf-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import re
 from datetime import datetime, timezone
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sheaf import schema
-from sheaf.functions.patterns import effective_pattern
+from sheaf.functions.patterns import python_pattern
 
 _PLAN_DIRS = 512
 _MAX_PARTITIONS = 4096
@@ -101,13 +102,21 @@ class ListingReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        """Split level by level until there are enough directories; the driver visits only those levels."""
+        """Split level by level until there are enough directories; the driver holds no more than that."""
         walk = _Walk(self.options)
         visited, frontier = [], [walk.root]
-        while frontier and len(frontier) < _PLAN_DIRS:
-            visited += frontier
-            frontier = [path for directory in frontier for path in walk.folders(directory)]
-            if len(visited) >= _PLAN_DIRS:
+        while frontier and len(frontier) + len(visited) < _PLAN_DIRS:
+            below, full = [], False
+            for i, directory in enumerate(frontier):
+                # a folder whose own folders do not fit the plan stays deep, and so do those after it
+                more = list(islice(walk.folders(directory), _PLAN_DIRS + 1 - len(below)))
+                if len(below) + len(more) > _PLAN_DIRS:
+                    below, full = below + frontier[i:], True
+                    break
+                below += more
+                visited.append(directory)
+            frontier = below
+            if full:
                 break
         return self._spread(visited, deep=False) + self._spread(frontier, deep=True)
 
@@ -156,7 +165,7 @@ def list_directory(
     spark.dataSource.register(ListingSource)
     reader = spark.read.format("listing").option("hidden", str(hidden).lower())
     if ignore is not None:
-        reader = reader.option("ignore", effective_pattern(spark, ignore) or "")
+        reader = reader.option("ignore", python_pattern(ignore) or "")
     if max_depth is not None:
         reader = reader.option("max_depth", str(max_depth))
     reader = reader.option("prune_ignored_dirs", str(prune_ignored_dirs).lower())

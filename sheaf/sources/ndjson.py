@@ -21,12 +21,18 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 100
     return parse_requests(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
-def success_response(action, session_id, payload) -> Column:
-    """One response line; ``payload`` is a struct."""
+def _stamp(at) -> list[Column]:
+    """The time of a response, where one is given."""
+    return [] if at is None else [F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")]
+
+
+def success_response(action, session_id, payload, at: Column | None = None) -> Column:
+    """One response line; ``payload`` is a struct, ``at`` the time of the response (UTC)."""
     return F.to_json(
         F.struct(
             F.lit(action).alias("action") if isinstance(action, str) else action.alias("action"),
             F.col(session_id).alias("session_id"),
+            *_stamp(at),
             F.lit(True).alias("success"),
             payload.alias("payload"),
         ),
@@ -34,7 +40,7 @@ def success_response(action, session_id, payload) -> Column:
     )
 
 
-def error_response(action, session_id, error: str, debug: bool = False) -> Column:
+def error_response(action, session_id, error: str, debug: bool = False, at: Column | None = None) -> Column:
     """One error line from an error struct (type, message, details and, on request, debug)."""
     fields = [F.col(f"{error}.{n}").alias(n) for n in ("type", "message", "details")]
     if debug:
@@ -43,6 +49,7 @@ def error_response(action, session_id, error: str, debug: bool = False) -> Colum
         F.struct(
             F.col(action).alias("action"),
             F.col(session_id).alias("session_id"),
+            *_stamp(at),
             F.lit(False).alias("success"),
             F.struct(*fields).alias("error"),
         ),

@@ -1,5 +1,6 @@
 """Column functions on hand-made edge cases."""
 
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -31,7 +32,10 @@ def test_text_check(spark):
         (b"", True),
         (b"a" * 1023 + b"\x00", False),
         (b"a" * 1024 + b"\x00", True),
-        (b"a" * 1023 + "é".encode(), False),
+        (b"a" * 1023 + "é".encode(), True),
+        (b"a" * 1021 + "\U0010ffff".encode() + b"\xff", True),
+        (b"a" * 1023 + b"\xff\xff", False),
+        (b"a" * 1023 + b"\xc3", False),
         (b"a" * 1022 + "é".encode() + b"more", True),
         (b"\xed\xa0\x80", False),
         (b"\xc0\xaf", False),
@@ -41,8 +45,8 @@ def test_text_check(spark):
     ]
     got = over(spark, [c for c, _ in cases], is_text, "binary")
     assert got == [want for _, want in cases]
-    lenient = over(spark, [b"a" * 1023 + "é".encode(), b"a" * 1023 + b"\xff\xff"], lambda c: is_text(c, True), "binary")
-    assert lenient[0] is True
+    strict = over(spark, [b"a" * 1023 + "é".encode(), b"a" * 1022 + "é".encode()], lambda c: is_text(c, True), "binary")
+    assert strict == [False, True]
 
 
 def test_decode(spark):
@@ -131,7 +135,7 @@ def test_patterns(spark):
     assert over(spark, ["a|(b|c)"], display_pattern) == ["a\n(b\nc)"]
     assert effective_pattern(spark, "(") is None
     assert effective_pattern(spark, None) == effective_pattern(spark, "  \n ")
-    assert effective_pattern(spark, r"(?P<n>x)") == "(?<n>x)"
+    assert effective_pattern(spark, r"(?P<n>x)") == "(?<g0>x)"
     assert matches_any_extension(effective_pattern(spark, None))
     assert not matches_any_extension("tmp$")
     df = spark.createDataFrame([("", " ", " c ", "d")], "a string, b string, c string, d string")
@@ -171,3 +175,25 @@ def test_hash_marks(spark):
     got = values(df.select(content_hash("content", "status")))
     assert got[1:3] == ["FILE_MISSING", "HASH_ERROR"]
     assert got[3] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        r"(?P<my_name>tmp|a)(?P=my_name)", r"a\Z", r"foo{bar}|tmp", r"x{2,3}", r"x{,2}y", r"x{2", r"[[a]b", r"[]x]", r"[^]x]+$", r"[a&&b]",
+        r"^\w+$", r"\bé", r"(?i)É", r"\d", r"\s", r"a.c", r"a$", r"\.git|\[x\]", r"}", r"[\w-]+é",
+    ],
+)
+def test_python_patterns_keep_their_meaning(spark, pattern):
+    texts = ["tmptmp", "aa", "foo{bar}", "xx", "xxy", "y", "x{2", "[", "b", "]", "x", "ab", "&", "é", "naïve", "É", "٣", "\u00a0", "a\rc", "a\nc", "a", "a\n", "b a", "{}", ".git", "[x]", "abé", "a{", ""]
+    java = effective_pattern(spark, pattern)
+    got = over(spark, texts, lambda c: c.rlike(java))
+    assert got == [re.search(pattern, t) is not None for t in texts]
+
+
+def test_patterns_without_a_form_are_refused(spark):
+    for pattern in (r"(a)?(?(1)b|c)", r"\101", r"(?a)\w"):
+        re.compile(pattern)
+        with pytest.raises(ValueError):
+            effective_pattern(spark, pattern)
+    assert effective_pattern(spark, r"\p{L}") is None  # Python refuses it: nothing is ignored

@@ -237,7 +237,7 @@ def test_missing_files_and_responses(spark):
     listing = spark.createDataFrame([("/p/a", False)], "path string, is_dir boolean")
     row = missing_files(parsed, "key", listing).collect()
     assert [(r.key, r.error.type) for r in row] == [(1, "FileNotFoundError")]
-    assert json.loads(row[0].error.details) == {"missing_files": ["/p/b"], "accessible_files": ["/p/a"]}
+    assert row[0].error.details.toPython() == {"missing_files": ["/p/b"], "accessible_files": ["/p/a"]}
     flat = missing_files(parsed, "key", listing).select(
         F.lit("process_files").alias("action"),
         F.lit(UUID).alias("session_id"),

@@ -140,8 +140,8 @@ def test_selection_truth_table(spark, mode, file, items, want):
 
 
 def test_failed_files_are_reported_and_skipped(spark):
-    _, args = run(spark, FILES)
-    errors = [(r.path, r.error) for r in pack_errors(*args).collect()]
+    packs, _ = run(spark, FILES)
+    errors = [(r.path, r.error) for r in pack_errors(packs).collect()]
     assert errors == [
         ("/h/p/bad.py", "~/p/bad.py: Error processing - Syntax error in bad.py: line 1 - invalid syntax")
     ]
