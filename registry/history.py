@@ -198,3 +198,25 @@ def _(spark, sf):
         .withColumn("op", F.lit("new"))
     )
     return replay(events).groupBy("session_id").agg(F.count(F.lit(1)).alias("states"))
+
+
+@query("c5_refresh_tree_change", """
+SELECT DISTINCT source AS session_id, CAST(CASE WHEN CAST(substr(source, 4) AS INT) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS states
+FROM documents""")
+def _(spark, sf):
+    """A new file beside the selected ones changes the tree, and so makes a new state."""
+    from sheaf.operators.tree import listing_of_files, tree_lines
+
+    files, state = V.fx_files(spark, sf), V.file_state(spark, sf)
+    owners = files.select("session_id", F.concat(F.lit(f"{V.CODE}/"), "session_id").alias("base")).distinct()
+    added = owners.where("CAST(substr(session_id, 4) AS INT) % 2 = 0").select(F.concat("base", F.lit("/added.md")).alias("path"))
+    seen = files.select("path")
+
+    def state_of(paths):
+        lines = tree_lines(listing_of_files(paths), owners.select("base"))
+        tree = lines.join(owners, "base").select("session_id", "key", F.col("line").alias("text"))
+        return refresh_states(files, state, tree)
+
+    first, second = state_of(seen), state_of(seen.unionByName(added))
+    events = first.withColumn("seq", F.lit(1)).unionByName(second.withColumn("seq", F.lit(2))).withColumn("op", F.lit("new"))
+    return replay(events).groupBy("session_id").agg(F.count(F.lit(1)).alias("states"))

@@ -9,8 +9,7 @@ from registry.core import query
 from registry.symbols import _CHOSEN, PY_BLOCK
 from registry.trees import LINES, NODES, TREES, bases
 from sheaf.constants import NO_TEXT_FILES, PART_BYTES
-from sheaf.operators.selection import resolve_basenames, selection_changed, with_order
-from sheaf.plans.packs import PackOptions, pack_errors, process_files
+from sheaf.plans.packs import PackOptions, pack_errors, process_files, update_selection
 
 # the SQL of these packs holds for sessions below PART_BYTES, as in the tables it runs on
 ONE_PART = "CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts"
@@ -163,23 +162,14 @@ SELECT y.session_id, {ONE_PART}, coalesce({V.stripped("string_agg(s.block, '' OR
 FROM py_state y LEFT JOIN shown s USING (session_id) WHERE y.has_items GROUP BY y.session_id""")
 def _(spark, sf):
     """Sessions whose selection changed are packed anew; the single file comes in by its base name."""
-    files = V.fx_py(spark, sf)
-    state = V.py_state(spark, sf)
-    listed = with_order(files.select("session_id", "path"))
-    names = state.where("selected_file IS NOT NULL").select(
-        "session_id", F.substring_index("selected_file", "/", -1).alias("name")
+    files, state = V.fx_py(spark, sf), V.py_state(spark, sf)
+    after = state.withColumn("selected_file", F.substring_index("selected_file", "/", -1))
+    before = state.select(
+        "session_id",
+        F.lit("All Files").alias("mode"),
+        F.lit(None).cast("string").alias("selected_file"),
+        F.array().cast("array<string>").alias("selected_items"),
     )
-    resolved = resolve_basenames(names, listed).select("session_id", F.col("path").alias("selected_file"))
-    new = state.drop("selected_file").join(resolved, "session_id", "left")
-    before = new.withColumns({
-        "old_items": F.array().cast("array<string>"),
-        "old_mode": F.lit("All Files"),
-        "old_file": F.lit(None).cast("string"),
-    })
-    changed = before.where(
-        selection_changed("old_items", "selected_items", "old_mode", "mode", "old_file", "selected_file")
-    ).select("session_id", "mode", "selected_file", "selected_items")
-    mine = files.join(changed.select("session_id"), "session_id", "left_semi")
-    no_roots = changed.select("session_id", F.lit(None).cast("string").alias("root"))
-    packs = process_files(mine, no_roots, changed, PackOptions(home=V.HOME))
+    no_roots = state.select("session_id", F.lit(None).cast("string").alias("root"))
+    packs = update_selection(files, no_roots, before, after, PackOptions(home=V.HOME))
     return packs.select("session_id", "part", "parts", "output_text")

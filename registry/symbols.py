@@ -110,7 +110,7 @@ def _(spark, sf):
 WITH {V.FX_PY} SELECT session_id, true AS has_python_text_files, bool_or(parses) AS found_symbols,
   bool_or(NOT parses) AS has_errors FROM fx_py GROUP BY session_id""")
 def _(spark, sf):
-    return S.session_flags(_sources(spark, sf), _parsed(spark, sf))
+    return S.session_flags(_parsed(spark, sf))
 
 
 _CHOSEN = f"""WITH {V.FX_PY}, {V.PY_STATE}, {_SYMBOLS},
@@ -159,16 +159,7 @@ WITH {V.FX_PY} SELECT session_id, path, CASE WHEN parses THEN cls END AS classes
   CASE WHEN parses THEN fn END AS functions, CASE WHEN NOT parses THEN 'doc_' || CAST(doc_id AS VARCHAR)
   || '.py: Syntax error in doc_' || CAST(doc_id AS VARCHAR) || '.py: line 1 - invalid syntax' END AS error FROM fx_py""")
 def _(spark, sf):
-    lists, errors = python_symbols(V.fx_py(spark, sf).unionByName(V.fx_files(spark, sf)))
-    none = F.lit(None).cast("string")
-    found = lists.select(
-        "session_id",
-        "path",
-        F.array_join("classes", ",").alias("classes"),
-        F.array_join("functions", ",").alias("functions"),
-        none.alias("error"),
+    found = python_symbols(V.fx_py(spark, sf).unionByName(V.fx_files(spark, sf)))
+    return found.select(
+        "session_id", "path", F.array_join("classes", ",").alias("classes"), F.array_join("functions", ",").alias("functions"), "error"
     )
-    failed = errors.select(
-        "session_id", "path", none.alias("classes"), none.alias("functions"), F.col("message").alias("error")
-    )
-    return found.unionByName(failed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,23 @@ def stale_files(snapshots: DataFrame, current: DataFrame, reference_strict: bool
     return joined.withColumn("status", status).where(F.col("status").isNotNull()).select(*keep, "status")
 
 
+def stale_by_listing(snapshots: DataFrame, listing: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``stale_files``, reading only the files whose length or time differs from the snapshot's.
+
+    ``snapshots`` also holds length and mtime; ``read`` gives the contents (path, content, error) of listed
+    files, as ``read_contents`` does.  A file rewritten with equal length and time counts as fresh.
+    """
+    now = listing.where(~F.col("is_dir")).groupBy("path").agg(
+        F.max(F.struct(F.col("length").alias("now_length"), F.col("mtime").alias("now_mtime"))).alias("now")
+    )
+    joined = snapshots.join(now, "path", "left")
+    gone = F.col("now").isNull()
+    same = (F.col("now.now_length") == F.col("length")) & (F.col("now.now_mtime") == F.col("mtime"))
+    doubted = joined.where(gone | ~F.coalesce(same, F.lit(False))).drop("now")
+    there = listing.join(doubted.select("path").distinct(), "path", "left_semi")
+    return stale_files(doubted.drop("length", "mtime"), current_hashes(read(there)))
+
+
 def headlines(stale: DataFrame, keys: list[str]) -> DataFrame:
     """keys…, headline, files: the gravest status decides."""
     rank = F.when(F.col("status") == "missing", 3).when(F.col("status") == "error", 2).otherwise(1)

@@ -44,7 +44,12 @@ def session_imports(parsed: DataFrame) -> DataFrame:
 def parse_errors(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """Files that could not be parsed: keep…, message."""
     failed = parsed.where(F.col("source.error").isNotNull())
-    return failed.select(*keep, F.concat(basename("path"), F.lit(": "), F.col("source.error")).alias("message"))
+    return failed.select(*keep, error_message().alias("message"))
+
+
+def error_message() -> Column:
+    """What a file that could not be parsed is reported with."""
+    return F.concat(basename("path"), F.lit(": "), F.col("source.error"))
 
 
 def names_of(kind: str) -> Column:
@@ -74,21 +79,16 @@ def symbol_response(parsed: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
     )
 
 
-def session_flags(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Per session: are there Python text files, was any symbol found, did any file fail."""
-    has_python = files.groupBy("session_id").agg(
-        F.bool_or(is_python() & F.col("is_text")).alias("has_python_text_files")
-    )
-    found = parsed.groupBy("session_id").agg(
-        F.bool_or(F.coalesce(F.size("source.symbols") > 0, F.lit(False))).alias("found_symbols"),
-        F.bool_or(F.col("source.error").isNotNull()).alias("has_errors"),
-    )
-    no = F.lit(False)
-    return has_python.join(found, "session_id", "left").select(
-        "session_id",
-        "has_python_text_files",
-        F.coalesce("found_symbols", no).alias("found_symbols"),
-        F.coalesce("has_errors", no).alias("has_errors"),
+def session_flags(parsed: DataFrame) -> DataFrame:
+    """Per session: are there Python text files, was any symbol found, did any file fail.
+
+    ``parsed``: all files of the sessions, with is_text and source; one aggregate.
+    """
+    flag = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    return parsed.groupBy("session_id").agg(
+        flag(is_python() & F.col("is_text")).alias("has_python_text_files"),
+        flag(F.size("source.symbols") > 0).alias("found_symbols"),
+        flag(F.col("source.error").isNotNull()).alias("has_errors"),
     )
 
 

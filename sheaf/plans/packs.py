@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.constants import MODE_ALL, MODE_SINGLE, NO_TEXT_FILES, PART_BYTES, ROWS_PER_SLICE
-from sheaf.functions.paths import display_path
+from sheaf.functions.paths import basename, display_path
 from sheaf.functions.text import content_hash, decode_text, is_text, non_blank_lines, rstrip
 from sheaf.operators.filters import drop_ignored, keep_python
 from sheaf.operators.history import file_list_digest
 from sheaf.operators.packing import concat_parts, part_bounds, with_part
 from sheaf.operators.render import blocks
-from sheaf.operators.selection import apply_mode, selected_file_problem
+from sheaf.operators.selection import apply_mode, selected_file_problem, selection_changed
 from sheaf.operators.sizes import small_side
 from sheaf.operators.stale import current_hashes, headlines, stale_files
-from sheaf.operators.symbols import filter_decision, parse_errors, symbol_lists, with_source
+from sheaf.operators.symbols import error_message, filter_decision, names_of, with_source
 from sheaf.operators.tree import KEY_TYPE, drawable, tree_lines, tree_rows
 from sheaf.session import freeze
 
@@ -225,11 +225,44 @@ def pack_errors(packs: DataFrame) -> DataFrame:
     return packs.select("session_id", F.inline("errors"))
 
 
-def python_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbol lists, errors) of the Python text files of each session."""
+def python_symbols(files: DataFrame) -> DataFrame:
+    """session_id, path, classes, functions, imports, error of the Python text files: one parse for both outcomes.
+
+    A file that cannot be parsed has null lists and an error.
+    """
     sources = keep_python(files).withColumn("text", decode_text("content"))
     parsed = with_source(sources, F.array().cast("array<string>"))
-    return symbol_lists(parsed, ["session_id", "path"]), parse_errors(parsed, ["session_id", "path"])
+    fine = F.col("source.error").isNull()
+    return parsed.select(
+        "session_id",
+        "path",
+        F.when(fine, names_of("class")).alias("classes"),
+        F.when(fine, names_of("function")).alias("functions"),
+        F.when(fine, F.col("source.imports")).alias("imports"),
+        F.when(~fine, error_message()).alias("error"),
+    )
+
+
+def update_selection(
+    files: DataFrame, roots: DataFrame, before: DataFrame, after: DataFrame, options: PackOptions
+) -> DataFrame:
+    """Packs of the sessions whose selection changed.
+
+    ``before`` and ``after``: session_id, mode, selected_file, selected_items.  A selected file named without a
+    folder is the first path of the session with that name.
+    """
+    named = F.coalesce(F.contains("selected_file", F.lit("/")), F.lit(True))
+    by_name = files.select("session_id", "path", basename("path").alias("name"))
+    wanted = after.where(~named).select("session_id", F.col("selected_file").alias("name"))
+    first = by_name.join(small_side(wanted), ["session_id", "name"], "left_semi").groupBy("session_id").agg(F.min("path").alias("first"))
+    resolved = after.join(first, "session_id", "left").withColumn("selected_file", F.coalesce("first", "selected_file")).drop("first")
+    old = before.select("session_id", *[F.col(c).alias(f"old_{c}") for c in ("mode", "selected_file", "selected_items")])
+    both = resolved.join(old, "session_id", "left")
+    moved = selection_changed("old_selected_items", "selected_items", "old_mode", "mode", "old_selected_file", "selected_file")
+    changed = freeze(both.where(F.coalesce(moved, F.lit(True))).select("session_id", "mode", "selected_file", "selected_items"))
+    mine = files.join(small_side(changed.select("session_id")), "session_id", "left_semi")
+    owners = changed.select("session_id").join(roots, "session_id", "left")
+    return process_files(mine, owners, changed, options)
 
 
 def decisions(files: DataFrame, state: DataFrame) -> DataFrame:

@@ -279,3 +279,57 @@ def test_exports(spark, tmp_path):
     folder = tmp_path / "out" / "session_id=s"
     files = sorted(p for p in folder.iterdir() if p.name.startswith("part-"))
     assert b"".join(p.read_bytes() for p in files).decode() == "".join(r[2] for r in rows)
+
+
+def test_staleness_reads_only_files_whose_listing_differs(spark, tmp_path):
+    from sheaf.operators.stale import current_hashes, stale_by_listing
+
+    for i in range(6):
+        (tmp_path / f"f{i}.txt").write_text(f"text {i}")
+    first = list_directory(spark, str(tmp_path))
+    kept = spark.createDataFrame(first.join(current_hashes(read_contents(first)), "path").selectExpr(
+        "'s' AS session_id", "path", "current_hash AS hash", "length", "mtime").collect())
+    (tmp_path / "f1.txt").write_text("other text")
+    (tmp_path / "f2.txt").unlink()
+    seen = []
+
+    def read(listing):
+        seen.extend(r.path for r in listing.collect())
+        return read_contents(listing)
+
+    found = stale_by_listing(kept, list_directory(spark, str(tmp_path)), read).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.status) for r in found} == {("f1.txt", "modified"), ("f2.txt", "missing")}
+    assert [p.rsplit("/", 1)[1] for p in seen] == ["f1.txt"]
+
+
+def test_one_folder_is_read_by_many_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"n{i}").write_bytes(b"x" * (i % 7))
+    (tmp_path / "_bin").write_bytes(b"\x00" * 5000)
+    files = read_contents(list_directory(spark, str(tmp_path)), text_only=True, max_bytes=4999)
+    rows = files.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 401 and len({r.task for r in rows}) > 1
+    by = {r.path.rsplit("/", 1)[1]: r for r in rows}
+    assert by["n0"].content == b"" and by["_bin"].error is None and len(by["_bin"].content) == 1027
+    whole = read_contents(list_directory(spark, str(tmp_path)), max_bytes=4999).where("path LIKE '%_bin'").first()
+    assert (whole.content, whole.error) == (None, "too large")
+
+
+def test_a_wide_level_stays_out_of_the_plan(spark, tmp_path):
+    from sheaf.sources.listing import ListingReader
+
+    for i in range(40):
+        for j in range(30):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+    parts = ListingReader({"path": str(tmp_path)}).partitions()
+    assert sum(len(p.paths) for p in parts) <= 600
+    assert list_directory(spark, str(tmp_path)).count() == 40 + 40 * 30
+
+
+def test_tree_needs_a_valid_pattern_and_a_folder(spark):
+    from sheaf.operators.tree import drawable
+
+    listing = spark.createDataFrame([("/p/a", True), ("/p/f", False)], "path string, is_dir boolean")
+    bases = spark.createDataFrame([("/p/a",), ("/p/f",), ("/p",)], "base string")
+    assert sorted(r.base for r in drawable(listing, bases, None).collect()) == ["/p", "/p/a"]
+    assert drawable(listing, bases, "(").count() == 0
