@@ -5,7 +5,7 @@ follow each other both occur more than once, the window of twice the length is a
 identity follows from the classes of its two halves, without the text.  Each level is one exchange by
 hash (which windows repeat?) and one by source (which windows follow each other?).  ``levels``
 gives how often the length doubles; the last level has the length asked.  Longer windows than that
-cannot remove more words, so the search ends there even if candidates would survive.
+cannot remove more words, so removal ends there; ``repeated_lengths`` goes on until no candidates survive.
 
 A source is some MB of texts of one input partition.  It sends each distinct window once, so a
 window that fills a third of all texts costs one entry for each source.  Hashes have 40 bits beside
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.blobs import pack, steps, unpack
 from sheaf.llm.common import parts_for, small_batches, text_bytes
+from sheaf.llm.tables import written
 from sheaf.llm.words import cut, grams, inside_text, mix, slices
 
 SOURCE_BYTES = 8 << 20
@@ -374,3 +375,56 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, levels: int = 1)
     cuts = rows.groupBy("source").applyInArrow(_cover(window, parts), _MESSAGE)
     texts = docs.mapInArrow(_send_texts(parts), _MESSAGE)
     return cuts.unionByName(texts).groupBy("to").applyInArrow(_remove(), _RESULT)
+
+
+def _extend(length: int, parts: int):
+    """At a source: documents with a repeated window of this length; candidates of twice the length go on."""
+
+    def run(key, table):
+        out, source = _Out(), key[0].as_py()
+        got = {kind: [] for kind in range(9)}
+        for _, kind, arrays in _messages(table):
+            got[kind].append(arrays)
+        ids, keys, counts, *before = got[_DOCS][0]
+        first = np.concatenate(([0], np.cumsum(counts)))
+        of = _classes_of(int(first[-1]), got[_CLASSES], got[_REPEATS])
+        longest = before[0] if before else np.zeros(len(ids), dtype=np.int64)
+        found = np.searchsorted(first, np.flatnonzero(of), side="right") - 1
+        longest[np.unique(found)] = length
+        out.add(_home(source, parts), source, _DOCS, pack(ids, keys, counts, longest))
+        at = np.flatnonzero(inside_text(first, 2 * length))
+        at = at[(of[at] > 0) & (of[at + length] > 0)]
+        if len(at):
+            _send_distinct(out, source, parts, at, mix(mix(of[at]) * np.uint64(3) + of[at + length]))
+        return out.table()
+
+    return run
+
+
+def _longest_of(batches):
+    """Documents' messages → rows."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            ids, _, counts, longest = unpack(blob)
+            own = pa.array(ids, mask=ids == _LAST)
+            yield pa.RecordBatch.from_arrays([own, pa.array(counts.astype(np.int64)), pa.array(longest)], names=["doc_id", "n_words", "longest"])
+
+
+def repeated_lengths(docs: DataFrame, start: int = 10) -> DataFrame:
+    """doc_id, n_words, longest: the longest of the lengths start, 2 * start, 4 * start, … of which a window occurs again.
+
+    Doubling goes on until no candidate survives; each level reads the table that the level before wrote.  0: no
+    window of ``start`` words occurs twice.  A window counts as repeated wherever its other occurrence is.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
+    parts = parts_for(spark, text_bytes(docs), BUCKET_BYTES)
+    rows, length = docs.mapInArrow(_hash_texts(start, parts), _MESSAGE), start
+    while True:
+        rows = rows.groupBy("to").applyInArrow(_repeated(parts), _MESSAGE)
+        rows = written(rows.groupBy("source").applyInArrow(_extend(length, parts), _MESSAGE), "level")
+        if rows.filter(F.col("kind") == _HASHES).isEmpty():
+            break
+        length *= 2
+    return rows.filter(F.col("kind") == _DOCS).select("blob").mapInArrow(_longest_of, "doc_id long, n_words long, longest long")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.llm import substring_dedup
-from sheaf.llm.substring_dedup import remove_repeated_windows
+from sheaf.llm.substring_dedup import remove_repeated_windows, repeated_lengths
 
 
 def brute(rows, window=20):
@@ -68,3 +68,24 @@ def test_empty_table_and_bad_window(spark):
     assert remove_repeated_windows(docs).count() == 0
     with pytest.raises(ValueError):
         remove_repeated_windows(docs, window=7)
+
+
+def test_lengths_double_until_none_survives(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SOURCE_BYTES", 400)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(400)]
+    rows = [(i, " ".join(f"a{rng.randrange(10**7)}" for _ in range(9)) + " " + " ".join(shared[: 3 * i + 2])) for i in range(60)] + [(None, None), (99, "x " * 200), (7, "")]
+    count = {}
+    cut = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for length in (5, 10, 20, 40, 80, 160, 320):
+        for w in cut:
+            for i in range(len(w) - length + 1):
+                seq = tuple(w[i : i + length])
+                count[seq] = count.get(seq, 0) + 1
+    want = []
+    for (d, _), w in zip(rows, cut):
+        longest = max([n for n in (5, 10, 20, 40, 80, 160, 320) for i in range(len(w) - n + 1) if count[tuple(w[i : i + n])] > 1], default=0)
+        want.append((d, len(w), longest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in repeated_lengths(docs, start=5).collect()), key=str) == sorted(want, key=str)
+    assert repeated_lengths(docs.limit(0)).count() == 0
