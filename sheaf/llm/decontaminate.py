@@ -81,9 +81,11 @@ def _windows(rows: DataFrame, lengths: list[int], wanted: list[int] | None, insi
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(length, print, window, items): the distinct windows of the benchmark and the ids of their items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
+    items = items.filter(F.size("words") > 0)
     own = F.least(F.size("words"), F.lit(WINDOW))
-    items = _windows(items.filter(F.size("words") > 0), list(range(1, WINDOW + 1)), None, own)
-    one = items.select("item", F.inline("found"))
+    lengths = sorted(r.n for r in items.select(own.alias("n")).distinct().collect())  # at most WINDOW values
+    # outer: no filter on "found" is inferred, which would be pushed below all of its steps and repeat them
+    one = _windows(items, lengths or [WINDOW], None, own).select("item", F.inline_outer("found")).filter(F.col("print").isNotNull())
     return one.groupBy("length", "print", "window").agg(F.collect_set("item").alias("items"))
 
 
