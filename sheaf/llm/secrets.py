@@ -92,9 +92,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share > 0))
     chosen = base_matches(chosen.select("text"))
     found = F.concat(F.transform("assign", lambda m: _value(m["value"])), F.transform("access", lambda m: m["value"]), F.transform("hex", lambda m: m["value"]))
-    random = chosen.select(F.explode(found).alias("s")).distinct()
+    # outer explodes: no filter on the arrays is inferred, which would repeat the steps that make them
+    random = chosen.select(F.explode_outer(found).alias("s")).distinct()
     words = F.regexp_extract_all("clean", F.lit(f"({_RUN}{{{ORDINARY},}})"), F.lit(1))
-    ordinary = chosen.select(F.explode(F.array_distinct(words)).alias("s")).distinct()
+    ordinary = chosen.select(F.explode_outer(F.array_distinct(words)).alias("s")).distinct()
     ordinary = ordinary.filter(~F.col("s").rlike(f"{_HEX}|{_ACCESS}|{_ASSIGN}|[0-9]"))
     size = len(ALPHABET) + 1  # 0: not in the alphabet
 
