@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import views as V
 from registry.core import query
-from sheaf.constants import EXTENSION_GROUPS
+from sheaf.constants import EXTENSION_GROUPS, IGNORE_DEFAULT
 from sheaf.functions.paths import basename, display_path, language, parent
 from sheaf.functions.patterns import display_pattern, normalize_pattern
 from sheaf.functions.text import content_hash, decode_text, head, is_text, non_blank_lines
@@ -165,14 +165,15 @@ def _(spark, sf):
     )
 
 
-@query("p8_settings", """
-SELECT source AS session_id,
+@query("p8_settings", f"""
+SELECT source AS session_id, CASE n % 3 WHEN 0 THEN '*.log' WHEN 1 THEN 'shared' ELSE '{IGNORE_DEFAULT}' END AS ignore_pattern,
+  CASE WHEN n % 2 = 0 THEN '/home/u/code' ELSE '/home/u/code/' || source END AS folder,
   CASE n % 5 WHEN 0 THEN '/w/' || source WHEN 1 THEN '/r/' || source WHEN 2 THEN '/r/' || source
              WHEN 3 THEN '/d' ELSE '/home/u/code/' || source END AS tree_base,
   CASE n % 5 WHEN 0 THEN '/w/' || source WHEN 1 THEN '/r/' || source WHEN 2 THEN '/r/' || source END AS root
 FROM (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS n FROM documents)""")
 def _(spark, sf):
-    from sheaf.operators.roots import effective_root, tree_base
+    from sheaf.operators.roots import effective_root, folder_base, ignore_setting, tree_base
 
     settings = V.documents(spark, sf).select("source").distinct().selectExpr(
         "source AS session_id",
@@ -180,11 +181,16 @@ def _(spark, sf):
         "CASE CAST(substr(source, 4) AS INT) % 5 WHEN 1 THEN '/r/' || source WHEN 2 THEN '/r/' || source END AS found",
         "CASE CAST(substr(source, 4) AS INT) % 5 WHEN 3 THEN '/d' ELSE '' END AS default_base",
         "'/home/u/code/' || source AS common",
+        "CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN '*.log' ELSE ' ' END AS window_ignore",
+        "CASE WHEN CAST(substr(source, 4) AS INT) % 3 < 2 THEN 'shared' END AS shared_ignore",
+        "CAST(substr(source, 4) AS INT) % 2 = 0 AS is_file",
     )
     return settings.select(
         "session_id",
         tree_base("window_base", "found", "default_base", "common").alias("tree_base"),
         effective_root("window_base", "found").alias("root"),
+        ignore_setting("window_ignore", "shared_ignore").alias("ignore_pattern"),
+        folder_base("common", "is_file").alias("folder"),
     )
 
 

@@ -126,9 +126,9 @@ def _(spark, sf):
     return rows.select("doc_id", changed.alias("changed"))
 
 
-_SHALLOW = "CASE WHEN n % 4 = 0 THEN doc_id % 11 > 2 WHEN n % 4 = 1 THEN doc_id = first_doc ELSE true END"
-_LEVELS = f"""lv AS (SELECT session_id, string_split(path, '/') AS p FROM
-    (SELECT *, min(doc_id) OVER (PARTITION BY session_id) AS first_doc FROM fx_files) WHERE {_SHALLOW}),
+_LEVELS = """lv AS (SELECT session_id || CASE WHEN n % 4 = 0 AND doc_id % 11 <= 2 THEN '-rest' ELSE '' END AS session_id,
+    string_split(path, '/') AS p FROM fx_files
+  UNION ALL SELECT session_id || '-one', string_split(min(path), '/') FROM fx_files WHERE n % 4 = 1 GROUP BY session_id),
 k AS (SELECT session_id, unnest(range(1, 9)) AS i, p FROM lv),
 agree AS (SELECT session_id, i, count(DISTINCT coalesce(p[i], '')) = 1 AND bool_and(len(p) >= i) AS same, min(p[i]) AS part
   FROM k GROUP BY session_id, i),
@@ -137,31 +137,29 @@ common AS (SELECT a.session_id, string_agg(part, '/' ORDER BY i) AS common FROM
   WHERE i < stop GROUP BY a.session_id)"""
 
 
-def _some_files(spark, sf):
+def _split_sessions(spark, sf):
+    """All files; some sessions are split in two, and some have a further session of one file."""
     number = F.regexp_extract("path", r"doc_([0-9]+)", 1).cast("bigint")
-    files = V.fx_files(spark, sf).select(
-        "session_id", "path", number.alias("doc_id"), F.expr("CAST(substr(session_id, 4) AS INT) % 4").alias("n")
-    )
-    first = files.groupBy("session_id").agg(F.min("doc_id").alias("first_doc"))
-    keep = (
-        F.when(F.col("n") == 0, F.col("doc_id") % 11 > 2)
-        .when(F.col("n") == 1, F.col("doc_id") == F.col("first_doc"))
-        .otherwise(F.lit(True))
-    )
-    return files.join(first, "session_id").where(keep).select("session_id", "path")
+    kind = F.expr("CAST(substr(session_id, 4) AS INT) % 4")
+    files = V.fx_files(spark, sf)
+    rest = F.when((kind == 0) & (number % 11 <= 2), F.lit("-rest")).otherwise(F.lit(""))
+    split = files.select(F.concat("session_id", rest).alias("session_id"), "path")
+    one = files.where(kind == 1).groupBy("session_id").agg(F.min("path").alias("path"))
+    return split.unionByName(one.withColumn("session_id", F.concat("session_id", F.lit("-one"))))
 
 
 @query("a1_common_path", f"WITH {V.FX_FILES}, {_LEVELS} SELECT session_id, common FROM common")
 def _(spark, sf):
-    return common_paths(_some_files(spark, sf))
+    return common_paths(_split_sessions(spark, sf))
 
 
 @query("j4_project_root", f"""
 WITH {V.FX_FILES}, {_LEVELS} SELECT session_id, common,
-  CASE WHEN CAST(substr(session_id, 4) AS INT) % 2 = 0 THEN '/home/u/code/' || session_id ELSE common END AS root
+  CASE WHEN CAST(regexp_extract(session_id, '[0-9]+') AS INT) % 2 = 0 THEN '/home/u/code/' || regexp_extract(session_id, 'src[0-9]+')
+    ELSE common END AS root
 FROM common""")
 def _(spark, sf):
-    return project_roots(_some_files(spark, sf), marker_dirs(V.listing(spark, sf)), V.HOME)
+    return project_roots(_split_sessions(spark, sf), marker_dirs(V.listing(spark, sf)), V.HOME)
 
 
 @query("a1_lang_common_path", f"""

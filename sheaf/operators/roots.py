@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.constants import PROJECT_MARKERS
+from sheaf.constants import IGNORE_DEFAULT, PROJECT_MARKERS
 from sheaf.functions.paths import ancestors, basename, common_path, parent, under
 from sheaf.functions.patterns import first_non_blank
 
@@ -45,6 +45,17 @@ def tree_base(window_base, root, default_base, common):
     return first_non_blank(window_base, root, default_base, common)
 
 
+def folder_base(base, is_file):
+    """A base that is a file means its folder."""
+    base = F.col(base) if isinstance(base, str) else base
+    return F.when(F.coalesce(F.col(is_file) if isinstance(is_file, str) else is_file, F.lit(False)), parent(base)).otherwise(base)
+
+
+def ignore_setting(window_ignore, shared_ignore):
+    """The window's pattern, else the shared one, else the default list."""
+    return F.coalesce(first_non_blank(window_ignore, shared_ignore), F.lit(IGNORE_DEFAULT))
+
+
 def effective_root(window_base, root):
     """A locked tree base also overrides the project root."""
     return first_non_blank(window_base, root)
