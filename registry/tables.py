@@ -172,14 +172,15 @@ def _(spark, sf):
 
 
 @query("s7_broken_states", """
-SELECT conv_id AS session_id, '{"id": "st-' || CAST(turn AS VARCHAR) AS value FROM conversations WHERE turn % 4 = 3""")
+SELECT conv_id AS session_id, '{"session_id":' || CAST(conv_id AS VARCHAR) || ',"id": "st-' || CAST(turn AS VARCHAR) AS value
+FROM conversations WHERE turn % 4 = 3""")
 def _(spark, sf):
     path = scratch_path(spark, "states")
     write_states(_states(spark, sf), path)
     broken = _conversations(spark, sf).where("turn % 4 = 3").select(
-        F.col("conv_id").alias("session_id"), F.concat(F.lit('{"id": "st-'), F.col("turn").cast("string")).alias("value")
+        F.concat(F.lit('{"session_id":'), "conv_id", F.lit(',"id": "st-'), "turn").alias("value"), F.lit(0).alias("bucket")
     )
-    broken.write.mode("append").partitionBy("session_id").text(path)
+    broken.write.mode("append").partitionBy("bucket").text(path)
     _, rejected = read_states(spark, path, "bigint")
     return rejected.select("session_id", "value")
 

@@ -92,27 +92,34 @@ def read_sessions(spark: SparkSession, path: str, whole_file: bool = False) -> t
 # ---- history states ----
 
 
-def write_states(states: DataFrame, path: str, key: str = "session_id") -> None:
-    """Append states as JSON, one folder per session.
+def write_states(states: DataFrame, path: str, key: str = "session_id", buckets: int = 256) -> None:
+    """Append states as JSON lines that begin with their session, in folders by a hash of it.
 
-    The rows are rebalanced by session first: few files per session, and a hot session is
-    still split over many tasks.
+    The number of folders does not grow with the sessions.  Rows are rebalanced by folder first: few files
+    each, and a hot session is still split over many tasks.
     """
-    rows = states.withColumn("timestamp", iso_timestamp("timestamp")).hint("rebalance", key)
-    rows.write.mode("append").option("ignoreNullFields", "false").partitionBy(key).json(path)
+    others = [c for c in states.columns if c != key]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = states.select(key, *others).withColumn("timestamp", iso_timestamp("timestamp")).withColumn("bucket", bucket)
+    rows.hint("rebalance", "bucket").write.mode("append").option("ignoreNullFields", "false").partitionBy("bucket").json(path)
 
 
-def read_states(spark: SparkSession, path: str, key_type: str = "string") -> tuple[DataFrame, DataFrame]:
+def read_states(
+    spark: SparkSession, path: str, key_type: str = "string", key: str = "session_id"
+) -> tuple[DataFrame, DataFrame]:
     """(states, broken): broken rows hold session_id and the text that is not a state.
 
-    A state without an id is broken too.
+    A state without an id is broken too.  The session of a broken line is read from its beginning, if it is there.
     """
     with_corrupt = T.StructType([*schema.STATE.fields, T.StructField(_CORRUPT, T.StringType())])
-    lines = spark.read.text(path)
-    parsed = lines.withColumn(
-        "state",
-        F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}),
-    ).withColumn("session_id", F.col("session_id").cast(key_type))
+    begin = F.nullif(F.regexp_extract("value", rf'^\{{"{key}":"?([^",}}]*)', 1), F.lit(""))
+    owner = F.coalesce(F.get_json_object("value", f"$.{key}"), begin)
+    parsed = spark.read.text(path).withColumns(
+        {
+            "state": F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}),
+            "session_id": owner.cast(key_type),
+        }
+    )
     broken = F.col("state").isNull() | F.col(f"state.{_CORRUPT}").isNotNull() | F.col("state.id").isNull()
     good = parsed.where(~broken).select("session_id", "state.*").drop(_CORRUPT)
     return good, parsed.where(broken).select("session_id", "value")
