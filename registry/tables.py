@@ -375,14 +375,17 @@ def _(spark, sf):
 
 
 @query("c1_from_requests", f"""
-WITH {_KIND}, f AS (SELECT key, doc_id % 3 AS g, text FROM requests JOIN documents ON doc_id = key % 50 WHERE kind = 0)
+WITH {_KIND}, f AS (SELECT key, doc_id, text FROM requests JOIN documents
+  ON doc_id = (key // 1000 * 10 + key % 1000) % (SELECT count(*) FROM documents) WHERE kind = 0)
 SELECT '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') AS session_id, {ONE_PART},
-  '# /data/' || CAST(key % 50 AS VARCHAR) || '.md' || chr(10) || '**Last modified: ?**' || chr(10) || chr(10)
+  '# /data/' || CAST(doc_id AS VARCHAR) || '.md' || chr(10) || '**Last modified: ?**' || chr(10) || chr(10)
   || '```markdown' || chr(10) || {V.stripped('text')} || chr(10) || '```' AS output_text FROM f""")
 def _(spark, sf):
-    """process_files requests joined with the files they name, packed per session."""
-    requests = parse_requests(_request_lines(spark, sf).where("kind = 0")).selectExpr(
-        "request.session_id AS session_id", "'/data/' || CAST(key % 50 AS STRING) || '.md' AS path"
+    """All requests parsed and validated; the process_files ones joined with the files they name, packed per session."""
+    valid, _ = validate(parse_requests(_request_lines(spark, sf)), [V.CODE])
+    number = f"(key div 1000 * 10 + key % 1000) % {V.documents(spark, sf).count()}"
+    requests = valid.where("request.action = 'process_files'").selectExpr(
+        "request.session_id AS session_id", f"'/data/' || CAST({number} AS STRING) || '.md' AS path"
     )
     docs = V.documents(spark, sf).selectExpr(
         "'/data/' || CAST(doc_id AS STRING) || '.md' AS path",
