@@ -8,8 +8,8 @@ gives how often the length doubles; the last level has the length asked.  Longer
 cannot remove more words, so removal ends there; ``repeated_lengths`` goes on until no candidates survive.
 
 A source is some MB of texts of one input partition.  It sends each distinct window once, so a
-window that fills a third of all texts costs one entry for each source.  Hashes have 40 bits beside
-those of the exchange's bucket on the first level (a filter) and 64 bits on later ones.
+window that fills a third of all texts costs one entry for each source.  Windows are told apart by KEPT bits of
+their hashes, and on the last level by the 56 lowest beside those of their bucket.
 
 Rules: a null or empty text has no words.  A null ``doc_id`` counts as the largest.  Rows with the
 same ``doc_id`` are the same document: of two equal windows at the same start, neither is removed.
@@ -31,6 +31,7 @@ from sheaf.llm.words import cut, grams, inside_text, mix, slices
 
 SOURCE_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
+KEPT = 56
 
 _LAST = np.int64(2**63 - 1)  # stands for a null doc_id
 _HASHES, _REPEATS, _DOCS, _CLASSES, _FLAGS, _TIES, _FOUND, _TEXTS, _CUTS = range(9)
@@ -74,21 +75,7 @@ def _hash_texts(length: int, parts: int):
         first = np.concatenate(([0], np.cumsum(counts)))
         out.add(_home(source, parts), source, _DOCS, pack(ids, keys, counts))
         at = np.flatnonzero(inside_text(first, length))
-        windows = grams(hashes, length)[at]
-        value, index, inverse, count = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
-        where = at[index]
-        again = count > 1
-        local = again[inverse]
-        if local.any():
-            out.add(_home(source, parts), source, _REPEATS,
-                    pack(steps(at[local]), where[inverse[local]].astype(np.uint32)))
-        bucket = ((value >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-        rest = value & np.uint64((1 << 40) - 1)
-        edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(edges)):
-            a, z = edges[b], edges[b + 1]
-            out.add(int(b), source, _HASHES,
-                    pack(steps(rest[a:z]), where[a:z].astype(np.uint32), again[a:z].astype(np.uint8)))
+        _send_distinct(out, source, parts, at, grams(hashes, length)[at])
 
     def run(batches):
         place, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -184,18 +171,25 @@ def _double(half: int, last: bool, parts: int):
     return run
 
 
+def _buckets(value: np.ndarray, parts: int) -> np.ndarray:
+    """Where each bucket begins in sorted hashes: buckets are ranges of hashes."""
+    return np.searchsorted((value >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24), np.arange(parts + 1, dtype=np.uint64))
+
+
 def _send_distinct(out, source, parts, at, value):
+    """Each distinct hash once, to its bucket; the places of local repeats stay.
+
+    Hashes are sorted, so the steps between the KEPT bits that are sent are small numbers.
+    """
     value, index, inverse, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
     where, again = at[index], count > 1
     local = again[inverse]
     if local.any():
         out.add(_home(source, parts), source, _REPEATS, pack(steps(at[local]), where[inverse[local]].astype(np.uint32)))
-    bucket = (value >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
-    edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
+    edges, rest = _buckets(value, parts), value >> np.uint64(64 - KEPT)
     for b in np.flatnonzero(np.diff(edges)):
         a, z = edges[b], edges[b + 1]
-        out.add(int(b), source, _HASHES,
-                pack(steps(value[a:z]), where[a:z].astype(np.uint32), again[a:z].astype(np.uint8)))
+        out.add(int(b), source, _HASHES, pack(steps(rest[a:z]), where[a:z].astype(np.uint32), again[a:z].astype(np.uint8)))
 
 
 def _send_firsts(out, source, parts, ids, first, at, value, n):
@@ -214,8 +208,7 @@ def _send_firsts(out, source, parts, ids, first, at, value, n):
     ties = ~later & ~new
     if ties.any():
         out.add(_home(source, parts), source, _TIES, pack(at[ties].astype(np.uint32), at[head][group[ties]].astype(np.uint32)))
-    bucket = (value[head] >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
-    edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
+    edges = _buckets(value[head], parts)
     for b in np.flatnonzero(np.diff(edges)):
         h = head[edges[b] : edges[b + 1]]
         h = h[np.argsort(at[h])]  # neighbours in the text: documents and starts then have small steps

@@ -62,7 +62,6 @@ _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 def _count(batches):
     """Sample rows → (y, before, word, n)."""
     for batch in batches:
-        y = batch.column("y").to_numpy()
         for part in slices(batch):
             words = _plain(part.column("text"))
             before, word = _pairs(words)
@@ -72,7 +71,6 @@ def _count(batches):
             new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1]) | (w[1:] != w[:-1])))) if len(k) else np.zeros(0, int)
             n = np.diff(np.append(new, len(k)))
             yield pa.RecordBatch.from_arrays([pa.array(k[new].astype(np.int32)), pa.array(b[new].view(np.int64)), pa.array(w[new].view(np.int64)), pa.array(n.astype(np.int64))], names=["y", "before", "word", "n"])
-        del y
 
 
 class KneserNey:
