@@ -11,8 +11,6 @@ from registry.trees import LINES, NODES, TREES, bases
 from sheaf.constants import NO_TEXT_FILES, PART_BYTES
 from sheaf.plans.packs import PackOptions, pack_errors, process_files, update_selection
 
-# the SQL of these packs holds for sessions below PART_BYTES, as in the tables it runs on
-ONE_PART = "CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts"
 NO_STATE = "session_id string, mode string, selected_file string, selected_items array<string>"
 
 
@@ -110,7 +108,7 @@ _C1_TEXT = """CASE WHEN s.selected_file IS NOT NULL AND NOT coalesce(s.found, fa
      ELSE 'not a text file' END || '.' ELSE {text} END"""
 
 
-@query("c1_pack", f"{_C1} SELECT s.session_id, {ONE_PART}, {_C1_TEXT.format(text='b.body')} AS output_text "
+@query("c1_pack", f"{_C1} SELECT s.session_id, {V.ONE_PART}, {_C1_TEXT.format(text='b.body')} AS output_text "
                   "FROM state s LEFT JOIN body b USING (session_id)")
 def _(spark, sf):
     options = PackOptions(home=V.HOME)
@@ -124,7 +122,7 @@ _TREE_TEXT = "t.rendered || CASE WHEN b.body IS NULL THEN '' ELSE chr(10) || chr
 @query("c1_pack_with_tree", f"""{_C1}, {NODES}, {LINES}, {TREES}, o AS (
 SELECT s.session_id, {_C1_TEXT.format(text=_TREE_TEXT)} AS output_text FROM state s LEFT JOIN body b USING (session_id)
   LEFT JOIN trees t ON t.base = '/home/u/code/' || s.session_id)
-SELECT session_id, {ONE_PART}, output_text, {_LINE_COUNT} AS line_count FROM o""")
+SELECT session_id, {V.ONE_PART}, output_text, {_LINE_COUNT} AS line_count FROM o""")
 def _(spark, sf):
     options = PackOptions(home=V.HOME, include_tree=True)
     packs = process_files(
@@ -139,7 +137,7 @@ def _(spark, sf):
 
 
 @query("c1_binary_only", f"""
-WITH {V.FX_FILES} SELECT session_id, {ONE_PART}, '{NO_TEXT_FILES}' AS output_text
+WITH {V.FX_FILES} SELECT session_id, {V.ONE_PART}, '{NO_TEXT_FILES}' AS output_text
 FROM fx_files WHERE doc_id % 8 = 6 AND {V.NOT_IGNORED} GROUP BY session_id
 UNION ALL SELECT session_id, 0, 1, '' FROM fx_files WHERE doc_id % 8 = 6 GROUP BY session_id
 HAVING bool_and(NOT ({V.NOT_IGNORED}))""")
@@ -158,7 +156,7 @@ def _(spark, sf):
 
 
 @query("c3_update_selection", f"""{_CHOSEN}, shown AS (SELECT session_id, path, {PY_BLOCK} AS block FROM decided)
-SELECT y.session_id, {ONE_PART}, coalesce({V.stripped("string_agg(s.block, '' ORDER BY s.path)")}, '') AS output_text
+SELECT y.session_id, {V.ONE_PART}, coalesce({V.stripped("string_agg(s.block, '' ORDER BY s.path)")}, '') AS output_text
 FROM py_state y LEFT JOIN shown s USING (session_id) WHERE y.has_items GROUP BY y.session_id""")
 def _(spark, sf):
     """Sessions whose selection changed are packed anew; the single file comes in by its base name."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import views as V
 from registry.core import query
+from sheaf.constants import STALE_HEADLINES, STALE_TOOLTIP_HEAD
 from sheaf.functions.paths import common_path, display_path
 from sheaf.functions.text import is_text
 from sheaf.operators.roots import common_paths, marker_dirs, project_roots
@@ -201,8 +202,8 @@ def _(spark, sf):
     return stale_files(V.shared_paths(spark, sf, "snapshots"), current_hashes(V.shared_paths(spark, sf, "now")))
 
 
-_HEAD = """CASE max(CASE status WHEN 'missing' THEN 3 WHEN 'error' THEN 2 ELSE 1 END) WHEN 3 THEN 'Files Missing!'
-  WHEN 2 THEN 'File Errors!' ELSE 'Files Modified since this state. You may want to refresh.' END"""
+_HEAD = f"""CASE max(CASE status WHEN 'missing' THEN 3 WHEN 'error' THEN 2 ELSE 1 END) WHEN 3 THEN '{STALE_HEADLINES["missing"]}'
+  WHEN 2 THEN '{STALE_HEADLINES["error"]}' ELSE '{STALE_HEADLINES["modified"]}' END"""
 
 
 @query("a6_stale_headline", f"""
@@ -216,17 +217,17 @@ def _(spark, sf):
 
 
 @query("a6_stale_report", f"""
-WITH {V.STALE} SELECT session_id, 'Files have changed since this history state was captured:' ||
+WITH {V.STALE} SELECT session_id, {V.ONE_PART}, '{STALE_TOOLTIP_HEAD}' ||
   string_agg(chr(10) || '- ' || path || ' (' || status || ')', '' ORDER BY path) AS report
 FROM stale GROUP BY session_id""")
 def _(spark, sf):
     stale = stale_files(V.snapshots(spark, sf), current_hashes(V.files_now(spark, sf)))
-    return reports(stale, ["session_id"]).select("session_id", "report")
+    return reports(stale, ["session_id"]).select("session_id", "part", "parts", "report")
 
 
 @query("o5_sorted_report_parts", f"""
 WITH {V.STALE}, l AS (SELECT session_id, path, chr(10) || '- ~' || path || ' (' || status || ')' AS line FROM stale
-  UNION ALL SELECT DISTINCT session_id, '', 'Files have changed since this history state was captured:' FROM stale),
+  UNION ALL SELECT DISTINCT session_id, '', '{STALE_TOOLTIP_HEAD}' FROM stale),
 w AS (SELECT *, octet_length(encode(line)) AS size FROM l),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY session_id ORDER BY path
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import views as V
 from registry.core import query, table
-from registry.packs import A2, ONE_PART
+from registry.packs import A2
 from sheaf.constants import ACTIONS, BAD_PATH, BAD_SESSION_ID, MODE_ALL
 from sheaf.functions.text import decode_text
 from sheaf.operators.requests import missing_files, split_by_existence, validate
@@ -377,7 +377,7 @@ def _(spark, sf):
 @query("c1_from_requests", f"""
 WITH {_KIND}, f AS (SELECT key, doc_id, text FROM requests JOIN documents
   ON doc_id = (key // 1000 * 10 + key % 1000) % (SELECT count(*) FROM documents) WHERE kind = 0)
-SELECT '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') AS session_id, {ONE_PART},
+SELECT '00000000-0000-4000-8000-' || lpad(CAST(key AS VARCHAR), 12, '0') AS session_id, {V.ONE_PART},
   '# /data/' || CAST(doc_id AS VARCHAR) || '.md' || chr(10) || '**Last modified: ?**' || chr(10) || chr(10)
   || '```markdown' || chr(10) || {V.stripped('text')} || chr(10) || '```' AS output_text FROM f""")
 def _(spark, sf):

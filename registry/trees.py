@@ -102,17 +102,17 @@ def _owners(spark, sf):
     return joined.select("base", display_path("base", "root", V.HOME, show_ellipsis=True).alias("display"))
 
 
-@query("a9_tree_text", f"WITH {V.FX_FILES}, {NODES}, {LINES}, {TREES} SELECT base, rendered FROM trees")
+@query("a9_tree_text", f"WITH {V.FX_FILES}, {NODES}, {LINES}, {TREES} SELECT base, {V.ONE_PART}, rendered FROM trees")
 def _(spark, sf):
     lines = tree_lines(V.listing(spark, sf), bases(spark, sf))
-    return tree_text(lines, _owners(spark, sf)).select("base", "rendered")
+    return tree_text(lines, _owners(spark, sf)).select("base", "part", "parts", "rendered")
 
 
 @query("a9_tree_snapshot", f"""
 WITH {V.FX_FILES}, {NODES}, {LINES}, {TREES}
-SELECT base AS base_path, shown AS base_path_display, 'tmp' AS ignore_regex, sha256(rendered) AS rendered FROM trees""")
+SELECT CAST(0 AS BIGINT) AS part, base AS base_path, shown AS base_path_display, 'tmp' AS ignore_regex, sha256(rendered) AS rendered FROM trees""")
 def _(spark, sf):
     lines = tree_lines(V.listing(spark, sf), bases(spark, sf))
     owners = _owners(spark, sf)
-    snap = tree_snapshots(tree_text(lines, owners), owners, "tmp").select("tree.*")
+    snap = tree_snapshots(tree_text(lines, owners), owners, "tmp").select("part", "tree.*")
     return snap.withColumn("rendered", F.sha2("rendered", 256))

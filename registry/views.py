@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from registry.core import table
 from sheaf.constants import IGNORE_DEFAULT
 
+# SQL of texts whose size stays below PART_BYTES, as in the tables it runs on
+ONE_PART = "CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts"
 HOME = "/home/u"
 CODE = "/home/u/code"
 
