@@ -14,7 +14,7 @@ from sheaf.plans.packs import PackOptions, process_files
 from sheaf.schema import SESSION
 from sheaf.session import scratch_path
 from sheaf.sources.contents import read_contents
-from sheaf.sources.export import export_blocks, export_packs
+from sheaf.sources.export import export_blocks, export_packs, exported_digests
 from sheaf.sources.listing import list_directory
 from sheaf.sources.ndjson import error_response, parse_requests, read_requests, success_response, write_lines
 from sheaf.sources.sessions import parse_sessions, read_sessions, read_states, session_json, write_sessions, write_states
@@ -214,10 +214,7 @@ def _(spark, sf):
     block = full_block(shown, modified_line("mtime"), language("path"), decode_text("content"))
     path = scratch_path(spark, "export-blocks")
     export_blocks(joined.select("session_id", "path", block.alias("block")), path, ["path"])
-    back = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    files = F.array_sort(F.collect_list(F.struct("file", "value")))
-    joined = F.array_join(F.transform(files, lambda f: f["value"]), "")
-    return back.groupBy("session_id").agg(F.sha2(joined, 256).alias("joined"))
+    return exported_digests(spark, path)
 
 
 @query("s1_s3_directory", """

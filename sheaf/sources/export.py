@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import strip
@@ -41,3 +44,38 @@ def export_blocks(blocks: DataFrame, path: str, order: list[str], text: str = "b
     ranged.sortWithinPartitions("session_id", *order).select("session_id", _line(text)).write.mode(
         "append"
     ).partitionBy("session_id").text(path)
+
+
+PIECE_BYTES = 64 << 10  # of a file in one row; an Arrow batch holds 10,000 rows
+
+
+def _digests(batches):
+    """Pieces sorted by session and place → the sessions' SHA-256; holds one batch and one hash."""
+    session, digest = None, None
+    for batch in batches:
+        kind = batch.schema.field("session_id").type
+        done = []
+        for name, piece in zip(batch.column("session_id").to_pylist(), batch.column("piece")):
+            if digest is None or name != session:
+                if digest is not None:
+                    done.append((session, digest.hexdigest()))
+                session, digest = name, hashlib.sha256()
+            digest.update(piece.as_buffer())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kind), pa.array([x[1] for x in done])], names=["session_id", "joined"])
+    if digest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([session], kind), pa.array([digest.hexdigest()])], names=["session_id", "joined"])
+
+
+def exported_digests(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, joined: the SHA-256 of each session's exported files, one after the other in name order.
+
+    The hash of a whole text is serial, so a session's bytes pass through one task, in small pieces from a sort
+    that can spill; no row and no task holds more than some pieces of a session.
+    """
+    files = spark.read.format("binaryFile").load(path).withColumn("file", F.col("_metadata.file_name"))
+    starts = F.explode(F.sequence(F.lit(0), F.col("length"), F.lit(PIECE_BYTES))).alias("at")
+    pieces = files.select("session_id", "file", "content", starts).withColumn("piece", F.expr(f"substring(content, CAST(at AS INT) + 1, {PIECE_BYTES})"))
+    ordered = pieces.select("session_id", "file", "at", "piece").repartition("session_id").sortWithinPartitions("session_id", "file", "at")
+    kind = files.schema["session_id"].dataType.simpleString()
+    return ordered.select("session_id", "piece").mapInArrow(_digests, f"session_id {kind}, joined string")

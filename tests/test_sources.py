@@ -281,6 +281,26 @@ def test_exports(spark, tmp_path):
     assert b"".join(p.read_bytes() for p in files).decode() == "".join(r[2] for r in rows)
 
 
+def test_export_check_gathers_no_session(spark, tmp_path, monkeypatch):
+    """Digests over several files and pieces; the plan builds no array and no text of a session."""
+    import hashlib
+
+    from registry import QUERIES
+    from sheaf.sources import export
+
+    rows = [(f"s{i % 3}", f"/f{i:03}", f"blöck {i}\n\n" * (i % 5 * 40)) for i in range(60)]
+    blocks = spark.createDataFrame(rows, "session_id string, path string, block string").repartition(5)
+    export_blocks(blocks, str(tmp_path / "out"), ["path"])
+    monkeypatch.setattr(export, "PIECE_BYTES", 101)
+    want = {}
+    for folder in (tmp_path / "out").glob("session_id=*"):
+        joined = b"".join(p.read_bytes() for p in sorted(folder.glob("part-*")))
+        want[folder.name[len("session_id="):]] = hashlib.sha256(joined).hexdigest()
+    assert {r.session_id: r.joined for r in export.exported_digests(spark, str(tmp_path / "out")).collect()} == want
+    plan = QUERIES["s8_export_parts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "array_join" not in plan
+
+
 def test_staleness_reads_only_files_whose_listing_differs(spark, tmp_path):
     from sheaf.operators.stale import current_hashes, stale_by_listing
 
