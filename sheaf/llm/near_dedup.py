@@ -2,8 +2,8 @@
 
 A document's set holds its distinct shingles of words (lower-cased A to Z).  One hash per shingle
 picks a bucket; of the least hash in each bucket the sketch stores the number of leading zeros and
-the next MANTISSA bits.  Empty buckets borrow a full one's register by a fixed probe order.  Bands of ROWS
-registers become keys; documents that share a key are candidates, whose Jaccard similarity is estimated
+the next MANTISSA bits.  Empty buckets borrow the register of the first full
+one in an order of their own over all buckets.  Bands of ROWS registers become keys; documents that share a key are candidates, whose Jaccard similarity is estimated
 from equal registers, corrected for chance collisions, and then confirmed on the whole sets.
 
 Documents of equal sets form one class, so copies cost nothing more.  Within a key, each class is
@@ -37,8 +37,10 @@ BLOCK = 512
 
 _LAST = 2**63 - 1  # stands for a null doc_id
 
-_PROBES = 48
-_PROBE = (mix(np.arange(1, BUCKETS * _PROBES + 1, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(_PROBES, BUCKETS)
+# every register's own order of all buckets: an empty one takes the first full bucket of its order
+_PROBE = np.argsort(mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=0)
+_RANK = np.argsort(_PROBE, axis=0).astype(np.uint8)  # [bucket, register] → place of the bucket in the register's order
+_PROBES = 48  # places tried one by one; what is empty after them takes the least place of the text's full buckets
 
 
 def _distinct_shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ def _registers(n_texts: int, owner: np.ndarray, value: np.ndarray) -> np.ndarray
     some = full.any(axis=1)
     out = least.copy()
     gap = ~full & some[:, None]
-    for probe in _PROBE:
+    for probe in _PROBE[:_PROBES]:
         if not gap.any():
             break
         row, column = np.nonzero(gap)
@@ -84,8 +86,12 @@ def _registers(n_texts: int, owner: np.ndarray, value: np.ndarray) -> np.ndarray
         hit = full[row, source]
         out[row[hit], column[hit]] = least[row[hit], source[hit]]
         gap[row[hit], column[hit]] = False
-    row, column = np.nonzero(gap)
-    out[row, column] = least.min(axis=1)[row]
+    late = np.flatnonzero(gap.any(axis=1))
+    if len(late):
+        held, bucket = np.nonzero(full[late])
+        rank = np.minimum.reduceat(_RANK[bucket], np.searchsorted(held, np.arange(len(late))), axis=0)
+        source = _PROBE[rank, np.arange(BUCKETS)]
+        out[late] = np.where(gap[late], least[late[:, None], source], out[late])
     out[~some] = 0
     bits = np.frexp(out.astype(np.float64))[1]  # number of significant bits, exact below 2**53
     zeros = VALUE_BITS - bits

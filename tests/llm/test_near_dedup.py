@@ -3,7 +3,11 @@
 import random
 import re
 
-from sheaf.llm.near_dedup import near_duplicates
+import numpy as np
+import pyarrow as pa
+
+from sheaf.llm.near_dedup import _band_keys, _distinct_shingles, _registers, near_duplicates
+from sheaf.llm.words import cut
 
 
 def shingles(text):
@@ -61,3 +65,16 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_pairs_share_a_key():
+    """Texts of 8 words and their first or last 7: 3 of 4 shingles in common, exactly 75 %."""
+    rng = random.Random(11)
+    longer = [[f"w{rng.randrange(10**9)}" for _ in range(8)] for _ in range(6000)]
+    shorter = [w[i % 2 : i % 2 + 7] for i, w in enumerate(longer)]
+    keys = []
+    for side in (longer, shorter):
+        owner, value = _distinct_shingles(cut(pa.array([" ".join(w) for w in side])), 5)
+        keys.append(_band_keys(_registers(len(side), owner, value)))
+    apart = ~(keys[0] == keys[1]).any(axis=1)
+    assert np.flatnonzero(apart).tolist() == []
