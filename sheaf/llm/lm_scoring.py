@@ -2,14 +2,16 @@
 
 Tokens are lower-cased words and one end per text.  The probability of a word given the words before it is that of its
 class times that of the word within its class.  The HEAD most frequent words have classes of WIDTH words; all others fall
-into tail classes by their shape (characters beyond ASCII, final punctuation, length), where a word has its add-one share of
-the class's tokens, so unseen words have a probability too.  Both softmaxes add, to fixed log frequencies, weights of features of the
+into tail classes by their shape (characters beyond ASCII, final punctuation, length).  There a word's probability mixes its share
+among the class's tokens after the word before it, counted over all pairs of the training texts, with its add-one share of the
+class's tokens, so unseen words have a probability too; the pairs weigh as much as they recur in the class (the share of its
+training tokens whose pair occurs twice or more).  Both softmaxes add, to fixed log frequencies, weights of features of the
 context: the word before (n-gram) and the words two and three before (skips), hashed together with the class into ROWS rows.
 
 Counts cover all training texts.  Words travel as 64-bit hashes whose lowest bits hold the shape: each source (some MB of
-texts) sends its distinct words once, with counts, and gets the totals back.  The weights are trained on all training texts by
+texts) sends its distinct words once, with counts, and gets the totals back; likewise its distinct pairs before tail words.  The weights are trained on all training texts by
 distributed gradient updates: in each of ROUNDS rounds every task takes gradient steps over its share, and the tasks' weights
-are averaged row by row, by use.  Model and head words have a fixed size; scoring runs in numpy batches.
+are averaged row by row, by use.  Weights and head words have a fixed size, word and pair counts follow the corpus; scoring runs in numpy batches.
 
 Rules: a null or empty text is its end alone.  A null id is never held out.  Repeated rows get equal scores.  Without any
 training token N and V are 0.  Other columns are ignored.
@@ -40,6 +42,7 @@ ROUNDS, BATCH, RATE, PRIOR = 2, 8192, 0.7, 6.0
 _SHAPE = np.uint64(SHAPES - 1)
 _END = np.uint64(0xE4D0 << 8)
 _START = np.uint64(0x57A7 << 8)
+_PAIR, _KEY_BITS = np.uint64(SHAPES), np.uint64(2 * SHAPES - 1)
 _PIECES = 16
 _ASCII_END = np.zeros(256, dtype=bool)
 _ASCII_END[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -137,6 +140,61 @@ def _send_counts(parts: int):
     return run
 
 
+def _pairs(s: _Source, kind: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the tail tokens, keys): a key for each one's pair of words, then one for the word before and the class.
+
+    The lowest bits of a key hold the class, and whether it stands for a pair.
+    """
+    at = np.flatnonzero(kind[s.inverse] >= CLASSES)
+    before, word = s.contexts(at, places)[0], s.distinct[s.inverse[at]]
+    shape = word & _SHAPE
+    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(word)) & ~_KEY_BITS | shape | _PAIR
+    return at, np.concatenate([pair, mix(before + mix(shape + np.uint64(1))) & ~_KEY_BITS | shape])
+
+
+def _send_pairs(shared, parts: int):
+    """Sources → their distinct pair keys and training counts, to the keys' buckets."""
+    names = ["to", "source", "blob"]
+
+    def run(batches):
+        lexicon = shared.value
+        for batch in batches:
+            for source, docs, words in zip(*(batch.column(c).to_pylist() for c in ("source", "docs", "words"))):
+                s = _Source(docs, words)
+                at, keys = _pairs(s, lexicon.classes(s.distinct)[0], s.places())
+                distinct, inverse = np.unique(keys, return_inverse=True)
+                count = np.bincount(inverse[np.tile(s.training()[at], 2)], minlength=len(distinct)).astype(np.uint32)
+                edges = np.searchsorted((distinct >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24), np.arange(parts + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(edges))
+                blobs = [pack(steps(distinct[edges[b] : edges[b + 1]]), count[edges[b] : edges[b + 1]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(np.full(len(full), source)), pa.array(blobs, pa.binary())], names=names)
+
+    return run
+
+
+def _total_pairs(first: int):
+    """In a bucket: the keys' totals, back to each source; by class the tokens, and those whose pair recurs."""
+
+    def run(key, table):
+        names = ["kind", "source", "bucket", "blob", "word", "count", "types"]
+        bucket, rows, at = first + key[0].as_py(), [], 0
+        sources = table.column("source").to_pylist()
+        found = [(np.cumsum(gaps, dtype=np.uint64), count) for gaps, count in map(unpack, table.column("blob").to_pylist())]
+        keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
+        for source, (k, _) in zip(sources, found):
+            rows.append(("reply", source, bucket, pack(total[inverse[at : at + len(k)]].astype(np.uint64)), None, None, None))
+            at += len(k)
+        shape = np.where(keys & _PAIR > 0, keys & _SHAPE, np.uint64(SHAPES)).astype(np.int64)
+        for k in range(SHAPES):
+            own = total[shape == k]
+            rows.append(("pair", None, bucket, None, k, int(own.sum()), int(own[own > 1].sum())))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    return run
+
+
 _TOTALS = "kind string, source long, bucket long, blob binary, word long, count long, types long"
 
 
@@ -279,12 +337,17 @@ def _average(key, table):
     return pa.table({"piece": pa.array([key[0].as_py()]), "blob": pa.array([pack((used + base).astype(np.uint32), mean.ravel())], pa.binary())})
 
 
-def _score(shared):
-    """A source and its words' totals → one row per document."""
+def _after(count: np.ndarray, total: np.ndarray, share: np.ndarray, recur: np.ndarray) -> np.ndarray:
+    """Tail words' probabilities in their class: pair counts by those of the word before, mixed with the share."""
+    return np.where(total > 0, recur * count / np.maximum(total, 1) + (1 - recur) * share, share)
+
+
+def _score(shared, parts: int):
+    """A source and the totals of its words and pairs → one row per document."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(key, table):
-        lexicon, weights = shared.value
+        lexicon, weights, recur = shared.value
         docs, words, replies = None, None, []
         for bucket, blob, d, w in zip(*(table.column(c).to_pylist() for c in ("bucket", "blob", "docs", "words"))):
             if d is not None:
@@ -292,12 +355,17 @@ def _score(shared):
             else:
                 replies.append((bucket, blob))
         s = _Source(docs, words)
-        count = np.concatenate([unpack(b)[0] for _, b in sorted(replies)]).astype(np.float64)
+        replies.sort()
+        count = np.concatenate([unpack(b)[0] for n, b in replies if n < parts]).astype(np.float64)
         kind, place = lexicon.classes(s.distinct)
         base = np.log10((count + 1) / (lexicon.total + lexicon.types + 1))
         tail = np.where(kind >= CLASSES, np.log(count + 1) - lexicon.tail_log[np.maximum(kind - CLASSES, 0)], 0.0)
         places = s.places()
         score = tail[s.inverse]
+        at, keys = _pairs(s, kind, places)
+        if len(at):
+            met = np.concatenate([unpack(b)[0] for n, b in replies if n >= parts])[np.unique(keys, return_inverse=True)[1]].astype(np.float64)
+            score[at] = np.log(_after(met[: len(at)], met[len(at) :], np.exp(score[at]), recur[kind[s.inverse[at]] - CLASSES]))
         for lo in range(0, len(score), BATCH):
             hi = min(lo + BATCH, len(score))
             context, word = s.contexts(np.arange(lo, hi), places), s.inverse[lo:hi]
@@ -349,10 +417,17 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
             at, w = unpack(r.blob)
             weights[at] = w.reshape(-1, WIDTH)
         shared.unpersist()
-    shared = spark.sparkContext.broadcast((lexicon, weights))
+    known = spark.sparkContext.broadcast(lexicon)
+    pairs = sources.mapInArrow(_send_pairs(known, parts), "to long, source long, blob binary")
+    pairs = written(pairs.groupBy("to").applyInArrow(_total_pairs(parts), _TOTALS), "totals")
+    known.unpersist()
+    recur = np.zeros(SHAPES)
+    for r in pairs.filter("kind = 'pair'").groupBy("word").agg(F.sum("count").alias("n"), F.sum("types").alias("again")).collect():
+        recur[r.word] = r.again / (r.n + 1)
+    shared = spark.sparkContext.broadcast((lexicon, weights, recur))
     empty = F.lit(None).cast("binary")
     own = sources.select("source", F.lit(None).cast("long").alias("bucket"), empty.alias("blob"), "docs", "words")
-    replies = totals.filter("kind = 'reply'").select("source", "bucket", "blob", empty.alias("docs"), empty.alias("words"))
+    replies = totals.unionByName(pairs).filter("kind = 'reply'").select("source", "bucket", "blob", empty.alias("docs"), empty.alias("words"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = own.unionByName(replies).groupBy("source").applyInArrow(_score(shared), schema)
+    out = own.unionByName(replies).groupBy("source").applyInArrow(_score(shared, parts), schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -69,3 +69,21 @@ def test_probabilities_add_up():
         total += root[k] * inside
     unseen = sum(root[CLASSES + s] / math.exp(lexicon.tail_log[s]) for s in range(8))
     assert abs(total + unseen - 1) < 1e-3
+
+
+def test_rare_words_follow_their_context(spark):
+    """Words beyond the head: the same held-out words score better after the word they follow in the training texts."""
+    rare = [f"w{i:05}" for i in range(2 * HEAD)]
+    rows = [(1000 * n + k, " ".join(rare[k : k + 8])) for n in range(3) for k in range(0, 2 * HEAD, 8)]
+    same = " ".join(rare)
+    mixed = " ".join(rare[::2] + rare[1::2])
+    docs = spark.createDataFrame(rows + [(90001, same), (90002, mixed)], "doc_id long, text string")
+    out = {r.doc_id: r for r in score_texts(docs, F.col("doc_id") > 90000).filter("held_out").collect()}
+    assert out[90001].n_known == out[90002].n_known == 2 * HEAD + 1
+    assert out[90001].score > out[90002].score + 0.5 * HEAD
+
+
+def test_pair_probabilities_add_up():
+    share, count = np.array([0.5, 0.3, 0.1]), np.array([4.0, 0.0, 2.0])  # 0.1 is left for unseen words
+    assert abs(lm_scoring._after(count, np.full(3, 6.0), share, np.full(3, 0.4)).sum() + 0.6 * 0.1 - 1) < 1e-12
+    assert (lm_scoring._after(np.zeros(3), np.zeros(3), share, np.full(3, 0.4)) == share).all()
