@@ -179,3 +179,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = with_counts(encode(docs, tokenizer_file("piece_bpe_32k.model"), verify=True))
     return out.select("doc_id", "n_pieces", "ids", "round_trip")
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sheaf.llm.byte_bpe import decode, encode
+
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    out = decode(encoded, ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
