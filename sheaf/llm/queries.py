@@ -191,3 +191,56 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     out = decode(encoded, ranks)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM n GROUP BY ALL HAVING sum(d) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, coalesce(n, 0) AS n, lang_n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(total + 5 * v AS HUGEINT) AS p,
+  1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 5)) // CAST(lang_total + 5 * v AS HUGEINT) AS q FROM c JOIN s USING (lang, source) JOIN l USING (lang)),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM l)
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), min_documents=30, top_terms=50)
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """DuckDB SQL of the clustering: one pair of steps per round."""
+    apart = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS BIGINT)"
+    steps = [
+        f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {k}))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT vec_id, v, c, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS n FROM (SELECT vec_id, v, c, {apart} AS d FROM v, c{i})) WHERE n = 1)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, unnest(range(1, 65)) AS t(i) GROUP BY c, i),
+c{i + 1} AS (SELECT c{i}.c, coalesce(x.m, c{i}.m) AS m FROM c{i} LEFT JOIN (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY c) x ON x.c = c{i}.c)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+@query("op13_clustering", _clustering_sql(16, 3))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, width=64)
