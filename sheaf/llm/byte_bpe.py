@@ -8,8 +8,9 @@ the splitting may have looked beyond it, does not count.  Each overlap is laid a
 digits or symbols, which is a boundary wherever the splitting began; a chunk grows until it meets one, so a common boundary always
 exists.  A shorter text is one chunk and is encoded where it is.
 
-A piece that is a token of the vocabulary is that token; in others the neighbours of the lowest rank merge, the leftmost first, by a
-heap, so that a piece of n bytes takes n log n steps.  A bounded memo keeps the ids of pieces.
+A piece that is a token of the vocabulary is that token; in others the neighbours of the lowest rank merge, the leftmost first.  The new short
+pieces of a batch merge together, one step of each at a time, as rows of a matrix; a long one by a heap, so that n bytes take n log n steps.  A
+bounded memo keeps the ids of pieces.
 
 Ids are packed: little-endian unsigned 32-bit integers in one binary value, as training data files hold them.  Decoding
 joins the bytes of the ids; it gives back the text's bytes exactly.
@@ -22,8 +23,8 @@ replace columns of the same name; others pass through, the text excepted.
 from __future__ import annotations
 
 import base64
-import struct
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ CHUNK = 1 << 15  # characters
 OVERLAP = 256  # characters on each side of the place that an overlap is laid around
 MARGIN = 3  # a piece and the boundary at its end depend on at most so many characters from its end on
 PART_BYTES = 8 << 20
+BATCH_BYTES = 1 << 18  # texts split at a time
 MEMO_PIECES = 500_000  # about 100 MB
-MEMO_LENGTH = 128  # longer pieces are not kept
+ROW_BYTES = (8, 16, 32)  # widths of the matrices in which pieces merge
+_NONE = np.iinfo(np.int64).max
 
 # the end of a run of letters, of digits, or of symbols before white space always ends a pre-token
 _RUN_END = r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=[^\s\p{L}\p{N}])\s"
@@ -86,22 +89,81 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
-class _Pieces(dict):
-    """Pieces and their packed ids, worked out when first asked for."""
+class Merges:
+    """The merges of a vocabulary: which pairs of tokens make which token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.longest = ranks, max(map(len, ranks))
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        rank = self.ranks.get(raw)
-        ids = [rank] if rank is not None else merge(raw, self.ranks, self.longest)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= MEMO_LENGTH:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+        self.ranks, self.longest, self.base = ranks, max(map(len, ranks)), max(ranks.values()) + 1
+        made = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    made[left * self.base + right] = rank
+        self.keys = np.array(sorted(made), np.int64)
+        self.made = np.array([*map(made.get, self.keys.tolist()), _NONE], np.int64)
+        self.width_of = [next(w for w in ROW_BYTES if n <= w) for n in range(ROW_BYTES[-1] + 1)]
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair makes; _NONE: no token."""
+        wanted = left * self.base + right
+        at = np.searchsorted(self.keys, wanted)
+        at[self.keys[np.minimum(at, len(self.keys) - 1)] != wanted] = len(self.keys)
+        return self.made[at]
+
+    def merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The packed ids of pieces of two to ``width`` bytes."""
+        n = len(pieces)
+        length = np.array([len(p) for p in pieces])
+        ids = self.of_byte[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)]
+        inside = np.arange(1, width) < length[:, None]
+        pair = np.full((n, width), _NONE)  # what each token makes with the next one; the last column makes nothing
+        pair[:, :-1][inside] = self._made(ids[:, :-1][inside], ids[:, 1:][inside])
+        out, rows, column = [b""] * n, np.arange(n), np.arange(width)
+        while len(rows):
+            at = pair.argmin(axis=1)
+            token = np.take_along_axis(pair, at[:, None], 1)[:, 0]
+            over = token == _NONE
+            if over.any():
+                packed = ids[over].astype("<u4").tobytes()
+                for i, (row, k) in enumerate(zip(rows[over].tolist(), length[over].tolist())):
+                    out[row] = packed[4 * width * i : 4 * (width * i + k)]
+                ids, pair, rows, length, at, token = (x[~over] for x in (ids, pair, rows, length, at, token))
+                if not len(rows):
+                    break
+            each = np.arange(len(rows))
+            ids[each, at] = token
+            # the token to the right is gone, and with it a column
+            later = np.minimum(column + (column > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, later, 1)
+            pair = np.take_along_axis(pair, np.minimum(column + (column >= at[:, None]), width - 1), 1)
+            length = length - 1
+            for side in (at - 1, at):  # the pairs that the new token is part of
+                fits = (side >= 0) & (side + 1 < length)
+                pair[each[fits], side[fits]] = self._made(ids[each[fits], side[fits]], ids[each[fits], side[fits] + 1])
+            ends = at + 1 >= length
+            pair[each[ends], at[ends]] = _NONE
+        return out
+
+    def packed(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of each piece."""
+        out, rows, width_of, ranks = {}, {w: ([], []) for w in ROW_BYTES}, self.width_of, self.ranks
+        for piece in pieces:
+            raw = piece.encode()
+            rank = ranks.get(raw)
+            if rank is not None:
+                out[piece] = rank.to_bytes(4, "little")
+            elif len(raw) < len(width_of):
+                names, texts = rows[width_of[len(raw)]]
+                names.append(piece)
+                texts.append(raw)
+            else:
+                out[piece] = np.array(merge(raw, ranks, self.longest), "<u4").tobytes()
+        for width, (names, texts) in rows.items():
+            for lo in range(0, len(names), 1 << 14):
+                out.update(zip(names[lo : lo + (1 << 14)], self.merge_rows(texts[lo : lo + (1 << 14)], width)))
+        return out
 
 
 class Codec:
@@ -112,11 +174,24 @@ class Codec:
 
         self.split = regex.compile(pattern).findall
         self.run_end = regex.compile(_RUN_END).search
-        self.pieces = _Pieces(read_ranks(path))
-
-    def encode(self, text: str | None) -> bytes:
-        """The packed ids of a whole text."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
+        self.merges = Merges(read_ranks(path))
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, texts: list[str | None]) -> list[list[str]]:
+        """The pieces of each text, all of them in ``known``."""
+        cut = [self.split(t) if t else [] for t in texts]
+        wanted = set(chain.from_iterable(cut))
+        known = self.known
+        new = [p for p in wanted if p not in known]
+        if len(known) + len(new) > MEMO_PIECES:
+            self.known, new = {}, list(wanted)
+        self.known.update(self.merges.packed(new))
+        return cut
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of whole texts."""
+        cut = self.pieces(texts)
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
     def chunks(self, text: str, size: int, overlap: int):
         """(start, end) of the overlapping chunks of a text."""
@@ -129,15 +204,17 @@ class Codec:
             yield start, found.start() + overlap
             start = found.start() - overlap
 
-    def encode_chunk(self, text: str, start: int, last: bool, overlap: int) -> tuple[bytes, bytes]:
-        """Packed ids of a chunk, and the boundaries near its ends: position in the text, ids of the chunk before it."""
-        pieces = self.split(text)
-        encoded = list(map(self.pieces.__getitem__, pieces))
-        at = np.cumsum([0, *map(len, pieces)])
-        ids = np.cumsum([0, *map(len, encoded)]) // 4
-        head = at <= 2 * overlap
-        tail = (at >= len(text) - 2 * overlap) & (at <= len(text) - MARGIN) & (not last)
-        return b"".join(encoded), pack(at[head] + start, ids[head], at[tail] + start, ids[tail])
+    def encode_chunks(self, chunks: list[tuple[str, int, bool]], overlap: int) -> list[tuple[bytes, bytes]]:
+        """For each chunk (text, start, last) its packed ids, and the boundaries near its ends: position in the text, ids of the chunk before it."""
+        out = []
+        for (text, start, last), pieces in zip(chunks, self.pieces([c[0] for c in chunks])):
+            encoded = list(map(self.known.__getitem__, pieces))
+            at = np.cumsum([0, *map(len, pieces)])
+            ids = np.cumsum([0, *map(len, encoded)]) // 4
+            head = at <= 2 * overlap
+            tail = (at >= len(text) - 2 * overlap) & (at <= len(text) - MARGIN) & (not last)
+            out.append((b"".join(encoded), pack(at[head] + start, ids[head], at[tail] + start, ids[tail])))
+        return out
 
 
 def stitch(encoded: list[tuple[bytes, bytes]]) -> bytes:
@@ -157,9 +234,9 @@ def _encode_whole(path: str, pattern: str, column: str):
     def run(batches):
         codec = Codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, BATCH_BYTES):
                 names = [n for n in part.schema.names if n != column]
-                ids = [codec.encode(t) for t in part.column(column).to_pylist()]
+                ids = codec.encode(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
 
     return run
@@ -169,7 +246,7 @@ def _cut(path: str, pattern: str, size: int, overlap: int):
     """Rows (key, text, rest) → their chunks; the first carries the rest of the row."""
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = Codec(path, pattern)  # only its rule of where chunks end
         for batch in batches:
             kind = batch.schema.field("rest").type
             for i in range(batch.num_rows):
@@ -186,11 +263,11 @@ def _encode_chunks(path: str, pattern: str, overlap: int):
     def run(batches):
         codec = Codec(path, pattern)
         for batch in batches:
-            columns = (batch.column(n).to_pylist() for n in ("text", "start", "last"))
-            done = [codec.encode_chunk(text, start, last, overlap) for text, start, last in zip(*columns)]
-            ids, marks = ([d[i] for d in done] for i in (0, 1))
-            columns = [batch.column("key"), batch.column("at"), batch.column("rest"), pa.array(ids, pa.binary()), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "rest", "chunk_ids", "marks"])
+            for part in slices(batch, "text", BATCH_BYTES):
+                columns = (part.column(n).to_pylist() for n in ("text", "start", "last"))
+                ids, marks = zip(*codec.encode_chunks(list(zip(*columns)), overlap))
+                columns = [part.column("key"), part.column("at"), part.column("rest"), pa.array(ids, pa.binary()), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "rest", "chunk_ids", "marks"])
 
     return run
 
@@ -240,14 +317,14 @@ def _decode(path: str, column: str):
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
+        known = np.array([*map(bool, table), False])
         for batch in batches:
             out = []
             for packed in batch.column(column).to_pylist():
-                ids = [] if packed is None else np.frombuffer(packed, "<u4").tolist()
-                found = [table[i] if i < len(table) else b"" for i in ids]
-                if not all(found):
+                ids = np.frombuffer(packed or b"", "<u4")
+                if not known[np.minimum(ids, len(known) - 1)].all():
                     raise ValueError("an id stands for no token of the vocabulary")
-                out.append(None if packed is None else b"".join(found))
+                out.append(None if packed is None else b"".join(map(table.__getitem__, ids.tolist())))
             rest = [n for n in batch.schema.names if n != "decoded"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(out, pa.binary())], names=[*rest, "decoded"])
 

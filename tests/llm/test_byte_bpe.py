@@ -35,7 +35,7 @@ def ids_of(packed):
 def by_chunks(codec, text, chunk, overlap):
     cuts = list(codec.chunks(text, chunk, overlap))
     assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
-    return stitch([codec.encode_chunk(text[a:b], a, b == len(text), overlap) for a, b in cuts]), len(cuts)
+    return stitch(codec.encode_chunks([(text[a:b], a, b == len(text)) for a, b in cuts], overlap)), len(cuts)
 
 
 TEXTS = [
@@ -49,8 +49,8 @@ def test_every_character(codec, library):
     odd = []
     for lo in range(0, len(chars), 4096):
         text = " ".join(f"{c}a1.{c} {c}{c}" for c in chars[lo : lo + 4096])
-        if ids_of(codec.encode(text)) != library.encode_ordinary(text):
-            odd.extend(c for c in chars[lo : lo + 4096] if ids_of(codec.encode(t := f"{c}a1.{c} {c}{c}")) != library.encode_ordinary(t))
+        if ids_of(codec.encode([text])[0]) != library.encode_ordinary(text):
+            odd.extend(c for c in chars[lo : lo + 4096] if ids_of(codec.encode([t := f"{c}a1.{c} {c}{c}"])[0]) != library.encode_ordinary(t))
     assert odd == []
 
 
@@ -94,11 +94,20 @@ def test_chunks(codec, library, text):
 def test_stitching(text, overlap):
     codec = test_stitching.codec = getattr(test_stitching, "codec", None) or Codec(RANKS, PATTERN)
     ids, _ = by_chunks(codec, text, 4 * overlap, overlap)
-    assert ids == codec.encode(text)
+    assert [ids] == codec.encode([text])
 
 
 def test_merging(codec, library):
     rng = random.Random(1)
     for _ in range(300):
         piece = "".join(rng.choices("aetion", k=rng.randint(1, 60)))
-        assert merge(piece.encode(), codec.pieces.ranks, codec.pieces.longest) == library._encode_single_piece(piece.encode())
+        want = library.encode_ordinary(piece)
+        assert merge(piece.encode(), codec.merges.ranks, codec.merges.longest) == want
+        assert ids_of(codec.merges.packed([piece])[piece]) == want
+
+
+def test_merging_together(codec, library):
+    rng = random.Random(2)
+    pieces = sorted({"".join(rng.choices("abcdefghinost日é", k=rng.randint(1, 14))) for _ in range(3000)})
+    packed = codec.merges.packed(pieces)
+    assert {p: ids_of(x) for p, x in packed.items()} == {p: library.encode_ordinary(p) for p in pieces}
