@@ -11,7 +11,7 @@ from sheaf.functions.paths import basename, display_path, language, parent
 from sheaf.functions.patterns import display_pattern, normalize_pattern
 from sheaf.functions.text import content_hash, decode_text, head, is_text, non_blank_lines
 from sheaf.functions.times import iso_timestamp, modified_line
-from sheaf.operators.filters import drop_hidden, drop_ignored, in_group, keep_python
+from sheaf.operators.filters import drop_hidden, drop_ignored, drop_ignored_by_session, in_group, keep_python
 from sheaf.operators.render import full_block, metadata
 
 
@@ -20,6 +20,21 @@ def _(spark, sf):
     return drop_ignored(V.fx_files(spark, sf)).select("session_id", "path")
 
 
+_OWN = r"""CASE CAST(substr(session_id, 4) AS INT) % 5 WHEN 1 THEN 'legit' || chr(10) || ' [.]json$' WHEN 2 THEN '('
+  WHEN 3 THEN 'doc_{digit}+5[.]' WHEN 4 THEN '/en/' END"""
+
+
+@query("f1_session_patterns", f"""
+WITH {V.FX_FILES} SELECT session_id, path FROM fx_files WHERE CASE n % 5 WHEN 0 THEN {V.NOT_IGNORED}
+  WHEN 1 THEN NOT regexp_matches(path, 'legit|[.]json$') WHEN 2 THEN true WHEN 3 THEN NOT regexp_matches(path, 'doc_[0-9]+5[.]')
+  ELSE NOT regexp_matches(path, '/en/') END""")
+def _(spark, sf):
+    """Each session has its own pattern: none, two lines, an invalid one, one for Python's engine, a plain one."""
+    files = V.fx_files(spark, sf)
+    settings = files.select("session_id").distinct().selectExpr("session_id", _OWN.format(digit=r"\\d") + " AS ignore")
+    return drop_ignored_by_session(files, settings).select("session_id", "path")
+
+
 @query("s1_hidden_prune", f"WITH {V.FX_FILES} SELECT session_id, path FROM fx_files WHERE doc_id % 11 <> 2")
 def _(spark, sf):
     return drop_hidden(V.fx_files(spark, sf), V.CODE).select("session_id", "path")

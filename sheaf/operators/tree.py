@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import PART_BYTES, ROWS_PER_SLICE, TREE_HEADING, TREE_MAX_DEPTH
 from sheaf.functions.paths import ancestors, basename, components, parent, relative
-from sheaf.functions.patterns import effective_pattern, matches_any_extension, python_pattern
+from sheaf.functions.patterns import effective_pattern, ignored, matches_any_extension, python_pattern, search_any
 from sheaf.operators.ordered import Ordered
 from sheaf.operators.packing import concat_parts, number_parts
 from sheaf.session import freeze
@@ -64,14 +64,20 @@ def drawable(listing: DataFrame, bases: DataFrame, pattern: str | None) -> DataF
 
 def prune_ignored(nodes: DataFrame, pattern: str | None) -> DataFrame:
     """Drop nodes that match, or lie below a node that matches, on the absolute path."""
-    effective = effective_pattern(nodes.sparkSession, pattern)
-    if effective is None:
+    hit = ignored(nodes.sparkSession, "node", pattern)
+    if hit is None:
         return nodes
-    if matches_any_extension(effective):
+    if matches_any_extension(python_pattern(pattern)):
         # a matching ancestor shows in the node's own path: one test, pushed down to the listing
-        return nodes.where(~F.col("node").rlike(effective))
-    below = F.filter(ancestors("node"), lambda p: F.length(p) > F.length(F.col("base")))
-    return nodes.where(~F.exists(below, lambda p: p.rlike(effective)))
+        return nodes.where(~hit)
+    # a node and its few ancestors below the base
+    above = F.filter(ancestors("node"), lambda p: F.length(p) > F.length(F.col("base")))
+    try:
+        effective = effective_pattern(nodes.sparkSession, pattern)
+        return nodes.where(~F.exists(above, lambda p: p.rlike(effective)))
+    except ValueError:
+        joined = python_pattern(pattern)
+        return nodes.where(~F.arrow_udf(lambda lists: search_any(lists, joined), "boolean")(above))
 
 
 def tree_nodes(

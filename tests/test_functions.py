@@ -10,12 +10,17 @@ from sheaf.functions.patterns import (
     display_pattern,
     effective_pattern,
     first_non_blank,
+    ignored,
+    is_valid_pattern,
     matches_any_extension,
+    native_form,
     normalize_pattern,
+    python_pattern,
 )
 from sheaf.functions.text import content_hash, decode_text, is_text, non_blank_lines, strip
 from sheaf.functions.times import iso_timestamp, modified_line
-from sheaf.operators.filters import drop_hidden, drop_ignored, in_group
+from sheaf.operators.filters import drop_hidden, drop_ignored, drop_ignored_by_session, in_group
+from sheaf.operators.tree import prune_ignored
 
 
 def values(df):
@@ -135,8 +140,8 @@ def test_patterns(spark):
     assert over(spark, ["a|(b|c)"], display_pattern) == ["a\n(b\nc)"]
     assert effective_pattern(spark, "(") is None
     assert effective_pattern(spark, None) == effective_pattern(spark, "  \n ")
-    assert effective_pattern(spark, r"(?P<n>x)") == "(?<g0>x)"
-    assert matches_any_extension(effective_pattern(spark, None))
+    assert effective_pattern(spark, r"(?P<n>x)") == "(?:x)"
+    assert matches_any_extension(python_pattern(None))
     assert not matches_any_extension("tmp$")
     df = spark.createDataFrame([("", " ", " c ", "d")], "a string, b string, c string, d string")
     assert df.select(first_non_blank("a", "b", "c", "d")).first()[0] == "c"
@@ -185,15 +190,53 @@ def test_hash_marks(spark):
     ],
 )
 def test_python_patterns_keep_their_meaning(spark, pattern):
-    texts = ["tmptmp", "aa", "foo{bar}", "xx", "xxy", "y", "x{2", "[", "b", "]", "x", "ab", "&", "é", "naïve", "É", "٣", "\u00a0", "a\rc", "a\nc", "a", "a\n", "b a", "{}", ".git", "[x]", "abé", "a{", ""]
-    java = effective_pattern(spark, pattern)
-    got = over(spark, texts, lambda c: c.rlike(java))
-    assert got == [re.search(pattern, t) is not None for t in texts]
+    got = over(spark, TEXTS, lambda c: ignored(spark, c, pattern))
+    assert got == [re.search(pattern, t) is not None for t in TEXTS]
 
 
-def test_patterns_without_a_form_are_refused(spark):
-    for pattern in (r"(a)?(?(1)b|c)", r"\101", r"(?a)\w"):
-        re.compile(pattern)
+TEXTS = [
+    "tmptmp", "aa", "foo{bar}", "xx", "xxy", "y", "x{2", "[", "b", "]", "x", "ab", "&", "é", "naïve", "É", "٣", "\u00a0", "a\rc", "a\nc", "a", "a\n",
+    "b a", "{}", ".git", "[x]", "abé", "a{", "", "a\nb", "a\vb", "a\x1cb", "e\u0301", "x²", "foo", "foo\u0301", "fooa", "a\u2028b", "a\x85", "\U0001f600", "A", "bc",
+]
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        r"a\vb", r"^e\w$", r"^x\w$", r"a\sb", r"\bfoo\b", r"a\Sb", r"[\s]$", r"[^\sa]", r"(?s)a.b", r"a.b$", r"(?m)^b", r"(?x) a  b", r"\101", r"(a)?(?(1)b|c)", r"(?a)\w",
+        r"(?>a)b", r"a++", r"(?<=a)b", r"(?<!a)b", r"(?!a)", r"(a|b)c|(aa)", r"(?:ab|a)+?$", "\U0001f600", r"[\U0001f5ff-\U0001f610]", r"(a)\1", r"[a-c&&b]",
+    ],
+)
+def test_engines_agree_or_python_decides(spark, pattern):
+    test_python_patterns_keep_their_meaning(spark, pattern)
+
+
+def test_which_engine(spark):
+    for pattern in (r"\d", r"\w", r"\bx", "(?i)x", r"(a)\1", r"(a)?(?(1)b|c)", "(?m)^x", "(?>a)"):
+        assert native_form(pattern) is None
         with pytest.raises(ValueError):
             effective_pattern(spark, pattern)
+    for pattern in (r"\s", "a.c", "^x$", r"\.git|\[x\]", "(?s).", r"(?<=a)[^b-d]{2,}?"):
+        assert is_valid_pattern(spark, native_form(pattern))
     assert effective_pattern(spark, r"\p{L}") is None  # Python refuses it: nothing is ignored
+
+
+def test_patterns_by_session(spark):
+    settings = [("default", None), ("blank", " "), ("invalid", "("), ("own", "legit\n[.]json$"), ("digits", r"doc_\d+1[.]"), ("none", "zzz")]
+    paths = ["/c/legit/doc_1.json", "/c/doc_11.md", "/c/digit.py", "/c/doc_٣1.md", None]
+    files = spark.createDataFrame([(s, p, 1) for s, _ in [*settings, ("absent", None)] for p in paths], "session_id string, path string, known int")
+    chosen = spark.createDataFrame(settings, "session_id string, ignore string")
+    want = set()
+    for session, raw in [*settings, ("absent", None)]:
+        joined = python_pattern(raw)
+        want |= {(session, p, 1) for p in paths if p is None or joined is None or not re.search(joined, p)}
+    assert {tuple(r) for r in drop_ignored_by_session(files, chosen).collect()} == want
+    many = spark.createDataFrame([(f"s{i}", f"a{i}$") for i in range(40)] + [("digits", r"a\d")], "session_id string, ignore string")
+    files = spark.createDataFrame([(f"s{i}", f"a{j}") for i in range(40) for j in (i, i + 1)] + [("digits", "a1"), ("digits", "a")], "session_id string, path string")
+    assert sorted(map(tuple, drop_ignored_by_session(files, many).collect())) == sorted([(f"s{i}", f"a{i + 1}") for i in range(40)] + [("digits", "a")])
+
+
+def test_trees_prune_by_either_engine(spark):
+    nodes = spark.createDataFrame([("/b", n) for n in ("/b/x1", "/b/x1/y", "/b/q", "/b/q/x")], "base string, node string")
+    assert values(prune_ignored(nodes, r"x\d$").select("node")) == ["/b/q", "/b/q/x"]
+    assert values(prune_ignored(nodes, r"x1$").select("node")) == ["/b/q", "/b/q/x"]
