@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from registry import views as V
 from registry.core import query
+from registry.packs import _LINE_COUNT
+from registry.trees import LINES, NODES, TREES, bases
 from sheaf.operators.history import (
     drop_repeats,
     file_list_digest,
@@ -88,6 +90,55 @@ def _(spark, sf):
     return _neighbour_columns(neighbours(news, ["seq", "st"], rows_per_slice=V.some_slices(news)))
 
 
+def _loading(spark, sf):
+    """Two states per session, the cursor at the newer; moves of every kind; some older states cannot be loaded."""
+    from sheaf.functions.paths import display_path
+    from sheaf.operators.tree import tree_lines, tree_text
+    from sheaf.plans.loading import load_states
+    from sheaf.plans.packs import PackOptions
+
+    files = V.fx_files(spark, sf)
+    sessions = files.select("session_id").distinct().withColumn("n", F.expr("CAST(substr(session_id, 4) AS INT)"))
+    states = F.array(*[F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(st).alias("st"), F.lit(i == 1).alias("is_cursor")) for i, st in enumerate(["older", "newer"])])
+    history = sessions.select("session_id", F.explode(states).alias("s")).select("session_id", "s.*")
+    moves = sessions.selectExpr("session_id", "CASE n % 4 WHEN 2 THEN 1 WHEN 3 THEN -5 ELSE -1 END AS by")
+    selections = sessions.where("n % 4 != 1").selectExpr(
+        "session_id", "explode(array('older', 'newer')) AS st", "'All Files' AS mode", "CAST(NULL AS STRING) AS selected_file", "CAST(array() AS array<string>) AS selected_items")
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    listed = files.select("session_id", F.explode(F.when(number % 2 == 0, F.array(F.lit("older"), F.lit("newer"))).otherwise(F.array(F.lit("newer")))).alias("st"), "path")
+    owners = bases(spark, sf).join(V.roots(spark, sf), "session_id").where("CAST(substr(session_id, 4) AS INT) % 8 != 0")
+    owners = owners.select("session_id", "base", display_path("base", "root", V.HOME, show_ellipsis=True).alias("display"))
+    drawn = tree_text(tree_lines(V.listing(spark, sf), owners), owners).join(owners.select("session_id", "base"), "base")
+    trees = drawn.select("session_id", F.lit("older").alias("st"), "part", "parts", "rendered")
+    # since then some files went and some grew; a tree drawn now would be another
+    edited = F.when(number % 7 == 0, F.concat("content", F.lit(bytearray(b"!")))).otherwise(F.col("content"))
+    now = files.withColumn("content", edited).where(number % 9 != 0)
+    return load_states(history, moves, selections, listed, trees, now, V.roots(spark, sf), PackOptions(home=V.HOME))
+
+
+@query("w3_load_state", f"""WITH {V.FX_FILES}, {NODES}, {LINES}, {TREES},
+now AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text) FROM fx_files
+  WHERE doc_id % 2 = 0 AND doc_id % 9 <> 0 AND is_text AND {V.NOT_IGNORED}),
+body AS (SELECT session_id, rtrim(string_agg({V.block(V.display(True))}, '' ORDER BY path), chr(10)) AS body FROM now GROUP BY session_id),
+whole AS (SELECT DISTINCT session_id, n FROM fx_files WHERE n % 4 IN (0, 3)),
+o AS (SELECT w.session_id, CASE WHEN n % 8 = 0 THEN '' ELSE t.rendered || CASE WHEN b.body IS NULL THEN '' ELSE chr(10) || chr(10) END END
+  || coalesce(b.body, '') AS output_text FROM whole w LEFT JOIN body b USING (session_id) LEFT JOIN trees t ON t.base = '/home/u/code/' || w.session_id)
+SELECT session_id, {V.ONE_PART}, output_text, {_LINE_COUNT} AS line_count FROM o""")
+def _(spark, sf):
+    """Back to the older state: current contents of its files under the tree that was stored with it."""
+    packs, _ = _loading(spark, sf)
+    return packs.select("session_id", "part", "parts", "output_text", "line_count")
+
+
+@query("w3_load_history", """
+WITH s AS (SELECT DISTINCT source AS session_id, CAST(substr(source, 4) AS INT) % 4 AS k FROM documents)
+SELECT session_id, CAST(0 AS BIGINT) AS pos, 'older' AS st, k IN (0, 3) AS is_cursor FROM s WHERE k <> 1
+UNION ALL SELECT session_id, CAST(CASE WHEN k = 1 THEN 0 ELSE 1 END AS BIGINT), 'newer', k IN (1, 2) FROM s""")
+def _(spark, sf):
+    """Cursors after the moves; a state that could not be loaded is gone."""
+    return _loading(spark, sf)[1]
+
+
 @query("w3_stale_after_back", """
 WITH v AS (SELECT source, doc_id, sha256(text) AS old_hash,
     sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS new_hash FROM documents WHERE doc_id % 9 <> 0)
@@ -126,6 +177,13 @@ def _(spark, sf):
     return replay(events, rows_per_slice=V.some_slices(events))
 
 
+@query("t1_replay_unsettled", _REPLAY.format(history=V.UNSETTLED_HISTORY))
+def _(spark, sf):
+    """No event of the hot session is beyond undoing: it is replayed by scans, in as many tasks as it has slices."""
+    events = V.unsettled_history(spark, sf)
+    return replay(events, rows_per_slice=V.some_slices(events, 12))
+
+
 @query("t3_latest_selection", f"""
 WITH {V.FX_HISTORY} SELECT session_id, arg_max('/in/' || st || '.py', seq) AS path FROM fx_history GROUP BY session_id""")
 def _(spark, sf):

@@ -97,6 +97,26 @@ def _(spark, sf):
     return packs.select("session_id", "part", "parts", "output_text")
 
 
+@query("a2_pack_unparsable", f"""
+WITH {V.FX_PY}, b AS (SELECT session_id, path, octet_length(encode(text)) AS size, CASE WHEN doc_id % 5 < 2 AND n % 2 = 0 THEN '# ' || {V.display(True)} || chr(10) || {V.LABEL} || chr(10) || chr(10)
+    || '```python' || chr(10) || {V.stripped("text")} || chr(10) || '```' || chr(10) || chr(10) END AS block
+  FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 < 2 AND n % 2 = 0 THEN 'x = ' || chr(39) || repeat('a', doc_id % 50) || chr(39) ELSE 'def :' END AS text) FROM fx_py)),
+w AS (SELECT *, coalesce(sum(2 * size + octet_length(encode(path)) + 256) OVER (PARTITION BY session_id
+    ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 700 AS step FROM b),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY step) - 1 AS k FROM w),
+l AS (SELECT session_id, coalesce(max(k) FILTER (WHERE block IS NOT NULL), 0) AS last FROM d GROUP BY session_id),
+g AS (SELECT session_id, least(k, last) AS part, last, coalesce(string_agg(block, '' ORDER BY path), '') AS t FROM d JOIN l USING (session_id) GROUP BY ALL)
+SELECT session_id, part, last + 1 AS parts, CASE WHEN part = last THEN rtrim(t, chr(10)) ELSE t END AS output_text FROM g""")
+def _(spark, sf):
+    """Most sources do not parse; parts at a session's end that show nothing are merged, however many there are."""
+    files = V.fx_py(spark, sf)
+    number, n = F.regexp_extract("path", r"doc_(\d+)", 1).cast("int"), F.expr("CAST(substr(session_id, 4) AS INT)")
+    fine = F.concat(F.lit("x = '"), F.repeat(F.lit("a"), number % 50), F.lit("'"))
+    text = F.when((number % 5 < 2) & (n % 2 == 0), fine).otherwise(F.lit("def :"))
+    packs = process_files(files.withColumn("content", F.encode(text, "UTF-8")), V.roots(spark, sf), _no_state(spark), PackOptions(home=V.HOME, part_bytes=700))
+    return packs.select("session_id", "part", "parts", "output_text")
+
+
 _C1 = f"""WITH {V.FX_FILES}, {_KEPT}, {V.FILE_STATE}, {_BLOCKS},
 state AS (SELECT s.*, k.is_text AS found FROM file_state s LEFT JOIN kept k ON k.session_id = s.session_id
   AND k.path = s.selected_file),

@@ -181,6 +181,26 @@ def hot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_history(spark, sf_dir).withColumn("session_id", hot)
 
 
+_UNSETTLED_OP = """CASE CAST(floor(value * 97) AS BIGINT) % 8 WHEN 0 THEN 'new' WHEN 1 THEN 'new' WHEN 2 THEN 'new' WHEN 3 THEN 'back'
+  WHEN 4 THEN 'back' WHEN 5 THEN 'back' WHEN 6 THEN 'forward' ELSE CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'back' END END"""
+
+
+def unsettled_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many undos as pushes, a third of all events in one session: its cursor comes back to the bottom again and again."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS session_id",
+        "event_id AS seq",
+        f"{_UNSETTLED_OP} AS op",
+        "CAST(CAST(floor(value / 10) AS INT) AS STRING) AS st",
+    )
+
+
+UNSETTLED_HISTORY = f"""fx_history AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM (
+  SELECT CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS session_id, event_id AS seq, {_UNSETTLED_OP} AS op,
+    CAST(CAST(floor(value / 10) AS INT) AS VARCHAR) AS st FROM events))"""
+
+
 def some_slices(df: DataFrame, slices: int = 6) -> int:
     """A slice size that cuts the table, and so its hot key, into a few slices."""
     return max(1, df.count() // slices)

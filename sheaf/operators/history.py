@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import ROWS_PER_SLICE
 from sheaf.operators.ordered import Ordered, key_sizes
+from sheaf.operators.sizes import small_side
 from sheaf.session import freeze
 
 SIX_KEYS = ("files", "selected_items", "selection_mode", "selected_file", "file_hashes", "tree")
@@ -163,13 +164,82 @@ def independent_runs(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
     return marked.with_columns(run=run).to_df().select("session_id", "seq", "op", "st", "run")
 
 
+# Rounds of guesses before a run that still changes is replayed in one pass.
+ROUNDS = 24
+
+
+def replay_by_scans(events: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE, rounds: int = ROUNDS) -> DataFrame | None:
+    """Final history of each run without going through its events one after the other: keys…, pos, st, cursor.
+
+    ``events``: keys…, seq, op ('new', 'back', 'forward'), st.  Every event has one bit: does a "new" push, does a "forward" move.  Given all bits
+    the cursor is a walk of ±1 steps reflected at 0, so it follows from prefix sums and prefix minima; the top follows from the
+    latest push; and the state at the cursor is the one of the latest push to that position, an as-of lookup by (keys, position).  From these each
+    bit is worked out anew: a "forward" moves if the cursor was below the top, a "new" pushes if its state differs from the one at the cursor.  Bits
+    that agree with all the bits before them are right, so once nothing changes the histories are right.  Errors are local and
+    most vanish at once; a table that has not settled after ``rounds`` rounds gives None.  No task holds a run, and no Python is used.
+    """
+    first = events.where("op = 'new'").groupBy(*keys).agg(F.min("seq").alias("__first"))
+    # nothing happens to an empty history
+    live = events.where(F.col("op").isin("new", "back", "forward")).join(first, keys).where(F.col("seq") >= F.col("__first"))
+    live = live.select(*keys, "seq", "op", "st")
+    ordered = Ordered(live, keys, ["seq"], rows_per_slice).neighbour("__prev", ["op", "st"], -1)
+    is_new, is_forward = F.col("op") == "new", F.col("op") == "forward"
+    after_new = F.coalesce(F.col("__prev.op") == "new", F.lit(False))
+    settled = is_new & (after_new | F.col("__prev").isNull())
+    differs = F.col("__prev").isNull() | ~F.col("__prev.st").eqNullSafe(F.col("st"))
+    guess = F.when(is_new, F.when(after_new, differs).otherwise(F.lit(True))).when(is_forward, F.coalesce(F.col("__prev.op") == "back", F.lit(False)))
+    ordered = ordered.with_columns(__settled=settled, __bit=F.coalesce(guess, F.lit(False))).without("__prev").frozen()
+    for _ in range(rounds):
+        placed = _place(ordered)
+        # what each uncertain "new" finds at the cursor: the latest push to that position
+        rows = placed.to_df()
+        pushes = rows.where(is_new & F.col("__bit")).select(*keys, F.col("__cursor").alias("__at"), "seq", "st", F.lit(True).alias("__push"))
+        asked = rows.where(is_new & ~F.col("__settled")).select(*keys, F.col("__before").alias("__at"), "seq", "st", F.lit(False).alias("__push"))
+        latest = Ordered(pushes.unionByName(asked), [*keys, "__at"], ["seq"], rows_per_slice).prefix_best(
+            "__latest", F.when(F.col("__push"), F.struct("seq", "st")))
+        answers = latest.to_df().where(~F.col("__push"))
+        pushes_now = F.col("__latest").isNull() | ~F.col("__latest.st").eqNullSafe(F.col("st"))
+        checked = placed.joined_with(answers.select(*keys, "seq", pushes_now.alias("__pushes")))
+        right = F.when(is_forward, F.col("__before") < F.col("__top")).when(is_new & ~F.col("__settled"), F.col("__pushes")).otherwise(F.col("__bit"))
+        checked = checked.with_columns(__right=right).frozen()
+        if checked.to_df().where(F.col("__right") != F.col("__bit")).isEmpty():
+            return _final(checked.to_df(), keys)
+        ordered = checked.with_columns(__bit=F.col("__right")).without("__right", "__pushes", "__walk", "__low", "__before", "__cursor", "__top")
+    return None
+
+
+def _place(ordered: Ordered) -> Ordered:
+    """Add the cursor before (__before) and after (__cursor) each event and the top before it (__top), given the bits."""
+    step = F.when(F.col("op") == "back", -1).when(F.col("__bit"), 1).otherwise(0)
+    # a history begins empty, with the cursor at -1; its first event pushes, and from then on 0 is the floor
+    walked = ordered.prefix_sums(__walk=step).with_columns(__walk=F.col("__walk") - 1)
+    after = F.col("__walk") + step
+    walked = walked.prefix_best("__low", after, largest=False)
+    raised = lambda low: F.greatest(F.lit(0), -low)
+    walked = walked.with_columns(
+        __before=(F.col("__walk") + raised(F.coalesce("__low", F.lit(0)))).cast("bigint"),
+        __cursor=(after + raised(F.least("__low", after))).cast("bigint"),
+    )
+    push = (F.col("op") == "new") & F.col("__bit")
+    return walked.prefix_best("__top", F.when(push, F.struct("seq", F.col("__cursor").alias("at")))).with_columns(__top=F.col("__top.at"))
+
+
+def _final(rows, keys):
+    pushes = rows.where((F.col("op") == "new") & F.col("__bit"))
+    ends = rows.groupBy(*keys).agg(
+        F.max_by("__cursor", "seq").alias("cursor"), F.max_by("__cursor", F.when((F.col("op") == "new") & F.col("__bit"), F.col("seq"))).alias("__end"))
+    states = pushes.groupBy(*keys, F.col("__cursor").alias("pos")).agg(F.max_by("st", "seq").alias("st"))
+    return states.join(ends, keys).where(F.col("pos") <= F.col("__end")).select(*keys, "pos", "st", "cursor")
+
+
 def replay(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Final history of each session: session_id, pos (0-based), st, is_cursor.
 
     ``events``: session_id, seq, op ('new', 'back', 'forward', 'reset'), st.  Events before a
     session's last reset are dropped first.  Sessions are sorted and folded in one pass with
     one stack in memory.  If a session is bigger than ``rows_per_slice``, its history is first
-    cut into independent runs, which are replayed in parallel and put end to end.
+    cut into independent runs, which are replayed in parallel and put end to end; a run that is still
+    bigger (as many undos as pushes) is replayed by scans.
     """
     last_reset = events.groupBy("session_id").agg(
         F.max(F.when(F.col("op") == "reset", F.col("seq"))).alias("__reset")
@@ -185,7 +255,7 @@ def replay(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame
         folded = _fold(live.withColumn("run", F.lit(0).cast("bigint")))
         return folded.select("session_id", "pos", "st", (F.col("pos") == F.col("cursor")).alias("is_cursor"))
 
-    folded = freeze(_fold(independent_runs(live, rows_per_slice)))
+    folded = freeze(_fold_all(freeze(independent_runs(live, rows_per_slice)), rows_per_slice))
     # the state at a run's cursor is its last one unless the run is the session's last
     runs = folded.groupBy("session_id", "run").agg((F.max("cursor") + 1).alias("kept"))
     offsets = Ordered(runs, ["session_id"], ["run"], rows_per_slice).prefix_sums(base=F.col("kept")).to_df()
@@ -200,6 +270,19 @@ def replay(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame
     )
 
 
+def _fold_all(runs: DataFrame, rows_per_slice: int) -> DataFrame:
+    """Small runs in one pass each, big ones by scans."""
+    keys = ["session_id", "run"]
+    big = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_slice).select(*keys)
+    big = freeze(big)
+    if big.isEmpty():
+        return _fold(runs)
+    scanned = replay_by_scans(runs.join(small_side(big), keys, "left_semi"), keys, rows_per_slice)
+    if scanned is None:
+        return _fold(runs)
+    return _fold(runs.join(small_side(big), keys, "left_anti")).unionByName(scanned)
+
+
 def _fold(events: DataFrame) -> DataFrame:
     key_type = events.schema["session_id"].dataType.simpleString()
     placed = events.repartition("session_id", "run").sortWithinPartitions("session_id", "run", "seq")
@@ -224,6 +307,34 @@ def remove_broken(history: DataFrame, broken: DataFrame, rows_per_slice: int = R
     )
 
 
+def move_cursors(history: DataFrame, moves: DataFrame) -> DataFrame:
+    """Where each session's cursor goes: session_id, cursor, target, count.
+
+    ``history``: session_id, pos, st, is_cursor; ``moves``: session_id, by (positions; negative is back).  The target is clamped to the history.
+    """
+    places = history.groupBy("session_id").agg(F.max(F.when(F.col("is_cursor"), F.col("pos"))).alias("cursor"), F.count(F.lit(1)).alias("count"))
+    target = F.least(F.greatest(F.col("cursor") + F.col("by"), F.lit(0)), F.col("count") - 1).cast("bigint")
+    return places.join(moves.select("session_id", "by"), "session_id").select("session_id", "cursor", target.alias("target"), "count")
+
+
+def loaded_history(history: DataFrame, moved: DataFrame, broken: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The histories after the moves: session_id, pos, st, is_cursor.
+
+    ``moved``: as ``move_cursors`` gives; ``broken``: session_id, st of states that cannot be loaded.  A cursor that reaches a state stands there.  A state that
+    proves broken when it is reached leaves the history, and the cursor stays where it was, or at the new end.
+    """
+    placed = history.join(moved, "session_id", "left").join(
+        small_side(broken.select("session_id", "st", F.lit(True).alias("__broken")).distinct()), ["session_id", "st"], "left")
+    reached = F.coalesce((F.col("pos") == F.col("target")) & (F.col("target") != F.col("cursor")), F.lit(False))
+    marked = placed.withColumn("__gone", reached & F.coalesce("__broken", F.lit(False)))
+    gone = marked.where("__gone").select("session_id", F.col("pos").alias("__gap"))
+    kept = marked.where(~F.col("__gone")).join(small_side(gone), "session_id", "left")
+    pos = F.col("pos") - F.when(F.col("pos") > F.col("__gap"), 1).otherwise(0)
+    cursor = F.when(F.col("__gap").isNotNull(), F.least(F.col("cursor"), F.col("count") - 2)).otherwise(F.col("target"))
+    now = F.when(F.col("cursor").isNull(), F.col("is_cursor")).otherwise(pos == cursor)
+    return kept.select("session_id", pos.cast("bigint").alias("pos"), "st", now.alias("is_cursor"))
+
+
 def open_events(opened: DataFrame) -> DataFrame:
     """A file-open event replaces the selection: it is a "new" whose state is the one path."""
     return opened.select("session_id", "seq", F.lit("new").alias("op"), F.col("path").alias("st"))

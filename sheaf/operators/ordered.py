@@ -114,11 +114,37 @@ class Ordered:
         joined = self._df.withColumn(name, local).join(mins, [*self.keys, _SLICE])
         return self._with(joined.withColumn(name, F.least(name, "__min")).drop("__min"), True)
 
+    def prefix_best(self, name: str, value: Column, largest: bool = True) -> Ordered:
+        """Add the largest (or smallest) value over the rows before this one; null where there is none.
+
+        With a struct that begins with the order columns, the largest is the latest.
+        """
+        self._settle()
+        best, either = (F.max, F.greatest) if largest else (F.min, F.least)
+        local = best(value).over(self._window().rowsBetween(Window.unboundedPreceding, -1))
+        if not self.sliced:
+            return self._with(self._df.withColumn(name, local))
+        earlier = self._slice_window().rowsBetween(Window.unboundedPreceding, -1)
+        bests = self._per_slice(best(value).alias("__best"))
+        bests = bests.withColumn("__best", best("__best").over(earlier))
+        joined = self._df.withColumn(name, local).join(bests, [*self.keys, _SLICE])
+        return self._with(joined.withColumn(name, either(name, "__best")).drop("__best"), True)
+
+    def joined_with(self, other: DataFrame) -> Ordered:
+        """Add the columns of ``other`` (keys…, order…, more) to the rows it has; the slices stay."""
+        return self._with(self._df.join(other, [*self.keys, *self.order], "left"), True)
+
+    def frozen(self) -> Ordered:
+        """The same rows, computed once."""
+        return self._with(freeze(self._df))
+
     def with_columns(self, **columns: Column) -> Ordered:
         """Add row-local columns."""
         return self._with(self._df.withColumns(columns), self._joined)
 
+    def without(self, *names: str) -> Ordered:
+        """Drop columns."""
+        return self._with(self._df.drop(*names), self._joined)
+
     def to_df(self) -> DataFrame:
         return self._df.drop(_SLICE)
-
-

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.constants import PART_BYTES, SHARD_ROWS, STALE_HEADLINES, STALE_TOOLTIP_HEAD
+from sheaf.functions.paths import ancestors, parent
 from sheaf.functions.text import content_hash, is_text
 from sheaf.operators.packing import concat_parts, number_parts, number_shards
+from sheaf.operators.sizes import small_side
+from sheaf.session import freeze
 
 
 def snapshot(files: DataFrame, reference_strict: bool = False) -> DataFrame:
@@ -82,6 +86,88 @@ def stale_by_listing(snapshots: DataFrame, listing: DataFrame, read: Callable[[D
     return stale_files(doubted.drop("length", "mtime"), current_hashes(read(there)))
 
 
+KEPT = "path string, length bigint, mtime timestamp, current_hash string, readable boolean, is_text boolean, read_at bigint"
+
+
+def advance_hashes(kept: DataFrame, listing: DataFrame, read: Callable[[DataFrame], DataFrame], tick: int) -> DataFrame:
+    """The hashes of all listed files, reading only those that are new or whose length or time differs (columns of KEPT).
+
+    ``kept``: what the tick before gave; ``read`` gives the contents (path, content, error) of listed files.  ``read_at`` is the tick that read a file's content
+    last.  A file that could not be read is read again; one that is not listed any more goes.
+    """
+    now = listing.where(~F.col("is_dir")).groupBy("path").agg(F.max(F.struct("length", "mtime")).alias("now"))
+    before = kept.select("path", F.struct(*[c for c in kept.columns if c != "path"]).alias("kept"))
+    both = freeze(now.join(before, "path", "left"))
+    same = (F.col("kept.length") == F.col("now.length")) & (F.col("kept.mtime") == F.col("now.mtime")) & F.col("kept.readable")
+    same = F.coalesce(same, F.lit(False))
+    stay = both.where(same).select("path", "kept.*")
+    differ = both.where(~same).select("path", "now.*")
+    hashed = current_hashes(read(differ.withColumn("is_dir", F.lit(False))))
+    fresh = differ.join(hashed, "path", "left").withColumns({"readable": F.coalesce("readable", F.lit(False)), "read_at": F.lit(tick).cast("bigint")})
+    names = [f.split()[0] for f in KEPT.split(", ")]
+    return stay.select(*names).unionByName(fresh.select(*names))
+
+
+# ---- snapshots compared by folders ----
+
+
+def folder_digests(hashes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys…, dir, parent, own, below: digests of each folder's own files, and of all files below it.
+
+    ``hashes``: keys…, path, hash (null: unreadable).  A digest adds the hash limbs of its rows (as ``file_list_digest``), so folders add up to
+    the folders above them: only one row a folder is exploded to its ancestors, never one a file.
+    """
+    row = F.sha2(F.to_json(F.struct("path", "hash"), {"ignoreNullFields": "false"}), 256)
+    limbs = {f"__l{i}": F.conv(F.substring(row, 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)") for i in range(5)}
+    limbs["__l5"] = F.lit(1).cast("decimal(38,0)")
+    add = [F.sum(name).alias(name) for name in limbs]
+    own = hashes.select(*keys, parent("path").alias("dir"), *[limb.alias(name) for name, limb in limbs.items()]).groupBy(*keys, "dir").agg(*add)
+    up = own.select(*keys, "dir", F.explode(ancestors("dir")).alias("above"), *limbs)
+    mine = F.col("dir") == F.col("above")
+    digest = lambda names: F.sha2(F.concat_ws(":", *names), 256)
+    summed = up.groupBy(*keys, "above").agg(*add, *[F.sum(F.when(mine, F.col(n))).alias(f"{n}_own") for n in limbs])
+    return summed.select(
+        *keys,
+        F.col("above").alias("dir"),
+        F.when(F.col("above") != "/", parent("above")).alias("parent"),
+        digest([f"{n}_own" for n in limbs]).alias("own"),
+        digest(list(limbs)).alias("below"),
+    )
+
+
+def differing_folders(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """keys…, dir of the folders of ``before`` whose own files differ in ``now``: a descent from the top that enters differing folders only.
+
+    Both: as ``folder_digests`` gives.  A folder of equal digest is equal down to the last file, so nothing below it is looked at.
+    """
+    level = before.where(F.col("parent").isNull()).select(*keys, "dir", "own", "below")
+    found = []
+    while True:
+        other = now.select(*keys, "dir", F.col("own").alias("__own"), F.col("below").alias("__below"))
+        differ = freeze(level.join(other, [*keys, "dir"], "left").where(~F.col("below").eqNullSafe(F.col("__below"))))
+        if differ.isEmpty():
+            break
+        found.append(differ.where(~F.col("own").eqNullSafe(F.col("__own"))).select(*keys, "dir"))
+        entered = differ.select(*keys, F.col("dir").alias("parent"))
+        level = before.join(small_side(entered), [*keys, "parent"], "left_semi").select(*keys, "dir", "own", "below")
+    none = before.where(F.lit(False)).select(*keys, "dir")
+    return reduce(DataFrame.union, found, none)
+
+
+def stale_by_digests(snapshots: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``stale_files``, comparing folder digests first and files only in folders that differ.
+
+    ``current``: path, current_hash, readable, is_text of the files as they are now, as ``current_hashes`` or ``advance_hashes`` give.  Files that no
+    snapshot has are reported by neither.
+    """
+    mark = F.when(F.col("readable"), F.col("current_hash"))
+    listed = snapshots.select(*keys, "path")
+    now = listed.join(current.select("path", mark.alias("hash"), F.lit(True).alias("__there")), "path").drop("__there")
+    folders = differing_folders(freeze(folder_digests(snapshots, keys)), freeze(folder_digests(now, keys)), keys)
+    doubted = snapshots.withColumn("dir", parent("path")).join(small_side(freeze(folders)), [*keys, "dir"], "left_semi").drop("dir")
+    return stale_files(doubted, current)
+
+
 def headlines(stale: DataFrame, keys: list[str]) -> DataFrame:
     """keys…, headline, files: the gravest status decides."""
     rank = F.when(F.col("status") == "missing", 3).when(F.col("status") == "error", 2).otherwise(1)

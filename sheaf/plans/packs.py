@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from sheaf.constants import MODE_ALL, MODE_SINGLE, NO_TEXT_FILES, PART_BYTES, ROWS_PER_SLICE
 from sheaf.functions.paths import basename, display_path
+from sheaf.functions.patterns import first_non_blank
 from sheaf.functions.text import content_hash, decode_text, is_text, non_blank_lines, rstrip
-from sheaf.operators.filters import drop_ignored, keep_python
+from sheaf.operators.filters import drop_ignored, drop_ignored_by_session, is_python, keep_python
 from sheaf.operators.history import file_list_digest
-from sheaf.operators.packing import concat_parts, part_bounds, with_part
+from sheaf.operators.packing import Parts, concat_parts, number, with_part
 from sheaf.operators.render import blocks
 from sheaf.operators.selection import apply_mode, selected_file_problem, selection_changed
 from sheaf.operators.sizes import small_side
-from sheaf.operators.stale import current_hashes, headlines, stale_files
+from sheaf.operators.stale import current_hashes, headlines, stale_by_digests, stale_files
 from sheaf.operators.symbols import error_message, filter_decision, names_of, with_source
 from sheaf.operators.tree import KEY_TYPE, drawable, tree_lines, tree_rows
 from sheaf.session import freeze
@@ -65,21 +66,25 @@ def session_settings(
         return small_side(settings.withColumn("message", F.lit(None).cast("string")))
     wanted = chosen.select("session_id", F.col("selected_file").alias("path"))
     # the text check runs on the selected files only
-    found = _kept(files, options).join(small_side(wanted), ["session_id", "path"], "left_semi")
+    found = _kept(files, roots, options).join(small_side(wanted), ["session_id", "path"], "left_semi")
     problems = selected_file_problem(found.withColumn("is_text", is_text("content", options.reference_strict)), chosen)
     return small_side(freeze(settings.join(problems, "session_id", "left")))
 
 
-def _kept(files, options):
-    return drop_ignored(files, options.ignore)
+def _kept(files, roots, options):
+    """Files that their session's own pattern, or else the common one, does not ignore."""
+    if "ignore" not in roots.columns:
+        return drop_ignored(files, options.ignore)
+    own = roots.select("session_id", first_non_blank("ignore", F.lit(options.ignore).cast("string")).alias("ignore"))
+    return drop_ignored_by_session(files, own, default=options.ignore)
 
 
-def prepare(files: DataFrame, settings: DataFrame, options: PackOptions) -> DataFrame:
+def prepare(files: DataFrame, roots: DataFrame, settings: DataFrame, options: PackOptions) -> DataFrame:
     """Files of each session that pass the ignore filter and the selection mode, with is_text and text.
 
     A file that is not text keeps its row, without text.
     """
-    joined = _kept(files, options).join(settings, "session_id")
+    joined = _kept(files, roots, options).join(settings, "session_id")
     shown = joined.where(F.col("selected_file").isNull() | (F.col("path") == F.col("selected_file")))
     checked = shown.where(F.col("message").isNull()).withColumn("is_text", is_text("content", options.reference_strict))
     return checked.withColumn("text", F.when(F.col("is_text"), decode_text("content")))
@@ -101,12 +106,15 @@ def process_files(
     options: PackOptions,
     listing: DataFrame | None = None,
     bases: DataFrame | None = None,
+    stored_trees: DataFrame | None = None,
 ) -> DataFrame:
     """The packs: session_id, part, parts, output_text, line_count and errors of the part.
 
     ``files``: session_id, path, content, mtime and perhaps length.  ``roots``: one row per
-    session (session_id, root).  ``state``: one selection row per session; sessions may lack
-    one.  For a tree section also ``listing`` and ``bases`` (session_id, base).  Parts of a
+    session (session_id, root, and perhaps ignore: the session's own pattern, which goes before ``options.ignore``).
+    ``state``: one selection row per session; sessions may lack
+    one.  For a tree section also ``listing`` and ``bases`` (session_id, base), or ``stored_trees`` (session_id, part, parts, rendered)
+    of trees drawn earlier.  Parts of a
     session in order make up its text; one below ``options.part_bytes`` has exactly one.
     ``errors``: the files (path, error) left out because they failed.
 
@@ -115,7 +123,7 @@ def process_files(
     files take no part in that.
     """
     settings = session_settings(files, roots, state, options)
-    prepared = prepare(files, settings, options)
+    prepared = prepare(files, roots, settings, options)
     sizes = prepared.select("session_id", "path", _file_bytes(files).alias("bytes"), "is_text")
     narrow = freeze(
         sizes.select(
@@ -149,15 +157,16 @@ def process_files(
     rows = file_rows.unionByName(marks)
     order = ["section", "key"]
     weighed = narrow.where("is_text").drop("is_text")
-    if options.include_tree:
-        healthy = bases.join(settings.where(F.col("message").isNull()), "session_id")
-        drawn = _tree_rows(listing, healthy, options)
+    if options.include_tree or stored_trees is not None:
+        healthy = settings.where(F.col("message").isNull())
+        drawn = _tree_rows(listing, bases.join(healthy, "session_id"), options) if stored_trees is None else _stored_rows(stored_trees, healthy)
+        before = drawn.unionByName(marks.where("text != ''").drop("failed"))
         rows = rows.unionByName(drawn, allowMissingColumns=True)
-        weighed = freeze(weighed.unionByName(drawn.select("session_id", *order, F.octet_length("text").cast("bigint").alias("weight"))))
-    bounds = part_bounds(weighed, ["session_id"], order, "weight", options.part_bytes, options.rows_per_slice)
-    if bounds is not None:
-        bounds = _without_empty_ends(bounds, weighed, order, prepared)
-    numbered = with_part(rows, ["session_id"], order, bounds)
+        weighed = freeze(weighed.unionByName(before.select("session_id", *order, F.octet_length("text").cast("bigint").alias("weight"))))
+    parts = number(weighed, ["session_id"], order, "weight", options.part_bytes, options.rows_per_slice)
+    if parts is not None:
+        parts = _without_empty_ends(parts, prepared)
+    numbered = with_part(rows, parts)
     extra = {
         "shown": F.bool_or((F.col("section") == FILES) & (F.col("text") != "")),
         "errors": F.array_sort(F.collect_list("failed")),
@@ -173,28 +182,23 @@ def process_files(
     return packs.withColumn("line_count", non_blank_lines("output_text"))
 
 
-def _without_empty_ends(bounds, weighed, order, prepared):
-    """Merge a session's last part into the one before as long as none of its files shows anything.
+def _without_empty_ends(parts: Parts, prepared: DataFrame) -> Parts:
+    """Merge the parts at a session's end of which no file shows anything into the last one that does.
 
-    Only ``.py`` files can show nothing, so no more is parsed here than last parts of such files alone.
+    Only ``.py`` files can show nothing.  Those behind everything else of a session that must show are parsed, all in one pass.
     """
     path = F.element_at("key", 1)["name"]
-    while True:
-        placed = with_part(weighed, ["session_id"], order, bounds)
-        ends = placed.where((F.col("part") == F.col("parts") - 1) & (F.col("parts") > 1))
-        python_only = F.bool_and((F.col("section") == FILES) & path.endswith(".py"))
-        doubted = ends.groupBy("session_id").agg(python_only.alias("doubted")).where("doubted").select("session_id")
-        doubted = freeze(ends.join(doubted, "session_id").select("session_id", path.alias("path")))
-        if doubted.isEmpty():
-            return bounds
-        parsed = with_source(prepared.join(doubted, ["session_id", "path"], "left_semi"), F.array().cast("array<string>"))
-        solid = parsed.where(filter_decision().isin("full", "filtered")).select("session_id").distinct()
-        empty = freeze(doubted.select("session_id").distinct().join(solid, "session_id", "left_anti"))
-        if empty.isEmpty():
-            return bounds
-        shorter = F.when(F.col("cut"), F.slice("bounds", F.lit(1), F.size("bounds") - 1)).otherwise(F.col("bounds"))
-        marked = bounds.join(empty.withColumn("cut", F.lit(True)), "session_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-        bounds = freeze(marked.select("session_id", shorter.alias("bounds")))
+    doubtful = (F.col("section") == FILES) & path.endswith(".py")
+    sure = parts.placed.groupBy("session_id").agg(F.coalesce(F.max(F.when(~doubtful, F.col("part"))), F.lit(-1)).alias("__sure"))
+    behind = parts.placed.where(doubtful).join(small_side(sure), "session_id").where(F.col("part") > F.col("__sure"))
+    behind = freeze(behind.select("session_id", path.alias("path"), "part"))
+    if behind.isEmpty():
+        return parts
+    # contents of .py files only; the few columns of ``behind`` are joined to them by path
+    parsed = with_source(prepared.where(is_python()).join(small_side(behind), ["session_id", "path"]), F.array().cast("array<string>"))
+    solid = parsed.where(filter_decision().isin("full", "filtered")).groupBy("session_id").agg(F.max("part").alias("__solid"))
+    last = F.greatest(F.col("__sure"), F.coalesce("__solid", F.lit(-1)), F.lit(0)).cast("bigint")
+    return parts.ending_at(freeze(sure.join(solid, "session_id", "left").select("session_id", last.alias("__last"))))
 
 
 def _path_key(path):
@@ -220,6 +224,18 @@ def _tree_rows(listing, bases, options):
     )
 
 
+def _stored_rows(stored, healthy):
+    """Trees drawn earlier as rows before the files; the last part carries the blank lines before them."""
+    at = F.array(F.struct(F.col("part").cast("int").alias("file"), F.lit("").alias("fold"), F.lit("").alias("name")))
+    ends = F.col("part") == F.col("parts") - 1
+    return stored.join(healthy.select("session_id"), "session_id", "left_semi").select(
+        "session_id",
+        F.lit(TREE).alias("section"),
+        at.cast(KEY_TYPE).alias("key"),
+        F.when(ends, F.concat("rendered", F.lit("\n\n"))).otherwise(F.col("rendered")).alias("text"),
+    )
+
+
 def pack_errors(packs: DataFrame) -> DataFrame:
     """Files left out of the packs: session_id, path, error."""
     return packs.select("session_id", F.inline("errors"))
@@ -290,6 +306,14 @@ def refresh_states(files: DataFrame, state: DataFrame, tree: DataFrame | None =
     return joined.select("session_id", F.sha2(whole, 256).alias("st"))
 
 
-def check_stale(snapshots: DataFrame, files: DataFrame, keys: list[str], reference_strict: bool = False) -> DataFrame:
-    """Headline of each snapshot that is out of date: keys…, status, files, headline."""
-    return headlines(stale_files(snapshots, current_hashes(files), reference_strict), keys)
+def check_stale(
+    snapshots: DataFrame, files: DataFrame, keys: list[str], reference_strict: bool = False, by_digests: bool = False
+) -> DataFrame:
+    """Headline of each snapshot that is out of date: keys…, status, files, headline.
+
+    ``by_digests`` compares folders first, and files only in folders that differ.
+    """
+    current = current_hashes(files)
+    if by_digests and not reference_strict:
+        return headlines(stale_by_digests(snapshots, freeze(current), keys), keys)
+    return headlines(stale_files(snapshots, current, reference_strict), keys)
