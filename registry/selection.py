@@ -247,6 +247,22 @@ def _(spark, sf):
     )
 
 
+@query("c6_check_stale_digest", f"""
+WITH s AS (SELECT source AS session_id, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'error' ELSE 'modified' END AS status
+  FROM documents WHERE doc_id % 13 < 3 AND (doc_id % 9 = 0 OR doc_id % 17 = 0 OR doc_id % 7 = 0))
+SELECT session_id, {_HEAD} AS headline, count(*) AS files FROM s GROUP BY session_id""")
+def _(spark, sf):
+    """Folders compared by digests from the top down; files only in the three of thirteen folders that differ."""
+    docs = V.documents(spark, sf).selectExpr("*", "'/d/' || source || '/' || CAST(doc_id % 13 AS STRING) || '/p' || CAST(doc_id AS STRING) AS path")
+    stored = docs.select(F.col("source").alias("session_id"), "path", F.sha2("text", 256).alias("hash"))
+    now = docs.where("doc_id % 13 >= 3 OR doc_id % 9 <> 0").selectExpr(
+        "path",
+        "CASE WHEN doc_id % 13 < 3 AND doc_id % 17 = 0 THEN NULL WHEN doc_id % 13 < 3 AND doc_id % 7 = 0 THEN encode(text || '!', 'UTF-8') ELSE encode(text, 'UTF-8') END AS content",
+        "CASE WHEN doc_id % 13 < 3 AND doc_id % 17 = 0 THEN 'error' END AS error",
+    )
+    return check_stale(stored, now, ["session_id"], by_digests=True).select("session_id", "headline", "files")
+
+
 @query("j1_fresh_snapshot_is_empty", "SELECT source AS session_id, source AS path, '' AS status FROM documents WHERE false")
 def _(spark, sf):
     """A snapshot compared with the very files it was made from reports nothing."""
