@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import views as V
 from registry.core import query
-from registry.packs import _LINE_COUNT
+from registry.packs import _LINE_COUNT, packs_in_parts
 from registry.trees import LINES, NODES, TREES, bases
 from sheaf.operators.history import (
     drop_repeats,
@@ -20,6 +20,7 @@ from sheaf.operators.history import (
 )
 from sheaf.operators.stale import current_hashes, stale_files
 from sheaf.plans.packs import refresh_states
+from sheaf.session import scratch_path
 
 _NEWS = "news AS (SELECT session_id, seq, st FROM fx_history WHERE op = 'new')"
 _KEPT = """SELECT session_id, seq, st FROM (SELECT *, lag(st) OVER w AS p, row_number() OVER w AS k FROM news
@@ -278,3 +279,45 @@ def _(spark, sf):
     first, second = state_of(seen), state_of(seen.unionByName(added))
     events = first.withColumn("seq", F.lit(1)).unionByName(second.withColumn("seq", F.lit(2))).withColumn("op", F.lit("new"))
     return replay(events).groupBy("session_id").agg(F.count(F.lit(1)).alias("states"))
+
+
+_EDITED = """edited AS (SELECT * REPLACE (CASE WHEN doc_id % 50 = 0 THEN text || '!!' ELSE text END AS text,
+    CASE WHEN doc_id % 50 = 0 THEN content || encode('!!') ELSE content END AS content) FROM fx_files WHERE doc_id % 97 <> 1)"""
+
+
+def _inputs(name: str, rows: str) -> str:
+    """SQL of what goes into each part of ``rows``."""
+    return f"""{name}_w AS (SELECT *, coalesce(sum(2 * octet_length(content) + octet_length(encode(path)) + 256) OVER (PARTITION BY session_id
+    ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS step FROM {rows} WHERE is_text AND {V.NOT_IGNORED}),
+{name} AS (SELECT session_id, part, string_agg(path || sha256(content), ',' ORDER BY path) AS inputs FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY step) - 1 AS part FROM {name}_w) GROUP BY ALL)"""
+
+
+@query("c5_refresh_parts", f"""
+WITH {V.FX_FILES}, {_EDITED}, {_inputs("before", "fx_files")}, {_inputs("after", "edited")},
+b AS (SELECT session_id, path, octet_length(content) AS size, {V.block(V.display(True))} AS block FROM edited WHERE is_text AND {V.NOT_IGNORED}),
+{packs_in_parts("b", 20_000)}
+SELECT p.*, CASE WHEN o.inputs IS NULL THEN 1 ELSE 0 END AS tick FROM packs p JOIN after a USING (session_id, part)
+  LEFT JOIN before o ON o.session_id = a.session_id AND o.inputs = a.inputs""")
+def _(spark, sf):
+    """Two refreshes: the second renders only the parts whose files changed, and reads no others."""
+    from sheaf.functions.text import content_hash, is_text
+    from sheaf.plans.packs import PackOptions
+    from sheaf.plans.refresh import refresh_parts
+
+    store = scratch_path(spark, "parts")
+    before = V.fx_files(spark, sf)
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    edit = F.when(number % 50 == 0, F.concat("content", F.lit(bytearray(b"!!")))).otherwise(F.col("content"))
+    after = before.where(number % 97 != 1).withColumn("content", edit)
+    none = spark.createDataFrame([], "session_id string, mode string, selected_file string, selected_items array<string>")
+    options = PackOptions(home=V.HOME, part_bytes=20_000)
+
+    def refresh(files, tick):
+        entries = files.select(
+            "session_id", "path", "mtime", F.octet_length("content").cast("bigint").alias("length"), content_hash("content").alias("current_hash"), is_text("content").alias("is_text"))
+        read = lambda listed: listed.select("path").join(files.select("path", "content"), "path")
+        return refresh_parts(entries, read, V.roots(spark, sf), none, options, store, tick)
+
+    refresh(before, 0)
+    return refresh(after, 1).select("session_id", "part", "parts", "output_text", F.col("tick").cast("int").alias("tick"))

@@ -14,8 +14,8 @@ from sheaf.plans.packs import PackOptions, process_files
 from sheaf.schema import SESSION
 from sheaf.session import scratch_path
 from sheaf.sources.contents import read_contents
-from sheaf.sources.export import export_blocks, export_packs, exported_digests
-from sheaf.sources.listing import list_directory
+from sheaf.sources.export import export_blocks, export_packs, exported_digests, exported_pieces
+from sheaf.sources.listing import list_directory, list_tree
 from sheaf.sources.ndjson import error_response, parse_requests, read_requests, success_response, write_lines
 from sheaf.sources.sessions import parse_sessions, read_sessions, read_states, session_json, write_sessions, write_states
 
@@ -199,11 +199,29 @@ def _(spark, sf):
     )
 
 
+_EXPORTED = f"""WITH {V.FX_FILES}, h AS (SELECT session_id, hex(encode(string_agg({V.block(V.display(True))}, '' ORDER BY path))) AS h
+  FROM fx_files WHERE is_text GROUP BY session_id)"""
+
+
+@query("s8_export_pieces", f"""{_EXPORTED},
+p AS (SELECT session_id, h, unnest(range(CAST(ceil(len(h) / 2.0 / 10000) AS BIGINT))) AS piece FROM h),
+s AS (SELECT session_id, piece, substr(h, piece * 20000 + 1, 20000) AS h FROM p)
+SELECT session_id, piece, len(h) // 2 AS size, sha256(unhex(h)) AS digest FROM s""")
+def _(spark, sf):
+    """An export checked piece by piece, every piece by whichever task has it."""
+    return exported_pieces(spark, _exported_blocks(spark, sf), piece_bytes=10_000)
+
+
 @query("s8_export_parts", f"""
 WITH {V.FX_FILES} SELECT session_id, sha256(string_agg({V.block(V.display(True))}, '' ORDER BY path)) AS joined
 FROM fx_files WHERE is_text GROUP BY session_id""")
 def _(spark, sf):
     """Blocks exported without building packs; a folder's files in name order hold the blocks in order."""
+    return exported_digests(spark, _exported_blocks(spark, sf))
+
+
+def _exported_blocks(spark, sf):
+    """The folder to which the blocks of all sessions are exported."""
     from sheaf.functions.paths import display_path, language
     from sheaf.functions.text import is_text
     from sheaf.functions.times import modified_line
@@ -214,7 +232,7 @@ def _(spark, sf):
     block = full_block(shown, modified_line("mtime"), language("path"), decode_text("content"))
     path = scratch_path(spark, "export-blocks")
     export_blocks(joined.select("session_id", "path", block.alias("block")), path, ["path"])
-    return exported_digests(spark, path)
+    return path
 
 
 @query("s1_s3_directory", """
@@ -235,6 +253,24 @@ def _(spark, sf):
     ).select("source", "lang", "r.doc_id", F.sha2("r.text", 256).alias("text_hash"))
 
 
+@query("s1_rounds", """
+SELECT source, lang, count(*) AS docs, sum(octet_length(encode(text))) AS bytes FROM documents GROUP BY ALL""")
+def _(spark, sf):
+    """The same folders listed in rounds by URI, two folders a task, and read through the store's own reader."""
+    path = scratch_path(spark, "tree")
+    line = F.to_json(F.struct("doc_id", "text"))
+    V.documents(spark, sf).select("source", "lang", line.alias("value")).write.partitionBy("source", "lang").text(path)
+    uri = path if ":/" in path else f"file://{path}"
+    files = read_contents(list_tree(spark, uri, ignore="_SUCCESS", folders_per_task=2))
+    lines = files.select("path", F.explode(F.split(decode_text("content"), "\n")).alias("line")).where("line <> ''")
+    record = F.from_json("line", "doc_id bigint, text string")
+    return lines.select(
+        F.regexp_extract("path", "source=([^/]+)", 1).alias("source"),
+        F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"),
+        record.alias("r"),
+    ).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("r.text")).cast("bigint").alias("bytes"))
+
+
 # ---- requests ----
 
 

@@ -46,7 +46,7 @@ def session_settings(
 ) -> DataFrame:
     """One row per session: session_id, root, mode, selected_file, selected_items, message.
 
-    ``message`` is set where the selected single file cannot be shown.  The table is frozen
+    ``files`` have content, or is_text.  ``message`` is set where the selected single file cannot be shown.  The table is frozen
     (it is read several times) and marked for broadcast if it is small.
     """
     slim = state.select("session_id", "mode", "selected_file", "selected_items")
@@ -66,12 +66,14 @@ def session_settings(
         return small_side(settings.withColumn("message", F.lit(None).cast("string")))
     wanted = chosen.select("session_id", F.col("selected_file").alias("path"))
     # the text check runs on the selected files only
-    found = _kept(files, roots, options).join(small_side(wanted), ["session_id", "path"], "left_semi")
-    problems = selected_file_problem(found.withColumn("is_text", is_text("content", options.reference_strict)), chosen)
+    found = kept_files(files, roots, options).join(small_side(wanted), ["session_id", "path"], "left_semi")
+    if "content" in files.columns:
+        found = found.withColumn("is_text", is_text("content", options.reference_strict))
+    problems = selected_file_problem(found, chosen)
     return small_side(freeze(settings.join(problems, "session_id", "left")))
 
 
-def _kept(files, roots, options):
+def kept_files(files, roots, options):
     """Files that their session's own pattern, or else the common one, does not ignore."""
     if "ignore" not in roots.columns:
         return drop_ignored(files, options.ignore)
@@ -84,7 +86,7 @@ def prepare(files: DataFrame, roots: DataFrame, settings: DataFrame, options: Pa
 
     A file that is not text keeps its row, without text.
     """
-    joined = _kept(files, roots, options).join(settings, "session_id")
+    joined = kept_files(files, roots, options).join(settings, "session_id")
     shown = joined.where(F.col("selected_file").isNull() | (F.col("path") == F.col("selected_file")))
     checked = shown.where(F.col("message").isNull()).withColumn("is_text", is_text("content", options.reference_strict))
     return checked.withColumn("text", F.when(F.col("is_text"), decode_text("content")))
@@ -94,7 +96,7 @@ def _file_bytes(files):
     return F.col("length") if "length" in files.columns else F.octet_length("content").cast("bigint")
 
 
-def _weight(size, path):
+def weight(size, path):
     """Upper bound of a rendered block: a byte that is not UTF-8 becomes two; path, heading and fence around it."""
     return 2 * size + F.octet_length(path) + 256
 
@@ -129,8 +131,8 @@ def process_files(
         sizes.select(
             "session_id",
             F.lit(FILES).alias("section"),
-            _path_key("path").alias("key"),
-            _weight(F.col("bytes"), "path").alias("weight"),
+            path_key("path").alias("key"),
+            weight(F.col("bytes"), "path").alias("weight"),
             "is_text",
         )
     )
@@ -140,7 +142,7 @@ def process_files(
     file_rows = rendered.select(
         "session_id",
         F.lit(FILES).alias("section"),
-        _path_key("path").alias("key"),
+        path_key("path").alias("key"),
         F.coalesce("block", F.lit("")).alias("text"),
         failed.alias("failed"),
     )
@@ -150,7 +152,7 @@ def process_files(
     marks = settings.join(kinds, "session_id", "left").select(
         "session_id",
         F.lit(FILES).alias("section"),
-        _path_key(F.lit("")).alias("key"),
+        path_key(F.lit("")).alias("key"),
         F.coalesce("message", F.when(only_binary, F.lit(NO_TEXT_FILES)), F.lit("")).alias("text"),
         F.lit(None).cast("struct<path:string,error:string>").alias("failed"),
     )
@@ -201,7 +203,7 @@ def _without_empty_ends(parts: Parts, prepared: DataFrame) -> Parts:
     return parts.ending_at(freeze(sure.join(solid, "session_id", "left").select("session_id", last.alias("__last"))))
 
 
-def _path_key(path):
+def path_key(path):
     path = F.col(path) if isinstance(path, str) else path
     entry = F.struct(F.lit(0).alias("file"), F.lit("").alias("fold"), path.alias("name"))
     return F.array(entry).cast(KEY_TYPE)

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import strip
+from sheaf.operators.ordered import Ordered
+from sheaf.operators.sizes import small_side
+from sheaf.session import freeze
 
 
 def exportable(packs: DataFrame, text: str = "output_text") -> DataFrame:
@@ -79,3 +82,24 @@ def exported_digests(spark: SparkSession, path: str) -> DataFrame:
     ordered = pieces.select("session_id", "file", "at", "piece").repartition("session_id").sortWithinPartitions("session_id", "file", "at")
     kind = files.schema["session_id"].dataType.simpleString()
     return ordered.select("session_id", "piece").mapInArrow(_digests, f"session_id {kind}, joined string")
+
+
+def exported_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """session_id, piece, size, digest: the SHA-256 of each piece of ``piece_bytes`` of a session's exported files, one after the other in name order.
+
+    Two exports are equal if and only if their pieces are, and the first piece that differs says where.  Where a file begins follows from the lengths of the files before
+    it, so every file is cut in its own task, and a hot session's pieces are hashed in all tasks; no task holds more of a session than one file.
+    """
+    files = spark.read.format("binaryFile").load(path).withColumn("file", F.col("_metadata.file_name"))
+    narrow = freeze(files.select("session_id", "file", "length"))
+    starts = Ordered(narrow, ["session_id"], ["file"]).prefix_sums(start=F.col("length")).to_df().select("session_id", "file", "start")
+    placed = files.where("length > 0").join(small_side(freeze(starts)), ["session_id", "file"])
+    first, last = f"start div {piece_bytes}", f"(start + length - 1) div {piece_bytes}"
+    cut = placed.select("session_id", "start", "content", F.explode(F.expr(f"sequence({first}, {last})")).alias("piece"))
+    begin = F.greatest(F.col("piece") * piece_bytes - F.col("start"), F.lit(0))
+    end = (F.col("piece") + 1) * piece_bytes - F.col("start")
+    part = F.substring("content", (begin + 1).cast("int"), (end - begin).cast("int"))
+    pieces = cut.select("session_id", "piece", F.struct("start", part.alias("bytes")).alias("part"))
+    joined = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["bytes"]))
+    whole = pieces.groupBy("session_id", "piece").agg(joined.alias("bytes"))
+    return whole.select("session_id", F.col("piece").cast("bigint").alias("piece"), F.octet_length("bytes").cast("bigint").alias("size"), F.sha2("bytes", 256).alias("digest"))

@@ -67,3 +67,49 @@ def test_own_patterns_and_stored_trees(spark):
     shown = {s: [n for n in ("x.md", "y.md", "dist.md") if f"~/p/{n}" in t] for s, t in text.items()}
     assert shown == {"a": ["y.md", "dist.md"], "b": ["x.md", "y.md"], "c": ["x.md", "y.md", "dist.md"]}
     assert text["a"].startswith("# Tree\nend\n\n\n# ~/p/dist.md") and text["b"].startswith("# ~/p/x.md")
+
+
+def test_a_refresh_reads_only_changed_parts(spark, tmp_path):
+    from sheaf.functions.text import content_hash, is_text
+    from sheaf.plans.refresh import refresh_parts, stored_parts
+
+    schema = "session_id string, path string, content binary, mtime timestamp"
+    none = spark.createDataFrame([], "session_id string, mode string, selected_file string, selected_items array<string>")
+    state = spark.createDataFrame([("one", "Single File", "/h/p/f01.md", [])], none.schema)
+    names = [f"f{i:02}.md" for i in range(12)] + ["z1.py", "z2.py"]
+    first = {(s, f"/h/p/{n}"): (b"def :" if n.endswith(".py") else b"text " * 20) for s in ("a", "b", "one") for n in names}
+    first |= {("bin", "/h/p/x"): b"\x00", ("gone", "/h/p/dist/x.md"): b"ignored"}
+    second = dict(first) | {("a", "/h/p/f03.md"): b"TEXT " * 20, ("b", "/h/p/z1.py"): b"x = 1", ("b", "/h/p/new.md"): b"n"}
+    del second["b", "/h/p/f11.md"]
+    roots = spark.createDataFrame([(s, "/h/p") for s in ("a", "b", "one", "bin", "gone")], "session_id string, root string")
+    options, seen = PackOptions(home="/h", part_bytes=1500), []
+
+    def refresh(files, tick):
+        table = spark.createDataFrame([(s, p, c, MTIME) for (s, p), c in files.items()], schema)
+        entries = table.select("session_id", "path", "mtime", F.length("content").cast("bigint").alias("length"), content_hash("content").alias("current_hash"), is_text("content").alias("is_text"))
+
+        def read(listed):
+            seen.append(sorted(r.path for r in listed.collect()))
+            return listed.select("path").join(spark.createDataFrame([(p, c) for (_, p), c in by_path(files).items()], "path string, content binary"), "path")
+
+        got = refresh_parts(entries, read, roots, state, options, str(tmp_path / "store"), tick).drop("tick")
+        want = process_files(table, roots, state, options)
+        key = lambda r: (r.session_id, r.part, r.parts, r.output_text, sorted(map(tuple, r.errors)), r.line_count)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+    def by_path(files):
+        return {(0, p): c for (_, p), c in files.items()}
+
+    # contents by path alone, so each session's files need names of their own where they differ
+    def own(files):
+        return {(s, p.replace("/h/p/", f"/h/p/{s}-") if s != "gone" else p): c for (s, p), c in files.items()}
+
+    state = spark.createDataFrame([("one", "Single File", "/h/p/one-f01.md", [])], none.schema)
+    refresh(own(first), 0)
+    refresh(own(first), 1)
+    assert seen[1] == []
+    refresh(own(second), 2)
+    assert 0 < len(seen[2]) < 20 and "/h/p/a-f03.md" in seen[2] and "/h/p/one-f01.md" not in seen[2] and "/h/p/a-f11.md" not in seen[2]
+    refresh(own(second), 2)
+    assert seen[3] == seen[2]
+    assert {r.tick for r in stored_parts(spark, str(tmp_path / "store")).collect()} == {0, 2}

@@ -297,6 +297,14 @@ def test_export_check_gathers_no_session(spark, tmp_path, monkeypatch):
         joined = b"".join(p.read_bytes() for p in sorted(folder.glob("part-*")))
         want[folder.name[len("session_id="):]] = hashlib.sha256(joined).hexdigest()
     assert {r.session_id: r.joined for r in export.exported_digests(spark, str(tmp_path / "out")).collect()} == want
+    cut = {}
+    for r in export.exported_pieces(spark, str(tmp_path / "out"), piece_bytes=101).collect():
+        cut[r.session_id, r.piece] = (r.size, r.digest)
+    for folder in (tmp_path / "out").glob("session_id=*"):
+        joined = b"".join(p.read_bytes() for p in sorted(folder.glob("part-*")))
+        for i in range(0, len(joined), 101):
+            assert cut.pop((folder.name[len("session_id="):], i // 101)) == (len(joined[i : i + 101]), hashlib.sha256(joined[i : i + 101]).hexdigest())
+    assert not cut
     plan = QUERIES["s8_export_parts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "array_join" not in plan
 
