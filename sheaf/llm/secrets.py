@@ -4,13 +4,14 @@ Rules, leftmost and not overlapping within a kind: ``assign`` (a secret's name,
 characters), ``access`` (AKIA and 16 or more capitals or digits) and ``hex`` (24 or more hex digits).
 A span covers the whole match, in code points, end exclusive.
 
-``random``: runs of at least CANDIDATE characters of the alphabet below that no rule touches, whose log-likelihood as a
+``random``: runs of at least CANDIDATE characters of the alphabet below, or what of them no rule touches, whose log-likelihood as a
 random string exceeds that as an ordinary identifier by MARGIN per character.  Both are first-order models of
 characters.  The labelled samples are taken from the documents: values found by the rules are random, other
 words of at least ORDINARY characters are ordinary; each distinct string counts once.  They come from about SAMPLE
 documents, chosen by a hash of the text; the models are tables of a fixed size.
 
-Rules for odd input: a null or empty text has no spans; repeated rows each get theirs; other columns are ignored.
+Rules for odd input: a null or empty text has no spans; repeated rows each get theirs; other columns pass through, whatever their
+names, but for those of results.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import whole_row
+
 SAMPLE = 20_000
 CANDIDATE, ORDINARY = 20, 8
 MARGIN = 0.3
@@ -120,11 +123,8 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """The rows of ``docs`` with ``base_spans`` and ``spans``: sorted arrays of (start, rank, end, kind)."""
     model = train(docs) if model is None else model
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    own = docs.columns
     run = f"{_RUN}{{{CANDIDATE},}}"
-    df = docs.select(*own).drop("base_spans", "spans", "clean", "assign", "access", "hex", "candidates")
-    own = df.columns
-    df = base_matches(df)
+    df = base_matches(docs.select("text", whole_row(docs)))
     df = _matches(df, "clean", run, "candidates", F.col("clean").rlike(run))
 
     def spans(name: str) -> Column:
@@ -133,10 +133,27 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
         return F.transform(name, one).cast(_SPAN)
 
     df = df.withColumn("base_spans", F.array_sort(F.concat(spans("assign"), spans("access"), spans("hex"))))
-    apart = lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    df = df.withColumn("candidates", F.filter("candidates", lambda m: apart(m) & (_ratio(m["value"], table) > MARGIN)))
+    df = df.withColumn("candidates", F.flatten(F.transform("candidates", lambda m: _outside(m, F.col("base_spans")))))
+    df = df.withColumn("candidates", F.filter("candidates", lambda m: _ratio(m["value"], table) > MARGIN))
     df = df.withColumn("spans", F.array_sort(F.concat("base_spans", spans("candidates"))))
-    return df.select(*own, "base_spans", "spans")
+    return df.select(*[F.col(f"rest.`{c}`") for c in docs.columns if c not in ("base_spans", "spans")], "base_spans", "spans")
+
+
+def _outside(run: Column, spans: Column) -> Column:
+    """The parts of a run of at least CANDIDATE characters that no span (sorted by start) touches."""
+    piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(run["value"], a - run["start"] + 1, b - a).alias("value"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    touching = F.filter(spans, lambda s: (s["start"] < run["end"]) & (run["start"] < s["end"]))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > acc["at"], F.concat(acc["found"], F.array(piece(acc["at"], s["start"])))).otherwise(acc["found"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("found"))
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["at"] < run["end"], F.concat(acc["found"], F.array(piece(acc["at"], run["end"])))).otherwise(acc["found"])
+
+    cut = F.aggregate(touching, F.struct(run["start"].alias("at"), none.alias("found")), step, finish)
+    return F.filter(F.when(F.size(touching) == 0, F.array(run)).otherwise(cut), lambda p: p["end"] - p["start"] >= CANDIDATE)
 
 
 def span_text(spans: str) -> Column:

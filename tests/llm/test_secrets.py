@@ -72,3 +72,13 @@ def test_redaction_merges_overlaps(spark):
     docs = spark.createDataFrame([(0, 'é token = "' + "0a" * 20 + '" end'), (1, "none"), (2, None)], "doc_id long, text string")
     out = scan(docs).select(redacted(F.col("text"), "spans").alias("t")).collect()
     assert sorted([r.t for r in out], key=str) == sorted(['é [SECRET]" end', "none", None], key=str)
+
+
+def test_random_parts_beside_a_rule(spark):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz") for _ in range(n))
+    left, right = some(24), some(23)
+    model = train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    docs = spark.createDataFrame([(0, f"x {left}{'0a' * 15}{right} y"), (1, f"x {some(19)}{'0a' * 15}{some(19)} y")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan(docs, model).collect()}
+    assert got == {0: [("random", 2, 26), ("hex", 26, 56), ("random", 56, 79)], 1: [("hex", 21, 51)]}
