@@ -1,8 +1,8 @@
 """History replay as a stateful stream.
 
 State per session is one map entry per history position plus a cursor, so an event touches a
-few entries and a long history is never loaded whole.  Events of a session must arrive in
-order across micro-batches; inside one they are sorted.
+few entries and a long history is never loaded whole.  Inside a micro-batch a session's events are sorted; across
+them an event whose number is not above the last one applied comes too late, or comes again, and is left out.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ class HistoryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._entries = handle.getMapState("entries", "pos bigint", "st string")
-        self._place = handle.getValueState("place", "cursor bigint, size bigint")
+        self._place = handle.getValueState("place", "cursor bigint, size bigint, last bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        cursor, size = self._place.get() if self._place.exists() else (-1, 0)
+        cursor, size, last = self._place.get() if self._place.exists() else (-1, 0, None)
+        fresh = (part if last is None else part[part["seq"] > last] for part in rows)
+        events = pd.concat([part[["seq", "op", "st"]] for part in fresh], ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
+        if events.empty:
+            return
         written: dict[int, str] = {}
 
         def at(pos):
@@ -51,7 +54,7 @@ class HistoryProcessor(StatefulProcessor):
         changed = {pos: st for pos, st in written.items() if pos < size}
         for pos, st in changed.items():
             self._entries.updateValue((pos,), (st,))
-        self._place.update((cursor, size))
+        self._place.update((cursor, size, int(events["seq"].iloc[-1])))
         positions = sorted(changed) or [None]
         yield pd.DataFrame({
             "session_id": [key[0]] * len(positions),
@@ -70,7 +73,7 @@ def replay_stream(events: DataFrame) -> DataFrame:
     """Change log of the histories: session_id, version, pos, st, cursor, size.
 
     ``events``: streaming session_id, seq, op, st.  Each micro-batch gives the positions it
-    wrote (or one row without a position) and the cursor and size after it.
+    wrote (or one row without a position) and the cursor and size after it; one with late events only gives nothing.
     """
     events.sparkSession.conf.set(_PROVIDER, ROCKSDB)
     key_type = events.schema["session_id"].dataType.simpleString()
