@@ -1,13 +1,14 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Of every window of words the minimum hash of its k-grams is kept as the fingerprint; equal windows
-have equal fingerprints, so documents and benchmark are joined on fingerprints, and a hit is extended to the
-whole window by comparing its words.  With windows of WINDOW words and k-grams of GRAM words, every
-shared run of at least WINDOW words is found.  An item of fewer words is one window of its own length, with
-k-grams no longer than itself.
+Of every window of words the minimum hash of its k-grams, the leftmost of equal ones, is its fingerprint.  Neighbouring windows mostly share it, so a
+text keeps one where the minimum moves: about one in five words.  Equal windows have equal fingerprints at equal offsets, so the fingerprints of the
+documents are joined with those of the benchmark's windows, and each hit is extended: the words around it are compared with the whole window.  With
+windows of WINDOW words and k-grams of GRAM words, every shared run of at least WINDOW words is found.  An item of fewer words is one window of its own
+length, with k-grams no longer than itself.
 
-While the benchmark has at most SMALL distinct windows, its fingerprints become a literal set that
-skips documents without any of them, and its windows are broadcast; beyond that the same join runs as a shuffle.
+The fingerprints of the documents are written once, as narrow rows without words.  Only texts that share a fingerprint are read again, each once,
+however many documents hold it.  Items of a window are rows, not lists.  A side is broadcast if its measured size is small; else the join shuffles, and
+Spark splits a skewed fingerprint.
 
 Rules: a null or empty text has no words and no hits, and an item without words has no windows.  Items with
 a null id mark words as hit but are not listed.  Repeated documents each get their row; repeated items
@@ -21,10 +22,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import whole_row
 from sheaf.llm.tables import written
+from sheaf.operators.sizes import small_side
 
 WINDOW, GRAM = 13, 5
-SMALL = 10_000
+
+_PLACE = 2**31 - 1  # the lower bits of a marked gram hold its place, the others its hash
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -45,80 +49,124 @@ def _grams(hashes: str, n: Column, k: int) -> Column:
     return F.transform(_runs(hashes, n, k), lambda x, i: F.xxhash64(x, *(F.get(hashes, i + j) for j in range(1, k))))
 
 
-def _fingerprints(grams: str, n: Column, length: int, k: int) -> Column:
-    """For each window of ``length`` words the least hash of its k-grams."""
-    span = length - k + 1
-    return F.transform(_runs(grams, F.size(grams), span), lambda x, i: F.array_min(F.slice(F.col(grams), i + 1, F.lit(span))))
+def _marked(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds ``marked{k}`` for the gram lengths k that windows of these lengths need: hashes of all k-grams, with their places."""
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    for k in sorted({min(GRAM, length) for length in lengths}):
+        mark = lambda g, i: g.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
+        rows = rows.withColumn(f"marked{k}", F.transform(_grams("hashes", F.size("words"), k), mark))
+    return rows
 
 
-def _windows(rows: DataFrame, lengths: list[int], wanted: list[int] | None, inside: Column | None = None) -> DataFrame:
-    """Adds ``found``: array of (length, at, print, words) of the windows of each length."""
-    n = F.size("words")
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    sizes = {length: min(GRAM, length) for length in lengths}
-    for k in sorted(set(sizes.values())):
-        rows = rows.withColumn(f"grams{k}", _grams("hashes", n, k))
-    found = []
-    for length, k in sizes.items():
-        grams = f"grams{k}"
-        every = F.transform(
-            _fingerprints(grams, n, length, k), lambda f, i: F.struct(F.lit(length).alias("length"), i.alias("at"), f.alias("print"))
-        )
-        if wanted is not None:
-            every = F.filter(every, lambda c: c["print"].isin(wanted))
-        whole = F.transform(every, lambda c: F.struct(c["length"].alias("length"), c["at"].alias("at"), c["print"].alias("print"), F.slice(F.col("words"), c["at"] + 1, c["length"]).alias("window")))
-        fits = F.size(grams) >= length - k + 1
-        if inside is not None:
-            fits = fits & (inside == length)
-        if wanted is not None:
-            fits = fits & F.exists(grams, lambda g: g.isin(wanted))
-        # an element that is null is left out below: a text too short, or without a wanted print
-        found.append(F.when(fits, whole))
-    some = F.filter(F.array(*found), lambda a: a.isNotNull())
-    return rows.withColumn("found", F.flatten(some))
-
-
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(length, print, window, items): the distinct windows of the benchmark and the ids of their items."""
+def _minima(length: int) -> Column:
+    """For each window of ``length`` words its least marked gram."""
+    k = min(GRAM, length)
+    span, marked = length - k + 1, f"marked{k}"
+    return F.transform(_runs(marked, F.size(marked), span), lambda x, i: F.array_min(F.slice(F.col(marked), i + 1, F.lit(span))))
+
+
+def _place(mark: Column) -> Column:
+    return mark.bitwiseAND(F.lit(_PLACE)).cast("int")
+
+
+def _hash(mark: Column) -> Column:
+    return F.shiftright(mark, 31)
+
+
+def _window_of(length: int):
+    """A window's minimum and its start → its fingerprint and words."""
+
+    def window(m: Column, i: Column) -> Column:
+        return F.struct(F.lit(length).alias("length"), _hash(m).alias("print"), (_place(m) - i).alias("offset"), F.slice("words", i + 1, F.lit(length)).alias("test"))
+
+    return window
+
+
+def _winnowed(minima: str, length: int) -> Column:
+    """The fingerprints (length, print, at) of a text: one where the minimum moves."""
+
+    def moves(m: Column, i: Column) -> Column:
+        return (i == 0) | (m != F.get(F.col(minima), i - 1))
+
+    def fingerprint(m: Column) -> Column:
+        return F.struct(F.lit(length).alias("length"), _hash(m).alias("print"), _place(m).alias("at"))
+
+    return F.transform(F.filter(minima, moves), fingerprint)
+
+
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows of the benchmark (id, length, print, offset, test), and the items that hold them (id, item)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
-    items = items.filter(F.size("words") > 0)
-    own = F.least(F.size("words"), F.lit(WINDOW))
-    lengths = sorted(r.n for r in items.select(own.alias("n")).distinct().collect())  # at most WINDOW values
-    # outer: no filter on "found" is inferred, which would be pushed below all of its steps and repeat them
-    one = _windows(items, lengths or [WINDOW], None, own).select("item", F.inline_outer("found")).filter(F.col("print").isNotNull())
-    return one.groupBy("length", "print", "window").agg(F.collect_set("item").alias("items"))
+    items = items.filter(F.size("words") > 0).withColumn("own", F.least(F.size("words"), F.lit(WINDOW)))
+    lengths = sorted(r.own for r in items.select("own").distinct().collect())  # at most WINDOW values
+    rows = _marked(items, lengths or [WINDOW])
+    found = []
+    for length in lengths or [WINDOW]:
+        found.append(F.when(F.col("own") == length, F.transform(_minima(length), _window_of(length))))
+    # outer: no filter on the array is inferred, which would be pushed below all of its steps and repeat them
+    one = rows.withColumn("found", F.coalesce(*found)).select("item", F.inline_outer("found")).filter(F.col("print").isNotNull())
+    named = written(one.withColumn("id", F.sha2(F.concat_ws(" ", "length", F.array_join("test", " ")), 256)), "windows")
+    return named.drop("item").dropDuplicates(["id"]), named.filter("item IS NOT NULL").select("id", "item").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs`` (text and the columns ``carry``): n_words, n_hit, items (sorted), hits (at, length)."""
-    tests = written(benchmark_windows(benchmark), "windows")
-    lengths = sorted(r.length for r in tests.select("length").distinct().collect())  # at most WINDOW values
-    small = tests.count() <= SMALL
-    wanted = sorted({r["print"] for r in tests.select("print").distinct().collect()}) if small else None
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *carry, words_of(F.col("text")).alias("words"))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    if lengths:
-        rows = _windows(rows, lengths, wanted).select("_row", *carry, "n_words", F.inline_outer("found"))
-    else:
-        empty = tests.select("length", F.lit(0).alias("at"), "print", "window").schema
-        rows = rows.select("_row", *carry, "n_words", *(F.lit(None).cast(f.dataType).alias(f.name) for f in empty))
-    tests = tests.withColumnRenamed("window", "test")
-    hits = rows.join(F.broadcast(tests) if small else tests, ["length", "print"], "left")
-    same = F.col("window") == F.col("test")
-    out = hits.groupBy("_row", *carry, "n_words").agg(
-        F.collect_set(F.when(same, F.struct("at", "length"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(same, F.col("items")))))).alias("items"),
-    )
+    windows, items = benchmark_windows(benchmark)
+    windows, items = written(windows, "windows"), written(items, "items")
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most WINDOW values
+    rows = docs.select(F.struct(*carry).alias("carry"), _text_key("text"), words_of(F.col("text")).alias("words"))
+    rows = _marked(rows, lengths or [WINDOW])
+    kept = []
+    for length in lengths or [WINDOW]:
+        minima = f"minima{length}"
+        rows = rows.withColumn(minima, _minima(length))
+        kept.append(_winnowed(minima, length))
+    rows = written(rows.select("carry", "key", F.size("words").cast("long").alias("n_words"), F.concat(*kept).alias("prints")), "prints")
+    known = written(windows.select("length", "print").distinct(), "wanted")
+    met = rows.select("key", F.inline("prints")).join(small_side(known), ["length", "print"], "left_semi")
+    met = written(met.groupBy("key").agg(F.collect_set(F.struct("length", "print", "at")).alias("met")), "met")
+    hits = written(_extended(docs, met, windows), "hits")
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))
-    return out.select(*carry, "n_words", F.size(covered).cast("long").alias("n_hit"), "items", F.array_sort("hits").alias("hits"))
+    spans = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("hits"))
+    listed = hits.select("key", "id").distinct().join(small_side(items), "id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    facts = written(spans.join(listed, "key", "left").withColumn("n_hit", F.size(covered).cast("long")), "facts")
+    out = rows.select("carry", "key", "n_words").join(small_side(facts), "key", "left")
+    return out.select(
+        *[F.col(f"carry.`{c}`") for c in carry], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<at:int,length:int>>")).alias("hits"))
+
+
+def _text_key(text: str) -> Column:
+    """What texts are told apart by; their ids do not matter."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("key")
+
+
+def _extended(docs: DataFrame, met: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, at, length, id: the windows that stand in the texts, each fingerprint extended by the words around it."""
+    texts = docs.select(_text_key("text"), "text").join(small_side(met), "key").dropDuplicates(["key"])
+    texts = texts.select("key", "met", words_of(F.col("text")).alias("words"))
+
+    def around(m: Column) -> Column:
+        # a window that holds the k-gram begins at most length - k words before it
+        reach = m["length"] - F.least(m["length"], F.lit(GRAM))
+        first = F.greatest(m["at"] - reach, F.lit(0))
+        return F.struct(m["length"].alias("length"), m["print"].alias("print"), m["at"].alias("place"), first.alias("first"),
+                        F.slice(F.col("words"), first + 1, m["at"] + m["length"] - first).alias("near"))
+
+    near = texts.select("key", F.inline_outer(F.transform("met", around)))
+    start = F.col("place") - F.col("offset")
+    same = F.slice("near", start - F.col("first") + 1, F.col("length")) == F.col("test")
+    tested = near.join(small_side(windows), ["length", "print"]).where((start >= F.col("first")) & same)
+    return tested.select("key", start.alias("at"), "length", "id").distinct()
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The rows of ``docs`` (whole) that are not contaminated."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_key": F.xxhash64("text")})
-    found = contamination(keyed.select("_id", "_key", "text"), benchmark, ("_id", "_key"))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
+    keyed = docs.select(whole_row(docs), ident, F.xxhash64("text").alias("_key"))
+    found = contamination(keyed.select("_id", "_key", F.col("rest.text").alias("text")), benchmark, ("_id", "_key"))
     found = written(found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"), share)).select("_id", "_key").distinct(), "contaminated")
-    return keyed.join(found, ["_id", "_key"], "left_anti").drop("_id", "_key")
+    return keyed.join(found, ["_id", "_key"], "left_anti").select("rest.*")
 
 
 def is_contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:

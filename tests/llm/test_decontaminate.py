@@ -39,7 +39,7 @@ def brute(docs, items):
 def tables(spark, docs, items):
     return (
         spark.createDataFrame([(d, t, "f", 1) for d, t in docs], "doc_id long, text string, found string, n_hit int"),
-        spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, print int"),
+        spark.createDataFrame([(i, t, 2) for i, t in items], f"item_id {'string' if items and isinstance(items[0][0], str) else 'long'}, text string, print int"),
     )
 
 
@@ -48,9 +48,10 @@ def check(spark, docs, items):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_random_texts(spark, monkeypatch, small):
-    monkeypatch.setattr(decontaminate, "SMALL", small)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_random_texts(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "small_side", lambda df: df)
     rng = random.Random(6)
     text = lambda n, v=9: " ".join(rng.choice(["É", "the", "ñu", "x1", "B", "of", "Wé", "z", "q"][:v]) for _ in range(n))
     items = [(i, text(rng.choice([1, 2, 4, 5, 12, 13, 14, 30]), 9)) for i in range(12)] + [(3, None), (None, text(15)), (20, "!!"), (10, text(13)), (10, text(13))]
@@ -61,6 +62,17 @@ def test_random_texts(spark, monkeypatch, small):
     check(spark, docs, [i for i in items if len(words(i[1])) >= 13])
 
 
+def test_fingerprints_are_winnowed(spark):
+    """Far fewer fingerprints than windows are kept, and a common passage is one row of items each."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randint(0, 500)}" for _ in range(3000))
+    rows = decontaminate._marked(spark.createDataFrame([(text,)], "text string").select(decontaminate.words_of(F.col("text")).alias("words")), [13])
+    minima = rows.select(decontaminate._minima(13).alias("m")).first().m
+    assert len(minima) == 2988 and len([1 for a, b in zip(minima, minima[1:]) if a != b]) + 1 < 0.25 * len(minima)
+    passage = " ".join(f"p{i}" for i in range(16))
+    check(spark, [(i, f"a {passage} b") for i in range(5)] + [(9, passage[:-4])], [(f"{i}", passage) for i in range(40)])
+
+
 def test_empty_tables(spark):
     docs, items = tables(spark, [(1, "a b c")], [(1, "a b")])
     assert contamination(docs.limit(0), items).count() == 0
