@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_BYTES = 64 << 10
+SAMPLE_BYTES = 64 << 10  # longer texts are taken only where shorter ones do not fill the sample
+SAMPLE_TOTAL = 64 << 20  # bytes of the texts of one label
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -18,16 +19,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     """(doc_id, text, y, part): at most ``rows`` labelled documents of each label, by a hash of their id.
 
     ``ids`` says which labelled ids may be used.  Null labels are ignored; of several labels of one id the largest
-    counts, and of several texts one.  Texts over SAMPLE_BYTES are left out of the sample (not of the scores).  ``part`` is 0
-    for rows that fit the model and 1 for those that calibrate it.
+    counts, and of several texts one.  Texts over SAMPLE_BYTES come last, and a label's texts end where they reach SAMPLE_TOTAL bytes; both bound the
+    sample, not the scores.  ``part`` is 0 for rows that fit the model and 1 for those that calibrate it.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.filter(ids).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(17)))
-    chosen = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(rows) for y in (0, 1)]
-    chosen = chosen[0].union(chosen[1]).withColumn("part", F.pmod("h", F.lit(2)).cast("int")).drop("h")
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    met = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
-    return met.groupBy("doc_id", "y", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y", "part")
+    size, key = F.octet_length("text"), F.xxhash64("text")
+    place = F.struct((size > SAMPLE_BYTES).alias("long"), key.alias("key"), size.alias("size"))
+    there = docs.filter(size > 0).select("doc_id", place.alias("place")).join(known, "doc_id").groupBy("doc_id", "y", "h").agg(F.min("place").alias("place"))
+    there = there.select("doc_id", "y", "h", "place.*")
+    order = ["long", "h", "doc_id"]
+    chosen = [there.filter(F.col("y") == y).orderBy(*order).limit(rows) for y in (0, 1)]
+    # at most 2 * rows ids from here on
+    before = F.sum("size").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    chosen = chosen[0].union(chosen[1]).withColumn("before", before).filter(F.col("before") < SAMPLE_TOTAL)
+    chosen = chosen.select("doc_id", "key", "y", F.pmod("h", F.lit(2)).cast("int").alias("part"))
+    texts = docs.filter(size > 0).select("doc_id", key.alias("key"), "text").join(F.broadcast(chosen), ["doc_id", "key"])
+    return texts.dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "y", "part")
 
 
 def label_counts(labels: DataFrame, label: str, ids: Column) -> dict[int, int]:

@@ -6,9 +6,9 @@ both.  A text's log-likelihoods are compared per word, over the whole text and i
 stretch of STRETCH words; a logistic regression on other labelled texts makes a score of them.
 
 At most ROWS labelled rows of each label are used, half for the counts (made by Spark) and half for the calibration.
-Bigrams seen once in the sample are left to their backoff.  Words are lower-cased (A to Z) and stripped of ASCII punctuation.
+Bigrams seen less than LEAST times in the sample are left to their backoff.  Words are lower-cased (A to Z) and stripped of ASCII punctuation.
 
-Rules: a null or empty text scores as a text of likelihood ratio 1.  If rows of one label are missing, every score is the
+Rules: a null or empty text scores as a text of likelihood ratio 1.  If rows or words of one label are missing, every score is the
 share of label 1 among the labelled rows, 0 without any.  Repeated rows get equal scores.  Result columns replace
 columns of the same name; others pass through.
 """
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import small_batches
+from sheaf.llm.common import received, send, small_batches
 from sheaf.llm.learning import apply_logistic, fit_logistic, label_counts, labelled_sample
 from sheaf.llm.words import Words, cut, mix, slices
 
 ROWS = 6000
 DISCOUNT = 0.75
+LEAST = 2
 STRETCH = 6
 STRONG = (0.1, 0.35, 1.0)
 
@@ -76,7 +77,7 @@ def _count(batches):
 class KneserNey:
     """Log-likelihood ratios of words after words, toxic over ordinary."""
 
-    def __init__(self, y, before, word, n):
+    def __init__(self, y, before, word, n, least: int = LEAST):
         before, word = before.view(np.uint64), word.view(np.uint64)
         self.vocabulary = np.unique(word)
         size = len(self.vocabulary)
@@ -86,8 +87,8 @@ class KneserNey:
         base = np.maximum(shared - DISCOUNT, 0) / total + DISCOUNT * size / total / (size + 1)
         unseen = DISCOUNT * size / total / (size + 1)
         names = mix(before * np.uint64(31)) ^ word
-        seen, common = np.unique(names[n >= 2], return_index=True)
-        pick = np.flatnonzero(n >= 2)[common]
+        seen, common = np.unique(names[n >= least], return_index=True)
+        pick = np.flatnonzero(n >= least)[common]
         self.pairs = seen
         likelihood, ends, reach = [], [], []
         for label in (0, 1):
@@ -151,29 +152,37 @@ def _features(model: KneserNey, texts: pa.Array) -> np.ndarray:
     return np.stack([total / np.maximum(count, 1), stretch, *strong, np.log1p(count)], axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, ids: Column, rows: int = ROWS) -> dict:
-    """The models and the calibration, from a bounded sample."""
+def train(docs: DataFrame, labels: DataFrame, ids: Column, rows: int = ROWS, least: int = LEAST) -> dict:
+    """The models and the calibration, from a bounded sample; bigrams that occur less than ``least`` times in it are left to their backoff."""
     small_batches(docs.sparkSession)
     from sheaf.llm.tables import written
 
     sample = written(labelled_sample(docs, labels, "toxic", rows, ids), "sample")
     kinds = {(r.y, r.part): r.n for r in sample.groupBy("y", "part").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 4:
-        total = sum(kinds.values())
-        return {"constant": sum(n for (y, _), n in kinds.items() if y == 1) / total if total else 0.0}
+        return {"constant": _share(kinds)}
     counts = sample.filter("part = 0").select("text", "y").mapInArrow(_count, "y int, before long, word long, n long")
     counts = counts.groupBy("y", "before", "word").agg(F.sum("n").alias("n")).orderBy("y", "before", "word").toArrow()
-    model = KneserNey(*(counts.column(c).to_numpy() for c in ("y", "before", "word", "n")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if len(counts.column("y").unique()) < 2:  # no words of one label
+        return {"constant": _share(kinds)}
+    model = KneserNey(*(counts.column(c).to_numpy() for c in ("y", "before", "word", "n")), least=least)
+    shared = send(docs.sparkSession, model)
     fitted = sample.filter("part = 1").mapInArrow(_feature_rows(shared), "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
     return {"model": model, "logistic": fit_logistic(np.array([r.x for r in fitted]), np.array([r.y for r in fitted], dtype=float), label_counts(labels, "toxic", ids))}
 
 
+def _share(kinds: dict[tuple[int, int], int]) -> float:
+    """The share of label 1 in the sample."""
+    total = sum(kinds.values())
+    return sum(n for (y, _), n in kinds.items() if y == 1) / total if total else 0.0
+
+
 def _feature_rows(shared):
     def run(batches):
+        model = received(shared)
         for batch in batches:
             for part in slices(batch):
-                x = _features(shared.value, part.column("text"))
+                x = _features(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     return run
@@ -181,7 +190,7 @@ def _feature_rows(shared):
 
 def _score(shared, names: list[str]):
     def run(batches):
-        model = shared.value
+        model = received(shared)
         for batch in batches:
             for part in slices(batch):
                 if "model" in model:
@@ -199,6 +208,6 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.3) -> Data
     small_batches(spark)
     docs = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
+    shared = send(spark, model)  # bounded by the sample
     out = docs.mapInArrow(_score(shared, docs.columns), schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
