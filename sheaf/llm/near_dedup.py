@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.blobs import pack, unpack
-from sheaf.llm.common import parts_for, small_batches
+from sheaf.llm.common import parts_for, small_batches, whole_row
 from sheaf.llm.tables import components, written
 from sheaf.llm.words import Words, cut, grams, inside_text, mix, slices
+from sheaf.operators.sizes import small_side
 
 BANDS, ROWS = 40, 4
 BUCKETS = BANDS * ROWS
@@ -294,7 +295,7 @@ def _stragglers(met: DataFrame, labelled: DataFrame, sets: DataFrame, percent: i
     sizes = own.groupBy("top", "label").count()
     largest = sizes.groupBy("top").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = own.join(largest, "top").withColumn("outside", F.col("label") != F.col("main")).withColumn("blocks", blocks)
+    own = own.join(small_side(largest), "top").withColumn("outside", F.col("label") != F.col("main")).withColumn("blocks", blocks)
     own = own.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
     rows = own.filter("outside").select("top", "class", "label", "outside", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("as_row"), F.lit(False).alias("as_column"))
@@ -356,6 +357,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFra
     heads = labelled.groupBy("label").agg(F.min(F.struct(none.alias("none"), "doc_id", "key")).alias("head"))
     heads = heads.select(F.coalesce("head.doc_id", F.lit(_LAST)).alias("_id"), F.col("head.key").alias("_key"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(worded).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_key": F.xxhash64("text")})
-    stay = keyed.join(heads, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id")
+    keyed = docs.filter(worded).select(whole_row(docs), ident, F.xxhash64("text").alias("_key"))
+    stay = keyed.join(heads, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("rest.*")
     return stay.unionByName(docs.filter(~worded))

@@ -76,3 +76,18 @@ def test_odd_rows_pass_every_stage(spark):
             assert done.filter("doc_id = 6").select("text", F.col("n_chars")).first() == ("[SECRET]", 8)
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, SF).count() <= len(rows)
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["hex", "clean", "assign", "access", "candidates", "_key", "_id", "_row", "class", "band", "rest", "key", "words"]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "password=abcdef1234 x"), (None, None)]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    tests = spark.createDataFrame([("t", "x")], "item_id string, text string")
+    from sheaf.llm.decontaminate import without_contaminated
+    from sheaf.llm.near_dedup import one_of_each
+    from sheaf.llm.secrets import redact
+
+    for made, ids in ((one_of_each(docs), {1, 3, None}), (without_contaminated(docs, tests), {1, 2, None}), (redact(docs), {1, 2, 3, None})):
+        assert made.columns == docs.columns
+        found = {r.doc_id: tuple(r)[2:] for r in made.collect()}
+        assert found == {i: tuple(f"{n}{i}" for n in names) for i in ids}
