@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.blobs import pack, steps, unpack
-from sheaf.llm.common import parts_for, small_batches, text_bytes
+from sheaf.llm.common import parts_for, received, send, small_batches, text_bytes
 from sheaf.llm.tables import written
 from sheaf.llm.words import cut, mix, slices
 
@@ -157,7 +157,7 @@ def _send_pairs(shared, parts: int):
     names = ["to", "source", "blob"]
 
     def run(batches):
-        lexicon = shared.value
+        lexicon = received(shared)
         for batch in batches:
             for source, docs, words in zip(*(batch.column(c).to_pylist() for c in ("source", "docs", "words"))):
                 s = _Source(docs, words)
@@ -294,7 +294,7 @@ def _train(shared, turn: int):
     names = ["piece", "blob"]
 
     def run(batches):
-        lexicon, weights = shared.value
+        lexicon, weights = received(shared)
         weights = weights.copy()
         uses = np.zeros(ROWS, dtype=np.float32)
         for batch in batches:
@@ -347,7 +347,7 @@ def _score(shared, parts: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(key, table):
-        lexicon, weights, recur = shared.value
+        lexicon, weights, recur = received(shared)
         docs, words, replies = None, None, []
         for bucket, blob, d, w in zip(*(table.column(c).to_pylist() for c in ("bucket", "blob", "docs", "words"))):
             if d is not None:
@@ -410,21 +410,21 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     weights = np.zeros((ROWS, WIDTH), dtype=np.float32)
     workers = max(1, -(-size // TRAIN_BYTES))
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((lexicon, weights))  # a fixed size
+        shared = send(spark, (lexicon, weights))  # a fixed size
         pieces = sources.coalesce(workers).mapInArrow(_train(shared, turn), "piece long, blob binary")
         weights = weights.copy()
         for r in pieces.groupBy("piece").applyInArrow(_average, "piece long, blob binary").collect():
             at, w = unpack(r.blob)
             weights[at] = w.reshape(-1, WIDTH)
         shared.unpersist()
-    known = spark.sparkContext.broadcast(lexicon)
+    known = send(spark, lexicon)
     pairs = sources.mapInArrow(_send_pairs(known, parts), "to long, source long, blob binary")
     pairs = written(pairs.groupBy("to").applyInArrow(_total_pairs(parts), _TOTALS), "totals")
     known.unpersist()
     recur = np.zeros(SHAPES)
     for r in pairs.filter("kind = 'pair'").groupBy("word").agg(F.sum("count").alias("n"), F.sum("types").alias("again")).collect():
         recur[r.word] = r.again / (r.n + 1)
-    shared = spark.sparkContext.broadcast((lexicon, weights, recur))
+    shared = send(spark, (lexicon, weights, recur))
     empty = F.lit(None).cast("binary")
     own = sources.select("source", F.lit(None).cast("long").alias("bucket"), empty.alias("blob"), "docs", "words")
     replies = totals.unionByName(pairs).filter("kind = 'reply'").select("source", "bucket", "blob", empty.alias("docs"), empty.alias("words"))
