@@ -275,7 +275,7 @@ def _cover(length: int, parts: int):
         inner = np.unique(inner[covered[inner - 1] & covered[inner]]) if n else inner
         begin, end = np.union1d(begin, inner), np.union1d(end, inner)
         doc = np.searchsorted(first, begin, side="right") - 1
-        slot = (keys[doc].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        slot = _slot(ids[doc], keys[doc], parts)
         order = np.argsort(slot, kind="stable")
         edges = np.searchsorted(slot[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(edges)):
@@ -287,6 +287,11 @@ def _cover(length: int, parts: int):
     return run
 
 
+def _slot(ids: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the texts of these ids meet their cuts: copies of one text with ids of their own are dealt out."""
+    return (mix(keys.view(np.uint64) + mix(ids.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+
+
 def _send_texts(parts: int):
     """Texts → compressed packs for each slot."""
     import zstandard
@@ -294,10 +299,10 @@ def _send_texts(parts: int):
     def run(batches):
         place = TaskContext.get().partitionId()
         for batch in batches:
-            slot = batch.column("key").to_numpy().view(np.uint64) % np.uint64(parts)
+            slot = _slot(_ids(batch.column("doc_id")), batch.column("key").to_numpy(), parts)
             out = _Out()
             order = np.argsort(slot, kind="stable")
-            edges = np.searchsorted(slot[order], np.arange(parts + 1, dtype=np.uint64))
+            edges = np.searchsorted(slot[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 rows = batch.take(pa.array(order[edges[p] : edges[p + 1]]))
                 sink = pa.BufferOutputStream()
