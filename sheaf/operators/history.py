@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.constants import ROWS_PER_SLICE
 from sheaf.operators.ordered import Ordered, key_sizes
 from sheaf.operators.sizes import small_side
-from sheaf.session import freeze
+from sheaf.session import freeze, remove_folder, scratch_path
 
 SIX_KEYS = ("files", "selected_items", "selection_mode", "selected_file", "file_hashes", "tree")
 
@@ -164,71 +164,197 @@ def independent_runs(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
     return marked.with_columns(run=run).to_df().select("session_id", "seq", "op", "st", "run")
 
 
-# Rounds of guesses before a run that still changes is replayed in one pass.
+# Rounds of replaying slices before a run that still changes is replayed in one pass.
 ROUNDS = 24
 
 
 def replay_by_scans(events: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE, rounds: int = ROUNDS) -> DataFrame | None:
-    """Final history of each run without going through its events one after the other: keys…, pos, st, cursor.
-
-    ``events``: keys…, seq, op ('new', 'back', 'forward'), st.  Every event has one bit: does a "new" push, does a "forward" move.  Given all bits
-    the cursor is a walk of ±1 steps reflected at 0, so it follows from prefix sums and prefix minima; the top follows from the
-    latest push; and the state at the cursor is the one of the latest push to that position, an as-of lookup by (keys, position).  From these each
-    bit is worked out anew: a "forward" moves if the cursor was below the top, a "new" pushes if its state differs from the one at the cursor.  Bits
-    that agree with all the bits before them are right, so once nothing changes the histories are right.  Errors are local and
-    most vanish at once; a table that has not settled after ``rounds`` rounds gives None.  No task holds a run, and no Python is used.
+    """Final history of each run, replayed by all its slices at once: keys…, pos, st, cursor.
+
+    ``events``: keys…, seq, op ('new', 'back', 'forward'), st.  A run is cut into slices of rows, and each slice is replayed on what it is given:
+    the cursor, the top and the states that it can reach, which are no more than it has rows.  First nothing is given: unknown states count as
+    different, the top as reached.  A slice answers with its walk of ±1 steps (sum and lowest point, so the cursors of all slices follow from
+    prefix sums and prefix minima, reflected at 0) and with the last push to each position, so the state that a later slice finds at a
+    position is that of the latest push to it, an as-of lookup by (keys, position).  Slices that are now given something else are replayed anew.  What the slices
+    before the first wrong one give is right, so once nothing changes the histories are right.  Most slices settle at once; a table that has not settled after
+    ``rounds`` rounds gives None.  No task holds more than a slice and the states it can reach.
     """
+    spark = events.sparkSession
     first = events.where("op = 'new'").groupBy(*keys).agg(F.min("seq").alias("__first"))
     # nothing happens to an empty history
     live = events.where(F.col("op").isin("new", "back", "forward")).join(first, keys).where(F.col("seq") >= F.col("__first"))
-    live = live.select(*keys, "seq", "op", "st")
-    ordered = Ordered(live, keys, ["seq"], rows_per_slice).neighbour("__prev", ["op", "st"], -1)
-    is_new, is_forward = F.col("op") == "new", F.col("op") == "forward"
-    after_new = F.coalesce(F.col("__prev.op") == "new", F.lit(False))
-    settled = is_new & (after_new | F.col("__prev").isNull())
-    differs = F.col("__prev").isNull() | ~F.col("__prev.st").eqNullSafe(F.col("st"))
-    guess = F.when(is_new, F.when(after_new, differs).otherwise(F.lit(True))).when(is_forward, F.coalesce(F.col("__prev.op") == "back", F.lit(False)))
-    ordered = ordered.with_columns(__settled=settled, __bit=F.coalesce(guess, F.lit(False))).without("__prev").frozen()
+    n = 2 * max(1, -(-events.count() // rows_per_slice))
+    sliced = live.select(*keys, "seq", "op", "st").repartitionByRange(n, *keys, "seq").withColumn("slice", F.spark_partition_id())
+    sliced = freeze(sliced)
+    names = [*keys, "slice"]
+    replayed, given, used = _replay_slices(sliced, None, keys), None, []
     for _ in range(rounds):
-        placed = _place(ordered)
-        # what each uncertain "new" finds at the cursor: the latest push to that position
-        rows = placed.to_df()
-        pushes = rows.where(is_new & F.col("__bit")).select(*keys, F.col("__cursor").alias("__at"), "seq", "st", F.lit(True).alias("__push"))
-        asked = rows.where(is_new & ~F.col("__settled")).select(*keys, F.col("__before").alias("__at"), "seq", "st", F.lit(False).alias("__push"))
-        latest = Ordered(pushes.unionByName(asked), [*keys, "__at"], ["seq"], rows_per_slice).prefix_best(
-            "__latest", F.when(F.col("__push"), F.struct("seq", "st")))
-        answers = latest.to_df().where(~F.col("__push"))
-        pushes_now = F.col("__latest").isNull() | ~F.col("__latest.st").eqNullSafe(F.col("st"))
-        checked = placed.joined_with(answers.select(*keys, "seq", pushes_now.alias("__pushes")))
-        right = F.when(is_forward, F.col("__before") < F.col("__top")).when(is_new & ~F.col("__settled"), F.col("__pushes")).otherwise(F.col("__bit"))
-        checked = checked.with_columns(__right=right).frozen()
-        if checked.to_df().where(F.col("__right") != F.col("__bit")).isEmpty():
-            return _final(checked.to_df(), keys)
-        ordered = checked.with_columns(__bit=F.col("__right")).without("__right", "__pushes", "__walk", "__low", "__before", "__cursor", "__top")
+        replayed = _kept(replayed, used)
+        now = _kept(_given(replayed, keys), used)
+        if given is None:
+            changed = now.select(*names).distinct()
+        else:
+            both = given.unionByName(now).groupBy(*given.columns).agg(F.count(F.lit(1)).alias("__n"))
+            changed = both.where("__n != 2").select(*names).distinct()
+        changed = _kept(changed, used)
+        if changed.isEmpty():
+            final = freeze(_final(replayed, keys))
+            for folder in used:
+                remove_folder(spark, folder)
+            return final
+        changed = small_side(changed)
+        again = _replay_slices(sliced.join(changed, names, "left_semi"), now.join(changed, names, "left_semi"), keys)
+        replayed, given = replayed.join(changed, names, "left_anti").unionByName(again), now
+    for folder in used:
+        remove_folder(spark, folder)
     return None
 
 
-def _place(ordered: Ordered) -> Ordered:
-    """Add the cursor before (__before) and after (__cursor) each event and the top before it (__top), given the bits."""
-    step = F.when(F.col("op") == "back", -1).when(F.col("__bit"), 1).otherwise(0)
-    # a history begins empty, with the cursor at -1; its first event pushes, and from then on 0 is the floor
-    walked = ordered.prefix_sums(__walk=step).with_columns(__walk=F.col("__walk") - 1)
-    after = F.col("__walk") + step
-    walked = walked.prefix_best("__low", after, largest=False)
-    raised = lambda low: F.greatest(F.lit(0), -low)
-    walked = walked.with_columns(
-        __before=(F.col("__walk") + raised(F.coalesce("__low", F.lit(0)))).cast("bigint"),
-        __cursor=(after + raised(F.least("__low", after))).cast("bigint"),
-    )
-    push = (F.col("op") == "new") & F.col("__bit")
-    return walked.prefix_best("__top", F.when(push, F.struct("seq", F.col("__cursor").alias("at")))).with_columns(__top=F.col("__top.at"))
+def _kept(rows: DataFrame, used: list[str]) -> DataFrame:
+    """The same rows, computed once, in a folder that is added to ``used``."""
+    folder = scratch_path(rows.sparkSession, "replay")
+    used.append(folder)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+# What a slice is given, and its events, in the order in which they are read.
+_CURSOR, _TOP, _STATE, _EVENT = range(4)
+
+
+def _replay_slices(sliced: DataFrame, given: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Replay each slice on what it is given (keys…, slice, kind, at, st; if None nothing is known).
+
+    Per position the last push: keys…, slice, i (its event's number), st, walk (the steps up to it) and low (their lowest sum).  Per slice a row without i: the
+    steps and their lowest sum, push and push_low (the same up to the last push), and backs and forwards (how many it has).
+    """
+    names = [*keys, "slice"]
+    rows = sliced.select(*names, F.lit(_EVENT).alias("kind"), F.col("seq").alias("at"), "op", "st")
+    if given is not None:
+        rows = given.select(*names, "kind", "at", F.lit(None).cast("string").alias("op"), "st").unionByName(rows)
+    placed = rows.repartition(*names).sortWithinPartitions(*names, "kind", "at").select(*names, "kind", "at", "op", "st")
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in sliced.select(*names).schema]
+    return placed.mapInArrow(
+        _fold_slices, ", ".join([*types, "i bigint, st string, walk bigint, low bigint, push bigint, push_low bigint, backs bigint, forwards bigint"]))
+
+
+def _fold_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The work of ``_replay_slices``; holds the states that one slice wrote or was given."""
+    current, fields, out = None, None, []
+
+    def begin():
+        nonlocal cursor, top, floor, stack, walk, low, pushed, i, backs, forwards
+        cursor, top, floor, stack = 0, 0, None, {}
+        walk, low, pushed, i, backs, forwards = 0, None, (None, None), 0, 0, 0
+
+    cursor = top = floor = stack = walk = low = pushed = i = backs = forwards = None
+
+    def flush():
+        arrays = [pa.array(column, f.type) for column, f in zip(zip(*out), fields)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
+    def drain():
+        for state, *push in stack.values():
+            if push:
+                out.append((*current, push[0], state, push[1], push[2], None, None, None, None))
+                if len(out) >= _BATCH:
+                    yield flush()
+        out.append((*current, None, None, walk, low or 0, *pushed, backs, forwards))
 
-def _final(rows, keys):
-    pushes = rows.where((F.col("op") == "new") & F.col("__bit"))
-    ends = rows.groupBy(*keys).agg(
-        F.max_by("__cursor", "seq").alias("cursor"), F.max_by("__cursor", F.when((F.col("op") == "new") & F.col("__bit"), F.col("seq"))).alias("__end"))
-    states = pushes.groupBy(*keys, F.col("__cursor").alias("pos")).agg(F.max_by("st", "seq").alias("st"))
+    for batch in batches:
+        if fields is None:
+            wide = batch.schema.names.index("kind")
+            more = [("i", pa.int64()), ("st", pa.string()), *((n, pa.int64()) for n in ("walk", "low", "push", "push_low", "backs", "forwards"))]
+            fields = [*(batch.schema.field(j) for j in range(wide)), *(pa.field(*f) for f in more)]
+        columns = [batch.column(j).to_pylist() for j in range(batch.num_columns)]
+        for place, kind, at, op, state in zip(zip(*columns[:wide]), *columns[wide:]):
+            if place != current:
+                if current is not None:
+                    yield from drain()
+                current = place
+                begin()
+            if kind == _EVENT:
+                i += 1
+                if op == "new":
+                    if cursor in stack and stack[cursor][0] == state:
+                        continue
+                    cursor += 1
+                    walk += 1
+                    low = walk if low is None else min(low, walk)
+                    top, pushed = cursor, (walk, low)
+                    stack[cursor] = (state, i, walk, low)
+                elif op == "back":
+                    backs += 1
+                    walk -= 1
+                    low = walk if low is None else min(low, walk)
+                    if cursor != floor:
+                        cursor -= 1
+                else:
+                    forwards += 1
+                    if cursor < top:
+                        cursor += 1
+                        walk += 1
+                        low = walk if low is None else min(low, walk)
+            elif kind == _CURSOR:
+                cursor, floor = at, 0
+            elif kind == _TOP:
+                top = at
+            else:
+                stack[at] = (state,)
+    if current is not None:
+        yield from drain()
+    if out:
+        yield flush()
+
+
+def _raised(start: str, walk: str, low: str) -> Column:
+    """Where a walk that begins at ``start`` comes to: it is reflected at 0."""
+    return (F.col(start) + F.col(walk) + F.greatest(F.lit(0), -(F.col(start) + F.col(low)))).cast("bigint")
+
+
+def _starts(replayed: DataFrame, keys: list[str]) -> DataFrame:
+    """Per slice: keys…, slice, backs, forwards, start and top (before it), end and end_top (after it)."""
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    walked = replayed.where(F.col("i").isNull()).withColumn("__sum", F.coalesce(F.sum("walk").over(before), F.lit(0)))
+    walked = walked.withColumn("__low", F.min(F.col("__sum") + F.col("low")).over(before))
+    # a history begins empty, with the cursor at -1; its first event pushes, and from then on 0 is the floor
+    start = F.col("__sum") - 1 + F.greatest(F.lit(0), 1 - F.coalesce("__low", F.lit(1)))
+    walked = walked.withColumn("start", start.cast("bigint")).withColumn("__top", _raised("start", "push", "push_low"))
+    walked = walked.withColumn("top", F.coalesce(F.last("__top", ignorenulls=True).over(before), F.lit(-1).cast("bigint")))
+    return walked.select(
+        *keys, "slice", "backs", "forwards", "start", "top", _raised("start", "walk", "low").alias("end"), F.coalesce("__top", "top").alias("end_top"))
+
+
+def _entries(replayed: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """The last pushes of each slice to a position: keys…, slice, i, pos, st."""
+    entries = replayed.where(F.col("i").isNotNull()).join(starts.select(*keys, "slice", "start"), [*keys, "slice"])
+    return entries.select(*keys, "slice", "i", _raised("start", "walk", "low").alias("pos"), "st")
+
+
+def _given(replayed: DataFrame, keys: list[str]) -> DataFrame:
+    """What each slice finds, as the slices before it were replayed: keys…, slice, kind, at, st."""
+    starts = _starts(replayed, keys)
+    none = F.lit(None).cast("string")
+    places = starts.select(*keys, "slice", F.explode(F.array(
+        F.struct(F.lit(_CURSOR).alias("kind"), F.col("start").alias("at")), F.struct(F.lit(_TOP).alias("kind"), F.col("top").alias("at")))).alias("p"))
+    # the positions that a slice can come to
+    lowest = F.greatest(F.lit(0).cast("bigint"), F.col("start") - F.col("backs"))
+    highest = F.least(F.col("top"), F.col("start") + F.col("forwards"))
+    asked = starts.where(lowest <= highest).select(
+        *keys, "slice", F.lit(-1).cast("bigint").alias("i"), F.explode(F.sequence(lowest, highest)).alias("pos"), none.alias("st"))
+    before = Window.partitionBy(*keys, "pos").orderBy("slice", "i").rowsBetween(Window.unboundedPreceding, -1)
+    push = F.when(F.col("i") > 0, F.struct("st"))
+    found = _entries(replayed, starts, keys).unionByName(asked).withColumn("__push", F.last(push, ignorenulls=True).over(before))
+    found = found.where((F.col("i") < 0) & F.col("__push").isNotNull())
+    return places.select(*keys, "slice", "p.kind", "p.at", none.alias("st")).unionByName(
+        found.select(*keys, "slice", F.lit(_STATE).alias("kind"), F.col("pos").alias("at"), F.col("__push.st").alias("st")))
+
+
+def _final(replayed: DataFrame, keys: list[str]) -> DataFrame:
+    starts = _starts(replayed, keys)
+    states = _entries(replayed, starts, keys).groupBy(*keys, "pos").agg(F.max_by("st", F.struct("slice", "i")).alias("st"))
+    ends = starts.groupBy(*keys).agg(F.max_by("end", "slice").alias("cursor"), F.max_by("end_top", "slice").alias("__end"))
     return states.join(ends, keys).where(F.col("pos") <= F.col("__end")).select(*keys, "pos", "st", "cursor")
 
 

@@ -46,6 +46,15 @@ def test_scans_equal_the_fold(spark, slice_rows):
         assert found.get(key, {}) == {i: (st, cursor) for i, st in enumerate(stack)}, key
 
 
+def test_wrong_guesses_do_not_take_a_round_each(spark):
+    """Bit by bit this run takes 17 rounds of guesses."""
+    events = some(600, 2, (4, 4, 3, 0), "abcd")
+    got = replay_by_scans(table(spark, {"hot": events}), ["session_id"], 100, rounds=6)
+    assert got is not None
+    stack, cursor = simulate(events)
+    assert sorted((r.pos, r.st, r.cursor) for r in got.collect()) == [(i, st, cursor) for i, st in enumerate(stack)]
+
+
 def test_unsettled_runs_use_scans(spark, monkeypatch):
     used = []
     real = H.replay_by_scans
