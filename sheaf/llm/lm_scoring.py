@@ -38,6 +38,7 @@ CLASSES = WIDTH - SHAPES
 HEAD = CLASSES * WIDTH
 ROWS = 1 << 16
 ROUNDS, BATCH, RATE, PRIOR = 2, 8192, 0.7, 6.0
+BLOCK, SHORT = 1024, 8  # tokens at once; stretches that are summed side by side
 
 _SHAPE = np.uint64(SHAPES - 1)
 _END = np.uint64(0xE4D0 << 8)
@@ -118,8 +119,9 @@ class _Source:
         """For the tokens at ``at`` the words one, two and three before them in their texts."""
         found = []
         for back in (1, 2, 3):
-            inside = places[at] >= back
-            found.append(np.where(inside, self.distinct[self.inverse[np.where(inside, at - back, 0)]], _START))
+            word = self.distinct.take(self.inverse.take(np.maximum(at - back, 0)))
+            word[places.take(at) < back] = _START
+            found.append(word)
         return found
 
 
@@ -263,29 +265,79 @@ def _rows(contexts: list[np.ndarray], node) -> np.ndarray:
     return out
 
 
+def _exponents(weights, bias, rows):
+    """(exponents of a softmax [tokens, WIDTH], their sums); blocks of tokens that fit the processor's cache."""
+    z, total = np.empty((len(rows), WIDTH), dtype=np.float32), np.empty(len(rows), dtype=np.float32)
+    rows, bias = rows.astype(np.intp), np.broadcast_to(bias, z.shape)
+    for lo in range(0, len(rows), BLOCK):
+        own, part = rows[lo : lo + BLOCK], z[lo : lo + BLOCK]
+        np.take(weights, own[:, 0], axis=0, out=part, mode="clip")
+        for j in range(1, own.shape[1]):
+            part += weights.take(own[:, j], axis=0, mode="clip")
+        part += bias[lo : lo + BLOCK]
+        most = part
+        while most.shape[1] > 1:
+            half = most.shape[1] // 2
+            most = np.maximum(most[:, :half], most[:, half:])
+        part -= most
+        np.exp(part, out=part)
+        np.add.reduce(part, axis=1, out=total[lo : lo + BLOCK])
+    return z, total
+
+
 def _softmax(weights, bias, rows):
-    z = weights[rows[:, 0]]
-    for j in range(1, rows.shape[1]):
-        z += weights[rows[:, j]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z, total = _exponents(weights, bias, rows)
+    z /= total[:, None]
     return z
 
 
+def _chosen(weights, bias, rows, target):
+    """The softmax's value at each token's target."""
+    z, total = _exponents(weights, bias, rows)
+    return z[np.arange(len(target)), target] / total
+
+
+def _sums(g, at, head, n):
+    """Sums of the rows ``g[at]`` over the stretches that begin at ``head`` and have ``n`` rows."""
+    out = np.empty((len(head), g.shape[1]), dtype=g.dtype)
+    short = n <= SHORT
+    for length in range(1, SHORT + 1):
+        own = np.flatnonzero(n == length)
+        if not len(own):
+            continue
+        first = head[own]
+        if length > 1:
+            total = g.take(at[first + 1], axis=0)
+            for i in range(2, length):
+                total += g.take(at[first + i], axis=0)
+            total += g.take(at[first], axis=0)
+        else:
+            total = g.take(at[first], axis=0)
+        out[own] = total
+    if not short.all():
+        own = np.flatnonzero(~short)
+        begin = np.concatenate(([0], np.cumsum(n[own])[:-1]))
+        kept = at[np.repeat(~short, n)]
+        out[own] = np.add.reduceat(g.take(kept, axis=0), begin, axis=0)
+    return out
+
+
 def _update(weights, uses, bias, rows, target) -> None:
     """One gradient step on a batch; a row moves by its mean gradient, less where it is rare."""
     g = _softmax(weights, bias, rows)
     g[np.arange(len(target)), target] -= 1
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
-    sorted_rows = flat[order]
+    sorted_rows = flat.take(order).astype(np.intp)
     head = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
     own = sorted_rows[head]
-    n = np.diff(np.append(head, len(flat))).astype(np.float32)
-    total = np.add.reduceat(g[order // rows.shape[1]], head, axis=0)
-    weights[own] -= RATE / rows.shape[1] ** 0.5 * total / (n + PRIOR)[:, None]
+    n = np.diff(np.append(head, len(flat)))
+    total = _sums(g, np.repeat(np.arange(len(rows)), rows.shape[1]).take(order), head, n)
+    n = n.astype(np.float32)
+    total *= np.float32(RATE / rows.shape[1] ** 0.5)
+    total /= (n + np.float32(PRIOR))[:, None]
+    np.subtract(weights.take(own, axis=0), total, out=total)
+    weights[own] = total
     uses[own] += n
 
 
@@ -370,12 +422,12 @@ def _score(shared, parts: int):
             hi = min(lo + BATCH, len(score))
             context, word = s.contexts(np.arange(lo, hi), places), s.inverse[lo:hi]
             own = kind[word]
-            score[lo:hi] += np.log(_softmax(weights, lexicon.bias[0], _rows(context, 0))[np.arange(hi - lo), own])
+            score[lo:hi] += np.log(_chosen(weights, lexicon.bias[0], _rows(context, 0), own))
             head = np.flatnonzero(own < CLASSES)
             if len(head):
                 node = own[head] + 1
-                p = _softmax(weights, lexicon.bias[node], _rows([c[head] for c in context], node))
-                score[lo + head] += np.log(p[np.arange(len(head)), place[word[head]]])
+                p = _chosen(weights, lexicon.bias[node], _rows([c[head] for c in context], node), place[word[head]])
+                score[lo + head] += np.log(p)
         by_doc = lambda x: np.add.reduceat(x, s.first[:-1])  # noqa: E731  every text has its end
         columns = [
             pa.array(s.ids, mask=s.none > 0), pa.array(s.out > 0), pa.array(s.counts), pa.array(by_doc((count > 0)[s.inverse].astype(np.int64))),

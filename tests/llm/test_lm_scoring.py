@@ -87,3 +87,23 @@ def test_pair_probabilities_add_up():
     share, count = np.array([0.5, 0.3, 0.1]), np.array([4.0, 0.0, 2.0])  # 0.1 is left for unseen words
     assert abs(lm_scoring._after(count, np.full(3, 6.0), share, np.full(3, 0.4)).sum() + 0.6 * 0.1 - 1) < 1e-12
     assert (lm_scoring._after(np.zeros(3), np.zeros(3), share, np.full(3, 0.4)) == share).all()
+
+
+def test_sums_of_stretches_and_chosen_values():
+    """Short stretches are summed side by side and only the asked value of a softmax is divided, with the same bits as before."""
+    rng = np.random.default_rng(3)
+    flat = np.sort(rng.zipf(1.3, 5000) % 700)
+    head = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    n, at = np.diff(np.append(head, len(flat))), rng.permutation(5000) // 3
+    g = rng.normal(size=(1700, WIDTH)).astype(np.float32)
+    lm = lm_scoring
+    assert n.min() <= lm.SHORT < n.max()
+    assert (lm._sums(g, at, head, n) == np.add.reduceat(g[at], head, axis=0)).all()
+    weights, rows = rng.normal(size=(lm.ROWS, lm.WIDTH)).astype(np.float32), rng.integers(0, lm.ROWS, (3000, 3)).astype(np.uint16)
+    target = rng.integers(0, lm.WIDTH, 3000)
+    for bias in (weights[7], weights[:3000]):
+        z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + bias
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        assert (lm._softmax(weights, bias, rows) == z).all()
+        assert (lm._chosen(weights, bias, rows, target) == z[np.arange(3000), target]).all()
