@@ -1,7 +1,7 @@
 """History replay as a stateful stream.
 
-State per session is one map entry per history position plus a cursor, so an event touches a
-few entries and a long history is never loaded whole.  Inside a micro-batch a session's events are sorted; across
+State per session is one map entry per BLOCK history positions plus a cursor, so an event touches a
+few entries, a micro-batch reads and writes each of them once, and a long history is never loaded whole.  Inside a micro-batch a session's events are sorted; across
 them an event whose number is not above the last one applied comes too late, or comes again, and is left out.
 """
 
@@ -18,29 +18,44 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+# Positions in one entry of the state: every read or write of an entry is a message to the state store.
+BLOCK = 64
+
+
 class HistoryProcessor(StatefulProcessor):
     """Applies new/back/forward/reset events to a session's stored history."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._entries = handle.getMapState("entries", "pos bigint", "st string")
+        self._blocks = handle.getMapState("blocks", "block bigint", "states array<string>")
         self._place = handle.getValueState("place", "cursor bigint, size bigint, last bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         cursor, size, last = self._place.get() if self._place.exists() else (-1, 0, None)
-        fresh = (part if last is None else part[part["seq"] > last] for part in rows)
-        events = pd.concat([part[["seq", "op", "st"]] for part in fresh], ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
-        if events.empty:
+        events = {}
+        for part in rows:
+            for seq, op, state in zip(part["seq"], part["op"], part["st"]):
+                if (last is None or seq > last) and seq not in events:
+                    events[seq] = (op, state)
+        if not events:
             return
-        written: dict[int, str] = {}
-
-        def at(pos):
-            return written[pos] if pos in written else self._entries.getValue((pos,))[0]
-
-        for op, state in zip(events["op"], events["st"]):
+        order = sorted(events, key=lambda seq: (seq != seq, seq))
+        version = int(order[-1])
+        stored, blocks, written = size, {}, {}
+
+        def block(pos):
+            number = pos // BLOCK
+            if number not in blocks:
+                # an entry of which no position is in use has nothing to be read
+                found = list(self._blocks.getValue((number,))[0]) if number * BLOCK < stored else []
+                blocks[number] = found + [None] * (BLOCK - len(found))
+            return blocks[number]
+
+        for op, state in map(events.__getitem__, order):
             if op == "new":
-                if cursor >= 0 and at(cursor) == state:
+                if cursor >= 0 and block(cursor)[cursor % BLOCK] == state:
                     continue
                 cursor += 1
+                block(cursor)[cursor % BLOCK] = state
                 written[cursor] = state
                 size = cursor + 1
             elif op == "back" and size:
@@ -48,17 +63,18 @@ class HistoryProcessor(StatefulProcessor):
             elif op == "forward":
                 cursor = min(cursor + 1, size - 1)
             elif op == "reset":
-                cursor, size = -1, 0
+                cursor, size, stored = -1, 0, 0
+                blocks.clear()
                 written.clear()
 
         changed = {pos: st for pos, st in written.items() if pos < size}
-        for pos, st in changed.items():
-            self._entries.updateValue((pos,), (st,))
-        self._place.update((cursor, size, int(events["seq"].iloc[-1])))
+        for number in sorted({pos // BLOCK for pos in changed}):
+            self._blocks.updateValue((number,), (blocks[number][: size - number * BLOCK],))
+        self._place.update((cursor, size, version))
         positions = sorted(changed) or [None]
         yield pd.DataFrame({
             "session_id": [key[0]] * len(positions),
-            "version": [int(events["seq"].iloc[-1])] * len(positions),
+            "version": [version] * len(positions),
             "pos": pd.array(positions, dtype="Int64"),
             "st": [changed.get(p) for p in positions],
             "cursor": [cursor] * len(positions),

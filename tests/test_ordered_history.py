@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,7 @@ from sheaf.operators.history import (
 )
 from sheaf.operators.ordered import Ordered
 from sheaf.operators.packing import number_shards
-from sheaf.streaming.replay import current_history, replay_stream
+from sheaf.streaming.replay import HistoryProcessor, current_history, replay_stream
 
 
 @pytest.mark.parametrize("slice_rows", [3, 1000])
@@ -165,3 +166,46 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     streamed = {tuple(r) for r in current_history(spark.read.parquet(str(out))).collect()}
     batch = {tuple(r) for r in replay(everything).select("session_id", "pos", "st", "is_cursor").collect()}
     assert streamed == batch
+
+
+class _Calls:
+    """State in a dictionary; counts what is sent to the store."""
+
+    def __init__(self):
+        self.kept, self.place, self.sent = {}, None, 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValueState(self, name, schema):
+        state = _Calls()
+        state.exists, state.get = lambda: state.place is not None, lambda: state.place
+        state.update = lambda value: setattr(state, "place", value)
+        return state
+
+    def getValue(self, key):
+        self.sent += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.sent += 1
+        self.kept[key] = value
+
+
+def test_a_batch_touches_few_entries_of_a_long_history():
+    rng, store, processor = random.Random(4), _Calls(), HistoryProcessor()
+    processor.init(store)
+    stack, cursor, logged, seq = [], -1, {}, 0
+    for weights in ((9, 1, 1), (1, 9, 3), (5, 4, 3), (9, 1, 0), (1, 9, 1), (6, 5, 4)) * 3:
+        ops = rng.choices([N, B, W], weights, k=150) + (["reset"] + [N] * 5 if rng.random() < 0.2 else [])
+        events = [(seq + i, op, rng.choice(["a", "b", "c", None])) for i, op in enumerate(ops)]
+        seq += len(ops)
+        for _, op, st in events:
+            cursor = step(stack, cursor, op, st)
+        store.sent = 0
+        rows = rng.sample(events, len(events))
+        out = next(processor.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["seq", "op", "st"])]), None))
+        logged.update(zip(out["pos"], out["st"]))
+        assert [logged[i] for i in range(len(stack))] == stack
+        assert (out["cursor"].iloc[0], out["size"].iloc[0], out["version"].iloc[0]) == (cursor, len(stack), seq - 1)
+        assert store.sent <= 12
