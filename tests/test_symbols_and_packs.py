@@ -1,9 +1,12 @@
 """Symbol rules, the selection truth table and packs."""
 
 import datetime as dt
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from sheaf.functions import pysource
 from sheaf.functions.pysource import scan_source
 from sheaf.operators.symbols import import_names, imports, symbol_lists, symbols, with_source
 from sheaf.plans.packs import PackOptions, pack_errors, process_files
@@ -193,3 +196,17 @@ def test_pack_with_tree(spark, part_bytes):
 def test_dates_for_machines(spark):
     packs, _ = run(spark, [("/h/p/n.md", "hi")], options=PackOptions(home="/h", machine_time=True))
     assert "**Last modified: 2024-01-02T03:04:00+00:00**" in text(packs)
+
+
+def test_a_batch_of_sources_is_not_held_as_python_objects():
+    sources = [f"import os{i % 3}\n" + "# a\n" * 2500 if i % 7 else None for i in range(3000)] + ["def :"]
+    names = pa.array([f"{i}.py" for i in range(len(sources))])
+    texts, wanted = pa.array(sources), pa.array([[]] * len(sources), pa.list_(pa.string()))
+    tracemalloc.start()
+    found = pysource._scan_batch(names, texts, wanted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6 < sum(map(len, filter(None, sources)))
+    alone = [None if s is None else scan_source(n, s, set()) for n, s in zip(names.to_pylist(), sources)]
+    assert found.to_pylist() == pa.array(alone, found.type).to_pylist()
+    assert len(pysource._scan_batch(names[:0], texts[:0], wanted[:0])) == 0
